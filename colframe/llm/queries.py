@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm import langid, packing, tokencounts
+from colframe.llm import langid, licenses, packing, tokencounts
 from colframe.llm.bpe import vocabulary
 from colframe.llm.common import fold, table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     model = langid.train(spark, docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -27,7 +31,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_language_id, op8_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op3_license_scan, op6_language_id, op8_best_fit_packing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
