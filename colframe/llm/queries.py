@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm import langid, licenses, packing, tokencounts
+from colframe.llm import classlm, langid, licenses, packing, tokencounts
 from colframe.llm.bpe import vocabulary
 from colframe.llm.common import fold, table
 
@@ -30,8 +30,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.length_table(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 10) == 0, F.lit(False)))
+    return classlm.score(spark, docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op6_language_id, op8_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op3_license_scan, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
