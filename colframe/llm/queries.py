@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm import classlm, langid, licenses, packing, tokencounts
+from colframe.llm import classlm, langid, licenses, packing, tokencounts, toxicity
 from colframe.llm.bpe import vocabulary
 from colframe.llm.common import fold, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
+    model = toxicity.train(spark, docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    scored = toxicity.score(spark, docs.select("doc_id", "held_out", "text"), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_sentences", F.size("offending").cast("long").alias("n_offending"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents")).drop("spans")
 
@@ -36,7 +43,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_toxicity, op3_license_scan, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
