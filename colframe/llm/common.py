@@ -80,9 +80,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bytes that separate words of the class [^\x20\x09-\x0D]+
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that belong to words of the class [^\x20\x09-\x0D]+
+SOLID = np.ones(256, bool)
+SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Bytes that belong to words of the class [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm import classlm, decontam, langid, licenses, packing, tokencounts, toxicity
+from colframe.llm import classlm, decontam, jaccard_join, langid, licenses, packing, tokencounts, toxicity
 from colframe.llm.bpe import vocabulary
 from colframe.llm.common import fold, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(spark, table(spark, sf_dir, "documents"), k=4, share=(85, 100))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
     model = toxicity.train(spark, docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
@@ -47,7 +51,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_license_scan, op4_decontamination, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_license_scan, op4_decontamination, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
