@@ -21,10 +21,11 @@ from colframe.llm.common import Scratch
 BOUND = 1_000_000
 
 
-def buckets(spark: SparkSession, signed: DataFrame) -> DataFrame:
+def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> DataFrame:
     """(sig, node) of all signatures that two nodes or more share, from signed(node, f1, f2, sigs binary of uint64).
 
-    Tasks skip contents (f1, f2) that they have sent before, and send signatures in blocks by range, which are the
+    Tasks skip contents (f1, f2) that they have sent before; with places, they skip none and the k-th signature is
+    that of node + k. Tasks send signatures in blocks by range, which are the
     rows that are shuffled; each range is grouped by itself, so memory follows a range's size.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
@@ -34,14 +35,17 @@ def buckets(spark: SparkSession, signed: DataFrame) -> DataFrame:
         for batch in batches:
             sigs, nodes, counts = [], [], []
             for node, a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "f1", "f2", "sigs"))):
-                if (a, b) not in seen:
-                    seen.add((a, b))
+                if places or (a, b) not in seen:
+                    if not places:
+                        seen.add((a, b))
                     sigs.append(np.frombuffer(raw, np.uint64))
                     nodes.append(node)
                     counts.append(len(raw) // 8)
             if not sigs:
                 continue
             sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), counts)
+            if places:
+                node = node + np.arange(len(node)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
             part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             sig, node, part = sig[order], node[order], part[order]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm import classlm, decontam, jaccard_join, langid, licenses, packing, tokencounts, toxicity
+from colframe.llm import classlm, decontam, jaccard_join, langid, licenses, packing, paragraphs, tokencounts, toxicity
 from colframe.llm.bpe import vocabulary
 from colframe.llm.common import fold, table
 
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     model = langid.train(spark, docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -51,7 +55,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_license_scan, op4_decontamination, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_license_scan, op4_decontamination, op5_substring_dedup, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
