@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm import classlm, decontam, jaccard_join, langid, licenses, packing, paragraphs, tokencounts, toxicity
+from colframe.llm import ann, classlm, decontam, jaccard_join, langid, licenses, packing, paragraphs, tokencounts, toxicity
 from colframe.llm.bpe import vocabulary
 from colframe.llm.common import fold, table
 
@@ -41,6 +41,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(spark, vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary(), end_id=0, capacity=2048)
 
@@ -55,7 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_license_scan, op4_decontamination, op5_substring_dedup, op6_language_id, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_license_scan, op4_decontamination, op5_substring_dedup, op6_language_id, op7_nearest_neighbours, op8_best_fit_packing, op9_token_counts, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
