@@ -28,37 +28,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BREAK), "")
 
 
-def _ahead(a: Column, n: int) -> Column:
-    """The array without its first n entries."""
-    return F.slice(a, F.lit(n + 1), F.greatest(F.size(a) - n, F.lit(0)))
+def _runs(array: str, n: int, f) -> Column:
+    """f(entries i, i+1 .. i+n-1) for each run of n entries of the array column."""
+    each = F.transform(F.col(array), lambda x, i: f(x, *[F.get(F.col(array), i + d) for d in range(1, n)])) if n > 1 else F.transform(F.col(array), lambda x: f(x))
+    return F.slice(each, F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(0)))
 
 
-def _joined(a: Column, b: Column, f) -> Column:
-    """Entry i of a with entry i of b, as far as b goes."""
-    return F.slice(F.zip_with(a, b, f), F.lit(1), F.size(b))
+def with_fingerprints(df: DataFrame, name: str, k: int, w: int) -> DataFrame:
+    """Adds the distinct smallest hashes of runs of w k-gram hashes, all of them where there are fewer than w.
 
-
-def _folded(a: Column, n: int, f) -> Column:
-    """f over each run of n entries, by doubling; f gets (first entries' value, next entries' value)."""
-    powers, size = [(1, a)], 1
-    while size * 2 <= n:
-        a = _joined(a, _ahead(a, size), f)
-        size *= 2
-        powers.append((size, a))
-    out, done = None, 0
-    for size, p in reversed(powers):
-        if done + size <= n:
-            out = p if out is None else _joined(out, _ahead(p, done), f)
-            done += size
-    return out
-
-
-def fingerprints(ws: Column, k: int, w: int) -> Column:
-    """Distinct smallest hashes of runs of w k-gram hashes; all of them where there are fewer than w."""
-    grams = _folded(F.transform(ws, lambda x: F.xxhash64(x)), k, lambda a, b: F.xxhash64(a, b))
-    if w == 1:
-        return F.array_distinct(grams)
-    return F.array_distinct(F.when(F.size(grams) >= w, _folded(grams, w, lambda a, b: F.least(a, b))).otherwise(grams))
+    df has ws, the words, and hs, their hashes. Each array is a column of its own, so none is computed twice.
+    """
+    df = df.withColumn("grams", _runs("hs", k, F.xxhash64))
+    if w > 1:
+        df = df.withColumn("mins", F.when(F.size("grams") < w, F.col("grams")).otherwise(_runs("grams", w, F.least)))
+    return df.withColumn(name, F.array_distinct("mins" if w > 1 else "grams"))
 
 
 def windows(ws: Column, n: int) -> Column:
@@ -85,12 +69,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc"), "text")  # a struct's null fields are equal
     classes = [(n, k, n - k + 1) if n == window else (n, n, 1) for n in lengths]  # window length, k, w
 
-    def tagged(ws: Column, n: int, kk: int, w: int) -> Column:
-        return F.transform(fingerprints(ws, kk, w), lambda x: F.struct(F.lit(n).alias("n"), x.alias("fp")))
+    def prints(df: DataFrame, *keep: str) -> DataFrame:
+        """Fingerprints (n, fp) of each class of lengths."""
+        df = df.withColumn("hs", F.transform("ws", lambda x: F.xxhash64(x)))
+        found = [F.array().cast("array<struct<n:int,fp:bigint>>")]
+        for n, kk, w in classes:
+            df = with_fingerprints(df, f"fp{n}", kk, w)
+            found.append(F.transform(f"fp{n}", tagged(n)))
+        return df.select(*keep, F.concat(*found).alias("prints"))
 
-    def prints(df: DataFrame, *keep) -> DataFrame:
-        found = [F.when(F.size("ws") >= n, tagged(F.col("ws"), n, kk, w)).otherwise(F.array().cast("array<struct<n:int,fp:bigint>>")) for n, kk, w in classes]
-        return df.select(*keep, (reduce(lambda a, b: F.concat(a, b), found) if found else F.array().cast("array<struct<n:int,fp:bigint>>")).alias("prints"))
+    def tagged(n: int):
+        return lambda x: F.struct(F.lit(n).alias("n"), x.alias("fp"))
 
     own = scratch.save(
         prints(items.select(F.col("n").alias("own"), "ws"), "own").select("own", F.explode("prints").alias("p")).where("p.n = own").select("p.n", "p.fp").distinct()
@@ -102,7 +91,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     some = scratch.save(item_windows.select("n", "window").distinct())
     n_own, n_some, n_pairs = own.count(), some.count(), item_windows.count()
 
-    base = scratch.save(prints(keyed.withColumn("ws", words(F.col("text"))), "doc", F.size("ws").cast("long").alias("n_words")))
+    base = keyed.select("doc", words(F.col("text")).alias("ws")).withColumn("n_words", F.size("ws").cast("long"))
+    base = scratch.save(prints(base, "doc", "n_words"))
     hits = base.select("doc", F.explode("prints").alias("p")).select("doc", "p.n", "p.fp")
     hits = hits.join(_with_size_bound(own, n_own), ["n", "fp"], "left_semi").select("doc").distinct()
     hits = scratch.save(hits)
