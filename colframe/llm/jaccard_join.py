@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colframe.llm.common import SOLID, Scratch, mix, ship, shingle_hashes, word_hashes
-from colframe.llm.linking import buckets, keyed_rows, link, overlapping
+from colframe.llm.linking import buckets, keyed_rows, link, overlapping, plausible, sketch
 
 GROWTH = 1.6
 
@@ -166,25 +166,25 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
             rows = []
             for text in batch.column("text"):
                 h = shingles(text.as_py(), k)
-                rows.append((node, len(h), *prints(h), signatures(h, plan, share, common).tobytes()))
+                rows.append((node, len(h), *prints(h), sketch(h), signatures(h, plan, share, common).tobytes()))
                 node += 1
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "n", "f1", "f2", "sigs"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "n", "f1", "f2", "sketch", "sigs"])
 
-    signed = scratch.save(docs.mapInArrow(sign, "doc_id long, node long, n long, f1 long, f2 long, sigs binary"))
+    signed = scratch.save(docs.mapInArrow(sign, "doc_id long, node long, n long, f1 long, f2 long, sketch binary, sigs binary"))
     rows = signed.select("doc_id", "node", "n", "f1", "f2")
     real = rows.where("n > 0 and doc_id is not null")
     reps = real.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
     classes = scratch.save(real.join(reps, ["f1", "f2"]).select("doc_id", "node", "n", "f1", "f2", "rep"))
+    sketches = signed.where("n > 0 and doc_id is not null").select("node", "n", "sketch").join(classes.where("node = rep").select("node"), "node", "left_semi")
+    sketches = scratch.save(sketches)
     members = scratch.save(buckets(spark, signed.where("n > 0 and doc_id is not null")))
     members = members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = keyed_rows(classes, ends, "node").select("node", "doc_id", "n", "f1", "f2")
-        known = scratch.save(known)
-        size = known.select("node", "n")
-        fit = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(share[1] * F.least("na", "nb") >= share[0] * F.greatest("na", "nb")).select("a", "b")
+        fit = scratch.save(plausible(pairs, sketches, share))
+        ends = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = scratch.save(keyed_rows(classes, ends, "node").select("node", "doc_id", "f1", "f2"))
 
         def contents(batches):
             for batch in batches:

@@ -148,6 +148,38 @@ def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Call
     return labels if labels is not None else connected(spark, scratch, edges)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity bitmap of a set of hashes: each flips one of 2**k >= len(h) bits (64 at least)."""
+    bits = 1 << max(6, int(len(h)).bit_length())
+    parity = np.bincount((h >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches(node, n, sketch) don't rule out.
+
+    Sets that differ in d elements have bitmaps that differ in d bits at most, so more bits than a link's sets may
+    differ by rule the pair out; no link is lost.
+    """
+    a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    p, q = share
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep.append(int.from_bytes((x ^ y).tobytes(), "big").bit_count() <= na + nb - 2 * -(-p * (na + nb) // (p + q)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
 def overlapping(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) whose sets have share[1] * intersection >= share[0] * union; sets(node, set array<long>)."""
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))

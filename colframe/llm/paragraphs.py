@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from colframe.llm.common import SOLID, Scratch, mix, ship, shingle_hashes, word_hashes
 from colframe.llm.jaccard_join import prints
-from colframe.llm.linking import BOUND, buckets, keyed_rows, link, overlapping
+from colframe.llm.linking import BOUND, buckets, keyed_rows, link, overlapping, plausible, sketch
 
 LINE = re.compile(rb"[^\n]+")
 #: Words on both sides that decide whether a segment starts at a word.
@@ -138,8 +138,8 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
     marked = docs.join(F.broadcast(spans) if n_spans <= BOUND else spans, ["doc_id", "key"], "left")
     rows_ = 4
     bands_ = tune(share[0] / share[1], recall, rows_)
-    names = ["doc_id", "node", "start", "end", "n_words", "n", "f1", "f2", "sigs"]
-    types = [pa.int64()] * 8 + [pa.binary()]
+    names = ["doc_id", "node", "start", "end", "n_words", "n", "f1", "f2", "sketch", "sigs"]
+    types = [pa.int64()] * 8 + [pa.binary()] * 2
 
     def of_batch(batch):
         for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
@@ -160,7 +160,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
             if new:
                 for i, s in zip(new, band_signatures([rows[i][4] for i in new], bands_, rows_)):
                     sigs[i] = s.tobytes()
-            columns = [[r[0] for r in rows], range(node, node + len(rows)), *([r[j] for r in rows] for j in (1, 2, 3)), [len(r[4]) for r in rows], [x[0] for x in f], [x[1] for x in f], sigs]
+            columns = [[r[0] for r in rows], range(node, node + len(rows)), *([r[j] for r in rows] for j in (1, 2, 3)), [len(r[4]) for r in rows], [x[0] for x in f], [x[1] for x in f], [sketch(r[4]) if s else None for r, s in zip(rows, sigs)], sigs]
             node += len(rows)
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
@@ -175,19 +175,19 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
             if rows:
                 yield out(rows)
 
-    schema = "doc_id long, node long, start long, end long, n_words long, n long, f1 long, f2 long, sigs binary"
+    schema = "doc_id long, node long, start long, end long, n_words long, n long, f1 long, f2 long, sketch binary, sigs binary"
     signed = scratch.save(marked.mapInArrow(sign, schema))
-    rows = signed.drop("sigs")
+    rows = signed.drop("sketch", "sigs")
     reps = rows.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.save(rows.select("doc_id", "node", "n", "f1", "f2").join(reps, ["f1", "f2"]))
+    sketches = signed.where("sketch is not null").select("node", "n", "sketch")
     members = scratch.save(buckets(spark, signed.where("octet_length(sigs) > 0")))
     members = members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = scratch.save(keyed_rows(classes, ends, "node").select("node", "doc_id", "n", "f1", "f2"))
-        size = known.select("node", "n")
-        fit = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(share[1] * F.least("na", "nb") >= share[0] * F.greatest("na", "nb")).select("a", "b")
+        fit = scratch.save(plausible(pairs, sketches, share))
+        ends = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = scratch.save(keyed_rows(classes, ends, "node").select("node", "doc_id", "f1", "f2"))
 
         def contents(batches):
             for batch in batches:
@@ -239,7 +239,9 @@ def remove(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
     each loses the marked places. Columns are those of docs.
     """
     ship(spark)
-    cuts = found.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    cuts = Scratch(spark, "cuts").save(found.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts")))
+    few = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    cuts = F.broadcast(cuts) if few <= BOUND else cuts
     kept, schema = docs.columns, docs.schema
 
     def cut(batches):
