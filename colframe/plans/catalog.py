@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,22 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    for name in ("relational", "numeric", "learning", "interchange"):
+        importlib.import_module(f"colframe.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Filter, null-safe join and grouped aggregates over lineitem and orders."""
+    return queries()["flagship"](spark, sf_dir)
