@@ -1,0 +1,336 @@
+"""Queries over vectors, distributions, statistics and matrices."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from colframe.functions import special as sp
+from colframe.functions import vectors as V
+from colframe.operators import matrices as M
+from colframe.operators import statistics as S
+from colframe.plans.catalog import register
+from colframe.plans.relational import T, rounded
+
+E = "SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings"
+
+
+def vectors(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def digits(v, n=6):
+    return F.transform(v, lambda x: F.round(x, n) + 0.0)
+
+
+UNARY_SQL = {
+    "sqrt": "CASE WHEN x < 0 THEN 'NaN'::double ELSE sqrt(abs(x)) END", "exp": "exp(x)", "log": "CASE WHEN x = 0 THEN '-Infinity'::double WHEN x < 0 THEN 'NaN'::double ELSE ln(abs(x)) END",
+    "sin": "sin(x)", "cos": "cos(x)", "tan": "tan(x)", "tanh": "tanh(x)", "negative": "-x", "abs": "abs(x)", "sign": "sign(x)::double", "square": "x*x", "reciprocal": "1/x", "floor": "floor(x)", "ceil": "ceil(x)",
+    "trunc": "trunc(x)", "round": "round(x)", "relu": "greatest(x, 0.0)", "leaky_relu": "CASE WHEN x > 0 THEN x ELSE x * 0.01 END", "sigmoid": "1 / (1 + exp(-x))", "silu": "x / (1 + exp(-x))",
+    "gelu": "0.5 * x * (1 + tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))",
+}
+BINARY_SQL = {
+    "add": "x + y", "subtract": "x - y", "multiply": "x * y", "divide": "x / y", "power": "pow(x, y)", "maximum": "greatest(x, y)", "minimum": "least(x, y)", "greater": "(x > y)::int::double",
+    "greater_equal": "(x >= y)::int::double", "less": "(x < y)::int::double", "less_equal": "(x <= y)::int::double", "equal": "(x = y)::int::double", "not_equal": "(x <> y)::int::double",
+}
+
+
+def _unary(name):
+    @register(f"vector_{name}", f"SELECT vec_id, list_transform(v, lambda x: round({UNARY_SQL[name]}, 6) + 0.0) AS r FROM ({E})")
+    def _(spark, d):
+        return vectors(spark, d).select("vec_id", digits(V.unary(name, F.col("v"))).alias("r"))
+
+
+for name in UNARY_SQL:
+    _unary(name)
+
+
+def _binary(name):
+    y = "abs(v[65 - i]) + 0.5" if name == "power" else "v[65 - i]"
+    x = "abs(x)" if name == "power" else "x"
+    body = BINARY_SQL[name].replace("x", "@").replace("y", f"({y})").replace("@", "x")
+    body = body if name != "power" else f"pow(abs(x), {y})"
+    if name in ("maximum", "minimum"):
+        body = f"{'greatest' if name == 'maximum' else 'least'}(x, {y})"
+
+    @register(f"vector_{name}", f"SELECT vec_id, list_transform(v, lambda x, i: round({body}, 6) + 0.0) AS r FROM ({E})")
+    def _(spark, d):
+        a, b = F.col("v"), F.reverse("v")
+        if name == "power":
+            a, b = F.transform(a, F.abs), F.transform(b, lambda x: F.abs(x) + 0.5)
+        return vectors(spark, d).select("vec_id", digits(V.binary(name, a, b)).alias("r"))
+
+
+for name in BINARY_SQL:
+    _binary(name)
+
+
+@register("vector_scalar_broadcast", f"SELECT vec_id, list_transform(v, lambda x: round(x * (vec_id % 3), 6) + 0.0) AS r FROM ({E})")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", digits(V.scalar("multiply", F.col("v"), (F.col("vec_id") % 3).cast("double"))).alias("r"))
+
+
+@register("vector_clip_where", f"SELECT vec_id, list_transform(v, lambda x: round(greatest(least(x, 0.1), -0.1), 6) + 0.0) AS c, list_transform(v, lambda x: round(CASE WHEN x > 0 THEN x ELSE x * x END, 6) + 0.0) AS w FROM ({E})")
+def _(spark, d):
+    v = F.col("v")
+    return vectors(spark, d).select("vec_id", digits(V.clip(v, -0.1, 0.1)).alias("c"), digits(V.where(F.transform(v, lambda x: (x > 0).cast("int")), v, V.unary("square", v))).alias("w"))
+
+
+@register(
+    "vector_reductions",
+    f"SELECT vec_id, round(list_sum(v), 6) AS s, round(list_avg(v), 6) AS m, round(list_min(v), 6) AS lo, round(list_max(v), 6) AS hi, round(list_var_pop(v), 6) AS var, round(list_stddev_pop(v), 6) AS std, list_position(v, list_min(v))::bigint - 1 AS amin, list_position(v, list_max(v))::bigint - 1 AS amax, round(sqrt(list_inner_product(v, v)), 6) AS n2, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS n1, round(list_max(list_transform(v, lambda x: abs(x))), 6) AS ninf FROM ({E})",
+)
+def _(spark, d):
+    v = F.col("v")
+    named = {"s": V.total(v), "m": V.mean(v), "lo": F.array_min(v), "hi": F.array_max(v), "var": V.var(v), "std": V.std(v), "n2": V.norm(v), "n1": V.norm(v, "1"), "ninf": V.norm(v, "inf")}
+    return vectors(spark, d).select("vec_id", V.argmin(v).alias("amin"), V.argmax(v).alias("amax"), *[F.round(c, 6).alias(n) for n, c in named.items()])
+
+
+@register("vector_cumulative", f"SELECT vec_id, list_transform(v, lambda x, i: round(list_sum(v[1:i]), 6) + 0.0) AS s, list_transform(v[1:8], lambda x, i: round(list_product(v[1:i]), 9) + 0.0) AS p FROM ({E})")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", digits(V.cumulative(F.col("v"))).alias("s"), digits(V.cumulative(F.slice("v", 1, 8), "prod"), 9).alias("p"))
+
+
+@register(
+    "vector_softmax",
+    f"SELECT vec_id, list_transform(v, lambda x: round(exp(x) / list_sum(list_transform(v, lambda y: exp(y))), 8)) AS s, list_transform(v, lambda x: round(x - ln(list_sum(list_transform(v, lambda y: exp(y)))), 6)) AS l, round(ln(list_sum(list_transform(v, lambda y: exp(y)))), 6) AS z FROM ({E})",
+)
+def _(spark, d):
+    v = F.col("v")
+    return vectors(spark, d).select("vec_id", digits(V.softmax(v), 8).alias("s"), digits(V.log_softmax(v)).alias("l"), F.round(V.logsumexp(v), 6).alias("z"))
+
+
+@register("vector_layer_norm", f"SELECT vec_id, list_transform(v, lambda x: round((x - list_avg(v)) / sqrt(list_var_pop(v) + 1e-5), 5) + 0.0) AS r FROM ({E})")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", digits(V.layer_norm(F.col("v")), 5).alias("r"))
+
+
+@register("vector_linear", f"SELECT vec_id, [round(v[1] - 2 * v[2] + 0.5, 6) + 0.0, round(3 * v[3] + v[1] - 1, 6) + 0.0] AS r FROM ({E})")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", digits(V.linear(F.slice("v", 1, 3), [[1, -2, 0], [1, 0, 3]], [0.5, -1.0])).alias("r"))
+
+
+@register("vector_selection", f"SELECT vec_id, [v[6], v[1], v[6]] AS t, list_filter(v, lambda x: x > 0.1) AS c, v[3:40:7] AS st, list_concat(v[1:2], v[63:64]) AS cat, list_reverse(v) AS rev, [v[1:32], v[33:64]] AS re FROM ({E})")
+def _(spark, d):
+    v = F.col("v")
+    mask = F.transform(v, lambda x: (x > 0.1).cast("int"))
+    return vectors(spark, d).select("vec_id", V.take(v, [5, 0, 5]).alias("t"), V.compress(mask, v).alias("c"), V.stride(v, 2, 40, 7).alias("st"), V.concatenate(F.slice(v, 1, 2), F.slice(v, 63, 2)).alias("cat"), F.reverse(v).alias("rev"), V.reshape(v, 32).alias("re"))
+
+
+@register("ragged_padding", "SELECT user_id, list_concat(v, list_resize([0.0::double], greatest(n - len(v), 0)::bigint, 0.0::double)[1:greatest(n - len(v), 0)::bigint]) AS p FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE event_id < 300 GROUP BY 1), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM events WHERE event_id < 300 GROUP BY user_id))")
+def _(spark, d):
+    x = T(spark, d, "events").where("event_id < 300").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"]).alias("v"))
+    longest = F.broadcast(x.agg(F.max(F.size("v")).alias("n")))  # one row
+    return x.join(longest).select("user_id", V.pad(F.col("v"), F.col("n"), 0.0).alias("p"))
+
+
+@register("constructors", "SELECT [0.0::double, 0.25, 0.5, 0.75, 1.0] AS lin, [1.0::double, 1.5, 2.0] AS ar, [7.0::double, 7.0, 7.0] AS f")
+def _(spark, d):
+    return spark.range(1).select(V.linspace(0, 1, 5).alias("lin"), V.arange(1, 2.5, 0.5).alias("ar"), F.array_repeat(F.lit(7.0), 3).alias("f"))
+
+
+ERF = "(sign(x) * (1 - (1 / (1 + 0.3275911 * abs(x))) * (0.254829592 + (1 / (1 + 0.3275911 * abs(x))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs(x))) * (1.421413741 + (1 / (1 + 0.3275911 * abs(x))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs(x))) * 1.061405429)))) * exp(-x * x)))"
+CLOSED = {
+    "erf": (lambda x: sp.erf(x), ERF),
+    "erfc": (lambda x: sp.erfc(x), f"1 - {ERF}"),
+    "expit": (lambda x: sp.expit(x), "1 / (1 + exp(-x))"),
+    "logit": (lambda x: sp.logit(F.abs(x) / (F.abs(x) + 1)), "CASE WHEN x = 0 THEN '-Infinity'::double ELSE ln((abs(x) / (abs(x) + 1)) / (1 - abs(x) / (abs(x) + 1))) END"),
+    "norm_pdf": (lambda x: sp.norm_pdf(x, 0.5, 2.0), "exp(-pow((x - 0.5) / 2, 2) / 2) / (2 * sqrt(2 * pi()))"),
+    "norm_cdf": (lambda x: sp.norm_cdf(x), "0.5 * (1 + " + ERF.replace("x", "(x / sqrt(2))").replace("e(x / sqrt(2))p", "exp") + ")"),
+    "uniform_pdf": (lambda x: sp.uniform_pdf(x, -1, 3), "CASE WHEN x BETWEEN -1 AND 2 THEN 1 / 3.0 ELSE 0 END"),
+    "uniform_cdf": (lambda x: sp.uniform_cdf(x, -1, 3), "least(greatest((x + 1) / 3, 0), 1)"),
+    "expon_pdf": (lambda x: sp.expon_pdf(x, 0, 2), "CASE WHEN x < 0 THEN 0 ELSE exp(-x / 2) / 2 END"),
+    "expon_cdf": (lambda x: sp.expon_cdf(x, 0, 2), "CASE WHEN x < 0 THEN 0 ELSE 1 - exp(-x / 2) END"),
+    "laplace_pdf": (lambda x: sp.laplace_pdf(x), "exp(-abs(x)) / 2"),
+    "laplace_cdf": (lambda x: sp.laplace_cdf(x), "CASE WHEN x < 0 THEN exp(x) / 2 ELSE 1 - exp(-x) / 2 END"),
+    "logistic_pdf": (lambda x: sp.logistic_pdf(x), "exp(-abs(x)) / pow(1 + exp(-abs(x)), 2)"),
+    "logistic_cdf": (lambda x: sp.logistic_cdf(x), "1 / (1 + exp(-x))"),
+}
+X = "(value - 50) / 20"
+
+
+def _closed(name, f, sql):
+    @register(f"dist_{name}", f"SELECT event_id, round({sql}, 6) AS y FROM (SELECT event_id, {X} AS x FROM events)")
+    def _(spark, d):
+        x = T(spark, d, "events").select("event_id", ((F.col("value") - 50) / 20).alias("x"))
+        return x.select("event_id", F.round(f(F.col("x")), 6).alias("y"))
+
+
+for name, (f, sql) in CLOSED.items():
+    _closed(name, f, sql)
+P = "(1 + event_id % 98) / 100.0"
+for name, f, sql in (
+    ("uniform_ppf", lambda p: sp.uniform_ppf(p, 1, 2), "1 + 2 * p"), ("expon_ppf", lambda p: sp.expon_ppf(p), "-ln(1 - p)"), ("laplace_ppf", lambda p: sp.laplace_ppf(p), "CASE WHEN p < 0.5 THEN ln(2 * p) ELSE -ln(2 * (1 - p)) END"), ("logistic_ppf", lambda p: sp.logistic_ppf(p), "ln(p / (1 - p))"),
+):
+
+    def _ppf(name, f, sql):
+        @register(f"dist_{name}", f"SELECT event_id, round({sql}, 6) AS y FROM (SELECT event_id, ({P})::double AS p FROM events)")
+        def _(spark, d):
+            x = T(spark, d, "events").select("event_id", ((F.col("event_id") % 98 + 1) / 100).cast("double").alias("p"))
+            return x.select("event_id", F.round(f(F.col("p")), 6).alias("y"))
+
+    _ppf(name, f, sql)
+
+KERNEL_SQL = {"gamma": "gamma(1 + k / 10.0)", "gammaln": "lgamma(1 + k / 10.0)", "poisson_pmf": "exp(k * ln(3.0) - 3.0 - lgamma(k + 1))"}
+KERNELS = {
+    "gamma": (), "gammaln": (), "i0": (), "ndtri": (), "norm_ppf": (1.0, 2.0), "t_pdf": (5.0,), "t_cdf": (5.0,), "t_ppf": (5.0,), "chi2_pdf": (4.0,), "chi2_cdf": (4.0,), "chi2_ppf": (4.0,), "gamma_pdf": (2.5,), "gamma_cdf": (2.5,), "gamma_ppf": (2.5,),
+    "beta_pdf": (2.0, 3.0), "beta_cdf": (2.0, 3.0), "beta_ppf": (2.0, 3.0), "poisson_pmf": (3.0,), "poisson_cdf": (3.0,), "binom_pmf": (20.0, 0.3), "binom_cdf": (20.0, 0.3),
+}
+
+
+def _kernel(name, parameters):
+    def argument(k):
+        if name in ("gamma", "gammaln"):
+            return 1 + k / 10
+        return (k + 1) / 45 if "ppf" in name or name in ("ndtri", "beta_pdf", "beta_cdf") else k / 4 if "p" in name and "mf" not in name or name == "i0" else k
+
+    sql = KERNEL_SQL.get(name)
+
+    @register(f"dist_{name}", sql and f"SELECT event_id, round({sql}, 6) AS y FROM (SELECT event_id, event_id % 20 AS k FROM events)")
+    def _(spark, d):
+        k = (F.col("event_id") % 20).cast("double")
+        return T(spark, d, "events").select("event_id", F.round(sp.kernel(name, *parameters)(argument(k)), 6).alias("y"))
+
+
+for name, parameters in KERNELS.items():
+    _kernel(name, parameters)
+
+
+MOMENTS = "SELECT count(x) AS n, avg(x) AS m1, avg(x * x) AS m2, avg(x * x * x) AS m3, avg(x * x * x * x) AS m4 FROM (SELECT (value - 50) AS x FROM events)"
+
+
+@register(
+    "moments",
+    f"SELECT n, round(m1, 5) AS mean, round(v, 5) AS var, round(sqrt(v), 5) AS std, round((m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(v, 1.5), 5) AS skew, round((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * pow(m1, 4)) / (v * v) - 3, 5) AS kurtosis, round(sqrt(v * n / (n - 1)) / sqrt(n), 5) AS sem FROM (SELECT *, m2 - m1 * m1 AS v FROM ({MOMENTS}))",
+)
+def _(spark, d):
+    return rounded(S.moments(T(spark, d, "events").select((F.col("value") - 50).alias("x")), "x"), 5)
+
+
+@register("pearson", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def _(spark, d):
+    return T(spark, d, "lineitem").agg(F.round(S.correlation(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("r"))
+
+
+@register("spearman", "SELECT round(corr(a, b), 6) AS r FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)")
+def _(spark, d):
+    r, _ = S.spearmanr(T(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
+    return spark.createDataFrame([(round(r, 6),)], "r double")
+
+
+@register(
+    "ttest",
+    "WITH g AS (SELECT l_returnflag AS f, count(*) AS n, avg(l_tax) AS m, var_samp(l_tax) AS v FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1) SELECT round((a.m - r.m) / sqrt(((a.n - 1) * a.v + (r.n - 1) * r.v) / (a.n + r.n - 2) * (1.0 / a.n + 1.0 / r.n)), 6) AS t FROM g a, g r WHERE a.f = 'A' AND r.f = 'R'",
+)
+def _(spark, d):
+    t, _ = S.ttest_ind(T(spark, d, "lineitem"), "l_tax", "l_returnflag", "A", "R")
+    return spark.createDataFrame([(round(t, 6),)], "t double")
+
+
+@register("entropy", "SELECT round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT c / sum(c) OVER () AS p FROM (SELECT count(*)::double AS c FROM events GROUP BY event_type))")
+def _(spark, d):
+    return rounded(S.entropy(T(spark, d, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("c")), "c"))
+
+
+@register("logsumexp", "SELECT round(ln(sum(exp(value - 100))) + 100, 6) AS logsumexp FROM events")
+def _(spark, d):
+    return rounded(S.logsumexp(T(spark, d, "events"), "value"))
+
+
+Q = "SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events"
+
+
+@register("trapezoid", f"SELECT user_id, round(coalesce(sum((value + p) / 2 * 0.5), 0), 4) AS area FROM ({Q}) GROUP BY 1")
+def _(spark, d):
+    return rounded(S.trapezoid(T(spark, d, "events"), "value", "event_id", ["user_id"], 0.5), 4)
+
+
+@register("cumulative_trapezoid", f"SELECT user_id, event_id, round(sum(coalesce((value + p) / 2, 0)) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS area FROM ({Q})")
+def _(spark, d):
+    return rounded(S.cumulative_trapezoid(T(spark, d, "events"), "value", "event_id", ["user_id"]).select("user_id", "event_id", "area"), 4)
+
+
+@register(
+    "simpson",
+    "WITH r AS (SELECT user_id, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(sum(y * (CASE WHEN i >= m OR m < 3 THEN 0 WHEN i = 0 OR i = m - 1 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 3.0 + CASE WHEN n % 2 = 1 OR n < 3 THEN 0 WHEN i = n - 1 THEN 5 WHEN i = n - 2 THEN 8 WHEN i = n - 3 THEN -1 ELSE 0 END / 12.0 + CASE WHEN n = 2 THEN 0.5 ELSE 0 END)), 4) AS area FROM (SELECT *, CASE WHEN n % 2 = 1 THEN n ELSE n - 1 END AS m FROM r) GROUP BY 1",
+)
+def _(spark, d):
+    return rounded(S.simpson(T(spark, d, "events"), "value", "event_id", ["user_id"]), 4)
+
+
+@register(
+    "classification_metrics",
+    "WITH c AS (SELECT count(*) FILTER (t = 1 AND g = 1) AS b, count(*) FILTER (t = 1) AS pt, count(*) FILTER (g = 1) AS pg, count(*) FILTER (t = g) AS ok, count(*) AS n FROM (SELECT quality AS t, toxic AS g FROM labels)) SELECT ok / n AS accuracy, coalesce(b / nullif(pg, 0), 0) AS precision, coalesce(b / nullif(pt, 0), 0) AS recall, coalesce(2 * b / nullif(pt + pg, 0), 0) AS f1 FROM c",
+)
+def _(spark, d):
+    return S.classification(T(spark, d, "labels"), "quality", "toxic")
+
+
+@register("regression_metrics", "SELECT round(avg(pow(t - g, 2)), 5) AS mse, round(avg(abs(t - g)), 5) AS mae, round(1 - sum(pow(t - g, 2)) / (var_pop(t) * count(*)), 5) AS r2 FROM (SELECT l_extendedprice / 1000 AS t, l_quantity AS g FROM lineitem)")
+def _(spark, d):
+    x = T(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("t"), F.col("l_quantity").alias("g"))
+    return rounded(S.regression(x, "t", "g"), 5)
+
+
+COO = f"SELECT vec_id AS i, generate_subscripts(v, 1) - 1 AS j, unnest(v) AS v FROM ({E})"
+
+
+def coo(spark, d):
+    return M.from_vectors(T(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@register("coo_gram", f"SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM ({COO}) a JOIN ({COO}) b ON a.i = b.i GROUP BY 1, 2")
+def _(spark, d):
+    return rounded(M.gram(coo(spark, d)))
+
+
+@register("coo_matmul", f"SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM (SELECT * FROM ({COO}) WHERE i < 40) a JOIN (SELECT * FROM ({COO}) WHERE i < 40) b ON a.j = b.j GROUP BY 1, 2")
+def _(spark, d):
+    m = coo(spark, d).where("i < 40")
+    return rounded(M.matmul(m, M.transpose(m)))
+
+
+@register("coo_matvec", f"SELECT i, round(sum(v * (j + 1)), 6) AS v FROM ({COO}) GROUP BY 1")
+def _(spark, d):
+    return rounded(M.matvec(coo(spark, d), spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v"))))
+
+
+@register("coo_sparse_add", f"SELECT i, j, round(sum(v), 6) AS v FROM (SELECT i, j, v FROM ({COO}) WHERE v <> 0 AND abs(v) >= 0.2 UNION ALL SELECT i, j, v * 2 FROM ({COO}) WHERE v > 0.1) GROUP BY 1, 2")
+def _(spark, d):
+    return rounded(M.add(M.sparse(coo(spark, d), 0.2), M.scale(coo(spark, d).where("v > 0.1"), 2.0)))
+
+
+@register("coo_norms", f"SELECT (SELECT round(sqrt(sum(v * v)), 6) FROM ({COO})) AS fro, (SELECT round(max(s), 6) FROM (SELECT sum(abs(v)) AS s FROM ({COO}) GROUP BY j)) AS one, (SELECT round(max(s), 6) FROM (SELECT sum(abs(v)) AS s FROM ({COO}) GROUP BY i)) AS inf, (SELECT round(sum(v), 6) FROM ({COO}) WHERE i = j) AS tr")
+def _(spark, d):
+    m = coo(spark, d)
+    out = M.norm(m).toDF("fro").join(M.norm(m, "1").toDF("one")).join(M.norm(m, "inf").toDF("inf")).join(M.trace(m).toDF("tr"))  # one row each
+    return rounded(out)
+
+
+@register("coo_axis_mean", f"SELECT j, round(avg(v), 6) AS v FROM ({COO}) GROUP BY 1")
+def _(spark, d):
+    return rounded(M.reduce_axis(coo(spark, d), 0, "mean"))
+
+
+@register("coo_roundtrip", "SELECT vec_id AS i, list_transform(embedding, lambda x: x::double) AS v FROM embeddings")
+def _(spark, d):
+    return M.to_vectors(coo(spark, d), 64)
+
+
+@register("singular_values", None)
+def _(spark, d):
+    return spark.createDataFrame([(i, float(round(s, 6))) for i, s in enumerate(M.singular_values(coo(spark, d)))], "i long, s double")
+
+
+@register("tall_qr_reconstruction", f"SELECT i, j, round(v, 5) + 0.0 AS v FROM ({COO})")
+def _(spark, d):
+    q, r = M.tall_qr(coo(spark, d))
+    return M.matmul(q, M.cells(spark, r)).select("i", "j", (F.round("v", 5) + 0.0).alias("v"))
+
+
+@register("conjugate_gradient", None)
+def _(spark, d):
+    from colframe.sources.scratch import shared_dir
+
+    shared_dir(spark)
+    a = M.add(M.gram(coo(spark, d)), M.eye(spark, 64))
+    return rounded(M.conjugate_gradient(a, spark.range(64).select(F.col("id").alias("i"), F.lit(1.0).alias("v")), steps=15), 4)
