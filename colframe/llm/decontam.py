@@ -64,7 +64,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     has no words; items without words are nowhere; rows of items with a null item_id count as hits but have no id.
     """
     scratch = Scratch(spark, "decontam")
-    items = items.select("item_id", words(F.col("text")).alias("ws")).withColumn("n", F.least(F.size("ws"), F.lit(window))).where("n > 0")
+    items = items.select("item_id", words(F.col("text")).alias("ws")).withColumn("n", F.least(F.size("ws"), F.lit(window)))
+    items = scratch.save(items).where("n > 0")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most `window` values
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc"), "text")  # a struct's null fields are equal
     classes = [(n, k, n - k + 1) if n == window else (n, n, 1) for n in lengths]  # window length, k, w
@@ -81,9 +82,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     def tagged(n: int):
         return lambda x: F.struct(F.lit(n).alias("n"), x.alias("fp"))
 
-    own = scratch.save(
-        prints(items.select(F.col("n").alias("own"), "ws"), "own").select("own", F.explode("prints").alias("p")).where("p.n = own").select("p.n", "p.fp").distinct()
-    )
+    # saved first: a filter that explode() infers would else be pushed below and compute the arrays anew per element
+    own = scratch.save(prints(items.select(F.col("n").alias("own"), "ws"), "own"))
+    own = scratch.save(own.select("own", F.explode("prints").alias("p")).where("p.n = own").select("p.n", "p.fp").distinct())
     item_windows = items.select(
         "item_id", "n", F.explode(reduce(lambda c, n: c.when(F.col("n") == n, windows(F.col("ws"), n)), lengths, F.when(F.lit(False), windows(F.col("ws"), window)))).alias("w")
     )
@@ -97,7 +98,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     hits = hits.join(_with_size_bound(own, n_own), ["n", "fp"], "left_semi").select("doc").distinct()
     hits = scratch.save(hits)
     suspects = keyed.join(_with_size_bound(hits, hits.count()), "doc", "left_semi")
-    suspects = suspects.withColumn("ws", words(F.col("text")))
+    suspects = scratch.save(suspects.select("doc", words(F.col("text")).alias("ws")))
     none = F.array().cast("array<struct<n:int,start:int,window:string>>")
 
     def sized(n: int) -> Column:
