@@ -1,0 +1,325 @@
+"""Queries over text, classical learning, signals, optimisation and networks."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from colframe.operators import learning as L
+from colframe.operators import neural as N
+from colframe.operators import optimize as O
+from colframe.operators import signal as G
+from colframe.operators import text as X
+from colframe.plans.catalog import register
+from colframe.plans.relational import T, rounded
+
+SP = r"'\s+'"
+WS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+CONV = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
+
+
+def conv(spark, d):
+    return T(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+
+
+@register(
+    "whitespace_encode",
+    f"WITH t AS (SELECT id, unnest({WS}) AS w, generate_subscripts({WS}, 1) AS p FROM ({CONV})), v AS (SELECT w, row_number() OVER (ORDER BY encode(w)) AS i FROM (SELECT DISTINCT w FROM t)) SELECT id, list(i ORDER BY p) AS ids FROM t JOIN v USING (w) GROUP BY 1",
+)
+def _(spark, d):
+    c = conv(spark, d)
+    return X.WhitespaceTokenizer().fit(c, "text").encode(c, "id", "text").select("id", "ids")
+
+
+@register("whitespace_decode", f"SELECT id, array_to_string({WS}, ' ') AS text FROM ({CONV}) WHERE len({WS}) > 0")
+def _(spark, d):
+    c = conv(spark, d)
+    t = X.WhitespaceTokenizer().fit(c, "text")
+    return t.decode(t.encode(c, "id", "text"), "id", "ids")
+
+
+@register("word_tokenize", r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS tokens FROM documents")
+def _(spark, d):
+    return T(spark, d, "documents").select("doc_id", X.word_tokens(F.col("text")).alias("tokens"))
+
+
+TOK = r"SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM conversations"
+
+
+@register("count_vectorizer", f"WITH t AS ({TOK}), v AS (SELECT w, row_number() OVER (ORDER BY encode(w)) - 1 AS id2 FROM (SELECT DISTINCT w FROM t)) SELECT t.id AS doc, v.id2 AS id, count(*) AS n FROM t JOIN v USING (w) GROUP BY 1, 2")
+def _(spark, d):
+    return X.count_vectors(conv(spark, d).withColumnRenamed("id", "doc"), "doc", "text")[0]
+
+
+@register("hashing_vectorizer")
+def _(spark, d):
+    return X.hash_vectors(conv(spark, d), "id", "text", 4096)
+
+
+@register("bpe_merges")
+def _(spark, d):
+    return X.encode_words(conv(spark, d), "id", "text", X.MergeTokenizer([("t", "h"), ("th", "e"), ("a", "n"), ("e", "r"), ("i", "n")]))
+
+
+@register("wordpiece")
+def _(spark, d):
+    alphabet = [chr(c) for c in range(97, 123)]
+    return X.encode_words(conv(spark, d), "id", "text", X.WordPieceTokenizer([*alphabet, *["##" + c for c in alphabet], "the", "##the", "##tion", "and", "##er"]))
+
+
+# --- classical learning
+
+@register("train_test_split", "SELECT p_partkey, p_partkey >= (SELECT min(k) FROM (SELECT p_partkey AS k FROM part ORDER BY 1 DESC LIMIT (SELECT ceil(count(*) * 0.25)::bigint FROM part))) AS test FROM part")
+def _(spark, d):
+    train, test = L.split(T(spark, d, "part").select("p_partkey"), "p_partkey", 0.25)
+    return train.withColumn("test", F.lit(False)).union(test.withColumn("test", F.lit(True)))
+
+
+@register("standard_scaler", "SELECT p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 6) + 0.0 AS p_size, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6) + 0.0 AS p_retailprice FROM part")
+def _(spark, d):
+    p = T(spark, d, "part")
+    out = L.StandardScaler().fit(p, ["p_size", "p_retailprice"]).transform(p)
+    return out.select("p_partkey", *[(F.round(c, 6) + 0.0).alias(c) for c in ("p_size", "p_retailprice")])
+
+
+@register("label_encoder", "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::bigint AS code FROM customer")
+def _(spark, d):
+    c = T(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return L.LabelEncoder().fit(c, "c_mktsegment").transform(c, "c_mktsegment", "code").select("c_custkey", "code")
+
+
+def features(spark, d):
+    x = T(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("c"))
+
+
+@register(
+    "linear_regression",
+    "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem",
+)
+def _(spark, d):
+    x = T(spark, d, "lineitem").select(F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    m = L.LinearRegression().fit(x, "x", "y")
+    return spark.createDataFrame([(round(m.coef[0], 3), round(m.intercept, 2))], "slope double, intercept double")
+
+
+@register("linear_predict")
+def _(spark, d):
+    x = features(spark, d)
+    m = L.LinearRegression().fit(x, "x", "y")
+    return x.select("l_orderkey", "l_linenumber", F.round(m.predict(F.col("x")), 2).alias("p"))
+
+
+@register("logistic_regression")
+def _(spark, d):
+    x = features(spark, d)
+    m = L.LogisticRegression(rate=1.0, iterations=5).fit(x, "x", "c")
+    return x.groupBy("c", m.predict(F.col("x")).alias("p")).agg(F.count("*").alias("n"))
+
+
+KNN = "SELECT q.vec_id AS query, t.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::double - p[2]) * (p[1]::double - p[2]))), t.vec_id) AS r FROM embeddings q, embeddings t WHERE q.vec_id % 10 = 0 AND t.vec_id % 10 <> 0"
+
+
+@register("knn_classifier", f"SELECT query, label::bigint AS label FROM (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, label) AS k FROM ({KNN}) WHERE r <= 5 GROUP BY query, label) WHERE k = 1")
+def _(spark, d):
+    e = T(spark, d, "embeddings")
+    return L.knn_classify(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id", "embedding", "vec_id", "label", 5)
+
+
+@register("knn_regressor", f"SELECT query, round(avg(label), 6) AS prediction FROM ({KNN}) WHERE r <= 4 GROUP BY 1")
+def _(spark, d):
+    e = T(spark, d, "embeddings")
+    return rounded(L.knn_regress(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id", "embedding", "vec_id", "label", 4))
+
+
+@register("kmeans")
+def _(spark, d):
+    e = T(spark, d, "embeddings")
+    m = L.KMeans(3, 5).fit(e, "embedding", "vec_id")
+    return e.select("vec_id", m.predict(F.col("embedding").cast("array<double>")).alias("cluster"))
+
+
+@register("kmeans_assign", "SELECT vec_id, (SELECT list_position(ds, list_min(ds))::int - 1 FROM (SELECT [list_distance(embedding::double[], c) FOR c IN (SELECT list(embedding::double[] ORDER BY vec_id) FROM embeddings WHERE vec_id < 4)] AS ds)) AS cluster FROM embeddings")
+def _(spark, d):
+    e = T(spark, d, "embeddings")
+    m = L.KMeans(4, 0).fit(e, "embedding", "vec_id")
+    return e.select("vec_id", m.predict(F.col("embedding").cast("array<double>")).alias("cluster"))
+
+
+@register("model_artifact", "SELECT vec_id, round(embedding[1]::double * 2 - embedding[2]::double + 0.25, 6) + 0.0 AS p FROM embeddings")
+def _(spark, d):
+    m = L.LinearRegression()
+    m.intercept, m.coef = 0.25, [2.0, -1.0]
+    a = L.Artifact.from_json(L.Artifact.of(m).to_json())
+    return T(spark, d, "embeddings").select("vec_id", (F.round(a.apply(F.slice("embedding", 1, 2).cast("array<double>")), 6) + 0.0).alias("p"))
+
+
+# --- signals
+
+def series(spark, d):
+    return T(spark, d, "events").select("user_id", "event_id", "value")
+
+
+def _series(name, f, schema):
+    @register(name)
+    def _(spark, d):
+        return rounded(G.per_series(series(spark, d), "user_id", "event_id", "value", f, schema))
+
+
+_series("fft", G.fft, "k int, re double, im double")
+_series("rfft", G.rfft, "k int, re double, im double")
+_series("lfilter", lambda x: (lambda y: {"k": np.arange(len(y)), "y": y})(G.lfilter(*G.butter(3, 0.3), x)[0]), "k int, y double")
+_series("filtfilt", lambda x: (lambda y: {"k": np.arange(len(y)), "y": y})(G.filtfilt(*G.butter(2, 0.4), x)), "k int, y double")
+_series("welch", lambda x: G.welch(x, 1.0, min(16, len(x))), "f double, p double")
+_series("stft", lambda x: G.stft(x, 1.0, min(16, len(x))), "f double, segment int, m double")
+
+
+@register("irfft_roundtrip", "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::int AS k, round(value, 6) AS x FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 1)")
+def _(spark, d):
+    out = G.per_series(series(spark, d), "user_id", "event_id", "value", G.irfft_of_rfft, "k int, x double")
+    return rounded(out.join(series(spark, d).groupBy("user_id").count().where("count > 1").select("user_id"), "user_id", "left_semi"))
+
+
+@register("dft_as_sql", "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id < 400) SELECT user_id, k.k::int AS k, round(sum(value * cos(-2 * pi() * t * k.k / n)), 4) + 0.0 AS re, round(sum(value * sin(-2 * pi() * t * k.k / n)), 4) + 0.0 AS im FROM x JOIN range(3) k(k) ON k.k < n GROUP BY 1, 2")
+def _(spark, d):
+    out = G.per_series(series(spark, d).where("event_id < 400"), "user_id", "event_id", "value", G.fft, "k int, re double, im double").where("k < 3")
+    return out.select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@register("fftfreq", "SELECT i AS k, (CASE WHEN i < 5 THEN i ELSE i - 9 END) / (9 * 0.5) AS f FROM range(9) t(i)")
+def _(spark, d):
+    return G.frequencies(spark, 9, 0.5)
+
+
+@register("window_functions", "SELECT i AS k, round(0.5 - 0.5 * cos(2 * pi() * i / 15), 9) AS hann, round(0.54 - 0.46 * cos(2 * pi() * i / 15), 9) AS hamming, round(0.42 - 0.5 * cos(2 * pi() * i / 16) + 0.08 * cos(4 * pi() * i / 16), 9) + 0.0 AS blackman FROM range(16) t(i)")
+def _(spark, d):
+    a, b, c = G.window(spark, "hann", 16), G.window(spark, "hamming", 16), G.window(spark, "blackman", 16, False)
+    out = a.withColumnRenamed("w", "hann").join(b.withColumnRenamed("w", "hamming"), "k").join(c.withColumnRenamed("w", "blackman"), "k")
+    return out.select("k", *[(F.round(x, 9) + 0.0).alias(x) for x in ("hann", "hamming", "blackman")])
+
+
+@register("convolve", "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT user_id, i + j AS k, round(sum(value * w), 4) AS y FROM x, (VALUES (0, 0.25), (1, 0.5), (2, 0.25)) AS t(j, w) GROUP BY 1, 2")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    x = series(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    out = G.convolve(x, "user_id", "i", "value", [0.25, 0.5, 0.25])
+    return rounded(out.withColumn("k", F.col("k").cast("bigint")), 4)
+
+
+@register("detrend", "SELECT user_id, event_id, round(value - (regr_intercept(value, event_id) OVER w + regr_slope(value, event_id) OVER w * event_id), 4) + 0.0 AS detrended FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 2) WINDOW w AS (PARTITION BY user_id)")
+def _(spark, d):
+    x = series(spark, d)
+    x = x.join(x.groupBy("user_id").count().where("count > 2").select("user_id"), "user_id", "left_semi")
+    return G.detrend(x, "user_id", "event_id", "value").select("user_id", "event_id", (F.round("detrended", 4) + 0.0).alias("detrended"))
+
+
+# --- quadrature, equations, minimisers over a table of parameters
+
+@register("quadrature", "SELECT p_partkey, round((p_size % 5 + 1) * (1 - cos(2.0)), 6) AS area FROM part")
+def _(spark, d):
+    def area(r):
+        return {"p_partkey": [r.p_partkey], "area": [round(O.quad(lambda x: (r.p_size % 5 + 1) * np.sin(x), 0, 2), 6)]}
+
+    return O.over_parameters(T(spark, d, "part").select("p_partkey", "p_size"), area, "p_partkey long, area double")
+
+
+@register("decay_equation", "SELECT s_suppkey, t::double AS t, round(exp(-(s_nationkey % 4 + 1) * t / 10.0), 4) AS y FROM supplier, range(1, 4) r(t)")
+def _(spark, d):
+    def run(r):
+        rate = (r.s_nationkey % 4 + 1) / 10
+        y = O.solve_ivp(lambda t, y: -rate * y, (0, 3), [1.0], [1, 2, 3])[:, 0]
+        return {"s_suppkey": [r.s_suppkey] * 3, "t": [1.0, 2.0, 3.0], "y": y.round(4)}
+
+    return O.over_parameters(T(spark, d, "supplier").select("s_suppkey", "s_nationkey"), run, "s_suppkey long, t double, y double")
+
+
+@register("minimisers", "SELECT n_nationkey, round(n_nationkey / 7.0, 3) + 0.0 AS nm, round(least(n_nationkey / 7.0, 2.0), 3) + 0.0 AS bounded FROM nation")
+def _(spark, d):
+    def run(r):
+        c = r.n_nationkey / 7
+        nm = O.nelder_mead(lambda x: (x[0] - c) ** 2 + (x[1] + 1) ** 2, [0.5, 0.5])[0][0]
+        b = O.lbfgsb(lambda x: float((x[0] - c) ** 2), lambda x: 2 * (x - c), [0.0], [(-1, 2)])[0][0]
+        return {"n_nationkey": [r.n_nationkey], "nm": [round(nm, 3) + 0.0], "bounded": [round(b, 3) + 0.0]}
+
+    return O.over_parameters(T(spark, d, "nation").select("n_nationkey"), run, "n_nationkey int, nm double, bounded double")
+
+
+# --- networks
+
+def _net(seed=1, width=64, hidden=8, out=4):
+    w = N.lcg_uniform(hidden * width + out * hidden, seed, -0.5, 0.5)
+    return N.Sequential(N.Linear(w[: hidden * width].reshape(hidden, width), np.zeros(hidden)), N.Activation("relu"), N.Linear(w[hidden * width :].reshape(out, hidden), np.zeros(out)))
+
+
+@register("mlp_inference")
+def _(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_net(), F.col("embedding")), lambda x: F.round(x, 6)).alias("y"))
+
+
+@register("mlp_training")
+def _(spark, d):
+    e = T(spark, d, "embeddings").select("embedding", (F.col("label") % 4).alias("y"))
+    losses = N.train(e, "embedding", "y", _net(), N.Adam(0.05), epochs=4)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
+
+
+@register("cross_entropy_loss", "SELECT round(avg(ln(list_sum(list_transform(z, lambda x: exp(x::double)))) - z[label % 4 + 1]), 6) AS loss FROM (SELECT embedding[1:4] AS z, label FROM embeddings)")
+def _(spark, d):
+    from colframe.functions import vectors as V
+
+    e = T(spark, d, "embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("z"), "label")
+    return e.agg(F.round(F.avg(-F.get(V.log_softmax(F.col("z")), F.col("label") % 4)), 6).alias("loss"))
+
+
+class _Attend:
+    def forward(self, x):
+        return N.attention(x, x, x, N.causal_mask(x.shape[1]))
+
+
+@register("attention")
+def _(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Attend(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6)).alias("y"))
+
+
+@register("conv_pool")
+def _(spark, d):
+    net = N.Sequential(N.Conv2d(N.lcg_uniform(18, 3, -1, 1).reshape(2, 1, 3, 3)), N.Pool2d("max", 2), N.Flatten())
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(net, F.col("embedding"), (1, 8, 8)), lambda x: F.round(x, 6)).alias("y"))
+
+
+class _Lstm:
+    def forward(self, x):
+        w = N.lcg_uniform(4 * 5 * (8 + 5), 5, -0.5, 0.5)
+        return N.lstm(x, w[:160].reshape(20, 8), w[160:].reshape(20, 5), np.zeros(20), np.zeros(20))[1][0]
+
+
+@register("lstm")
+def _(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Lstm(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6)).alias("y"))
+
+
+@register("batch_norm", "WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::double AS v FROM embeddings) SELECT vec_id, (j - 1)::int AS j, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 5) + 0.0 AS z FROM c WINDOW w AS (PARTITION BY j)")
+def _(spark, d):
+    c = T(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    s = c.groupBy("j").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    return c.join(F.broadcast(s), "j").select("vec_id", "j", (F.round((F.col("v") - F.col("m")) / F.sqrt(F.col("s") + 1e-5), 5) + 0.0).alias("z"))  # a row per column
+
+
+@register("embedding_lookup", "SELECT o_orderkey, e.embedding AS v FROM orders JOIN embeddings e ON o_custkey % 100 = vec_id")
+def _(spark, d):
+    o = T(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("vec_id"))
+    return o.join(T(spark, d, "embeddings"), "vec_id").select("o_orderkey", F.col("embedding").alias("v"))
+
+
+@register("rate_schedules", "SELECT i AS epoch, round(0.1 * pow(0.5, i // 3), 9) AS step, round(0.1 * pow(0.1, (i >= 2)::int + (i >= 6)::int), 9) AS multi, round(0.05 * (1 + cos(i * pi() / 10)), 9) AS cosine FROM range(10) t(i)")
+def _(spark, d):
+    e = F.col("epoch")
+    return spark.range(10).toDF("epoch").select("epoch", F.round(N.step_rate(0.1, e, 3, 0.5), 9).alias("step"), F.round(N.multi_step_rate(0.1, e, [2, 6]), 9).alias("multi"), F.round(N.cosine_rate(0.1, e, 10), 9).alias("cosine"))
+
+
+@register("mini_batches", "SELECT event_id // 64 AS batch, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def _(spark, d):
+    b = N.batches(T(spark, d, "events").select("event_id", "value"), "event_id", 64)
+    return b.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
