@@ -44,16 +44,28 @@ def differences(size: int, share: tuple[int, int]) -> int:
     return max(s - 2 * -(-p * s // (p + q)) for s in range(max(0, most - 4), most + 1))
 
 
-def allocate(number: int, low: int, high: int, share: tuple[int, int], sets: float) -> Band:
-    """The cheapest allocation for a band of about ``sets`` sets.
-
-    A set of n elements has Poisson segments of mean n / (m0 + m1); the expected cost is its signatures plus the sets
-    met in the empty segments it keeps, each weighing as much as a signature.
+def excess(mean: float, skip: int) -> float:
+    """Expected number by which a Poisson variable exceeds ``skip`` (its deviation is neglected for large ones)."""
+    if skip > 1000:
+        return max(0.0, mean - skip)
+    p, missed = math.exp(-mean), 0.0
+    for k in range(skip + 1):
+        missed += p * (skip - k)
+        p *= mean / (k + 1)
+    return max(0.0, mean - skip + missed)
+
+
+def allocate(number: int, low: int, high: int, share: tuple[int, int], sets: float, rare: float = 1.0) -> Band:
+    """The cheapest allocation for a band of about ``sets`` sets, of whose elements a share ``rare`` are in few others.
+
+    A set of n elements has Poisson segments of mean n / (m0 + m1). Those without a rare element say little; the
+    expected cost is a set's signatures plus the sets that it meets in such segments that it keeps, each weighing as
+    much as a signature. Few segments are one-deletion segments, since each of their elements is a signature.
     """
     h = differences(high, share)
     best = None
-    for part in (0, 0.02, 0.05, 0.1, 0.25, 0.5, 1):
-        for extra in (0, 0.02, 0.05, 0.1, 0.2):
+    for part in (0, 0.02, 0.05):
+        for extra in (0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3):
             skip = math.ceil(extra * (h + 1)) if extra else 0
             need = h + 1 + 2 * skip
             m1 = math.floor(part * need / 2)
@@ -61,21 +73,21 @@ def allocate(number: int, low: int, high: int, share: tuple[int, int], sets: flo
             if skip > m0:
                 continue
             mean = math.sqrt(low * high) / (m0 + m1)
-            empty = math.exp(-mean)
-            kept = max(0.0, m0 * empty - skip) + m1 * empty * (1 + mean)
+            empty = math.exp(-mean * rare)
+            kept = excess(m0 * empty, skip) + m1 * empty * (1 + mean)
             cost = m0 - skip + m1 * (1 + mean) + sets * kept * empty
             if best is None or cost < best[0]:
                 best = (cost, Band(number, low, high, m0, m1, skip))
     return best[1]
 
 
-def bands(share: tuple[int, int], largest: int, sizes: np.ndarray, total: int) -> list[Band]:
+def bands(share: tuple[int, int], largest: int, sizes: np.ndarray, total: int, rare: float = 1.0) -> list[Band]:
     """Allocations for all sizes up to ``largest``; ``sizes`` are those of a sample of the ``total`` sets."""
     out, low = [], 1
     while low <= largest:
         high = max(low, int(low * GROWTH))
         own = ((sizes >= low) & (sizes <= high)).mean() * total if len(sizes) else total
-        out.append(allocate(len(out), low, high, share, own))
+        out.append(allocate(len(out), low, high, share, own, rare))
         low = high + 1
     return out
 
@@ -155,7 +167,9 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
     seen = [np.frombuffer(r.h, np.uint64) for r in some.limit(4 * sample).mapInArrow(sets, "h binary").collect()]
     sizes = np.array([len(h) for h in seen])
     value, times = np.unique(np.concatenate([np.empty(0, np.uint64), *seen]), return_counts=True)
-    shared = spark.sparkContext.broadcast((bands(share, 1 << 40, sizes, total), value[times >= 3]))
+    common = value[times >= 3]
+    rare = float(np.median([1 - np.isin(h, common).mean() for h in seen if len(h)] or [1.0]))
+    shared = spark.sparkContext.broadcast((bands(share, 1 << 26, sizes, total, max(rare, 0.5)), common))
 
     def sign(batches):
         from pyspark import TaskContext
@@ -172,13 +186,14 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "n", "f1", "f2", "sketch", "sigs"])
 
     signed = scratch.save(docs.mapInArrow(sign, "doc_id long, node long, n long, f1 long, f2 long, sketch binary, sigs binary"))
-    rows = signed.select("doc_id", "node", "n", "f1", "f2")
+    rows = scratch.save(signed.select("doc_id", "node", "n", "f1", "f2"))
     real = rows.where("n > 0 and doc_id is not null")
     reps = real.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
     classes = scratch.save(real.join(reps, ["f1", "f2"]).select("doc_id", "node", "n", "f1", "f2", "rep"))
     sketches = signed.where("n > 0 and doc_id is not null").select("node", "n", "sketch").join(classes.where("node = rep").select("node"), "node", "left_semi")
     sketches = scratch.save(sketches)
     members = scratch.save(buckets(spark, signed.where("n > 0 and doc_id is not null")))
+    scratch.drop(signed)
     members = members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -46,18 +46,20 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
             sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), counts)
             if places:
                 node = node + np.arange(len(node)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
+            base = int(node.min()) if len(node) else 0
+            node = node - base if places else (node - base).astype(np.uint32)
             part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             sig, node, part = sig[order], node[order], part[order]
             used, start = np.unique(part, return_index=True)
             ends = [*start[1:], len(part)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int64)), pa.array([sig[s:e].tobytes() for s, e in zip(start, ends)], pa.binary()), pa.array([node[s:e].tobytes() for s, e in zip(start, ends)], pa.binary())],
-                ["part", "sigs", "nodes"],
+                [pa.array(used.astype(np.int64)), pa.array([sig[s:e].tobytes() for s, e in zip(start, ends)], pa.binary()), pa.array([node[s:e].tobytes() for s, e in zip(start, ends)], pa.binary()), pa.array([base] * len(used), pa.int64())],
+                ["part", "sigs", "nodes", "base"],
             )
 
     def shared(sigs: list, nodes: list) -> pa.RecordBatch:
-        sig, node = np.frombuffer(b"".join(sigs), np.uint64), np.frombuffer(b"".join(nodes), np.int64)
+        sig, node = np.frombuffer(b"".join(sigs), np.uint64), np.concatenate(nodes)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         once = np.ones(len(sig), bool)
@@ -72,17 +74,17 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
     def group(batches):
         at, sigs, nodes = None, [], []
         for batch in batches:
-            for part, s, n in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "nodes"))):
+            for part, s, n, base in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "nodes", "base"))):
                 if part != at and sigs:
                     yield shared(sigs, nodes)
                     sigs, nodes = [], []
                 at = part
                 sigs.append(s)
-                nodes.append(n)
+                nodes.append(np.frombuffer(n, np.int64 if places else np.uint32).astype(np.int64) + base)
         if sigs:
             yield shared(sigs, nodes)
 
-    blocks = signed.select("node", "f1", "f2", "sigs").mapInArrow(send, "part long, sigs binary, nodes binary")
+    blocks = signed.select("node", "f1", "f2", "sigs").mapInArrow(send, "part long, sigs binary, nodes binary, base long")
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long")
 
 

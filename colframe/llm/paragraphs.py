@@ -117,7 +117,9 @@ def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int)
             yield got.filter(pa.array([bool(x) for x in out], pa.bool_()))
 
     found = joined.mapInArrow(run, "doc_id long, key long, spans array<struct<start:long,end:long>>")
-    return scratch.save(found.dropDuplicates(["doc_id", "key"]))
+    found = scratch.save(found.dropDuplicates(["doc_id", "key"]))
+    scratch.drop(rows)
+    return found
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), least: int = 20, recall: float = 0.9995) -> DataFrame:
@@ -177,11 +179,12 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
 
     schema = "doc_id long, node long, start long, end long, n_words long, n long, f1 long, f2 long, sketch binary, sigs binary"
     signed = scratch.save(marked.mapInArrow(sign, schema))
-    rows = signed.drop("sketch", "sigs")
+    rows = scratch.save(signed.drop("sketch", "sigs"))
     reps = rows.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.save(rows.select("doc_id", "node", "n", "f1", "f2").join(reps, ["f1", "f2"]))
-    sketches = signed.where("sketch is not null").select("node", "n", "sketch")
+    sketches = scratch.save(signed.where("sketch is not null").select("node", "n", "sketch"))
     members = scratch.save(buckets(spark, signed.where("octet_length(sigs) > 0")))
+    scratch.drop(signed)
     members = members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
