@@ -77,6 +77,11 @@ def where(condition: Column, x: Column, y: Column) -> Column:
     return F.transform(F.arrays_zip(condition.alias("c"), x.alias("x"), y.alias("y")), lambda r: F.when(r["c"] != 0, r["x"]).otherwise(r["y"]))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, though f uses it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -87,8 +92,7 @@ def mean(v: Column) -> Column:
 
 def var(v: Column) -> Column:
     """Population variance."""
-    m = mean(v)
-    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(v))
+    return let(mean(v), lambda m: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(v)))
 
 
 def std(v: Column) -> Column:
@@ -130,24 +134,22 @@ def cumulative(v: Column, what: str = "sum") -> Column:
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    return let(
+        F.array_max(v),
+        lambda m: let(F.transform(v, lambda x: F.exp(x - m)), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))),
+    )
 
 
-def log_softmax(v: Column) -> Column:
-    m = F.array_max(v)
-    z = m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
-    return F.transform(v, lambda x: x - z)
+def logsumexp(v: Column) -> Column:
+    return let(F.array_max(v), lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))))
 
 
-def logsumexp(v: Column) -> Column:
-    m = F.array_max(v)
-    return m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+def log_softmax(v: Column) -> Column:
+    return let(logsumexp(v), lambda z: F.transform(v, lambda x: x - z))
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    m, s = mean(v), F.sqrt(var(v) + eps)
-    return F.transform(v, lambda x: (x - m) / s)
+    return let(mean(v), lambda m: let(F.sqrt(var(v) + eps), lambda s: F.transform(v, lambda x: (x - m) / s)))
 
 
 def linear(v: Column, weight: list[list[float]], bias: list[float] | None = None) -> Column:
