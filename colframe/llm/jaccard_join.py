@@ -214,7 +214,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
 
     several = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     given = classes.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-    labels = link(spark, scratch, members, verify, scratch.save(given))
+    labels = link(spark, scratch, members, verify, scratch.save(given), sketches, share)
     of = classes.select("doc_id", "node", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", "node", F.coalesce("comp", "rep").alias("comp"))
     of = scratch.save(of)
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

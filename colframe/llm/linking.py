@@ -1,8 +1,8 @@
 """Exact components of a similarity graph from candidate buckets, without emitting all pairs of a bucket.
 
 Candidates share a bucket. Each bucket first links its members to one of them (a star, linear in its size). Only
-members that verified links have not joined by then are compared further: with other stars while that pays, then pair
-by pair across components. Every pair of a bucket is thus verified or already in one component, so no link between
+members that verified links have not joined by then are compared further, across components, by bitmaps inside their
+bucket. Every pair of a bucket is thus verified or already in one component, so no link between
 components is lost.
 """
 
@@ -88,6 +88,58 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long")
 
 
+def across(rows: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
+
+    A bucket's sketches are compared where they lie, so only pairs that may be links leave a task.
+    """
+    p, q = share
+    sorted_ = rows.select("sig", "node", "comp").join(sketches, "node").select("sig", "node", "comp", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+
+    def fold(x: np.ndarray, length: int) -> np.ndarray:
+        while len(x) > length:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    def pairs(group: list) -> list[tuple[int, int]]:
+        group.sort(key=lambda r: (r[2], r[0]))
+        node, comp, n = (np.array([r[i] for r in group], np.int64) for i in range(3))
+        maps, folded, out = [np.frombuffer(r[3], np.uint8) for r in group], {}, []
+        for i in range(len(group) - 1):
+            end = int(np.searchsorted(n, n[i] * q // p, "right"))
+            if end <= i + 1:
+                continue
+            size = len(maps[i])
+            if size not in folded:  # shorter maps come before, so this begins at i
+                folded[size] = (i, np.stack([fold(x, size) for x in maps[i:]]))
+            first, table = folded[size]
+            differ = np.bitwise_count(table[i + 1 - first : end - first] ^ maps[i]).sum(1, dtype=np.int64)
+            total = n[i] + n[i + 1 : end]
+            for j in np.flatnonzero((differ <= total - 2 * -(-p * total // (p + q))) & (comp[i + 1 : end] != comp[i])) + i + 1:
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return out
+
+    def run(batches):
+        at, group, found = None, [], set()
+        for batch in batches:
+            for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "comp", "n", "sketch"))):
+                if sig != at:
+                    found.update(pairs(group) if len(group) > 1 else ())
+                    at, group = sig, []
+                group.append(row)
+            if len(found) > 100_000:
+                yield send(found)
+                found = set()
+        found.update(pairs(group) if len(group) > 1 else ())
+        yield send(found)
+
+    def send(found: set) -> pa.RecordBatch:
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
 def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of edges(a, b); comp is the component's smallest node.
 
@@ -107,7 +159,7 @@ def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFr
             return new.select("node", "comp")
 
 
-def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], given: DataFrame, stars: int = 3) -> DataFrame:
+def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], given: DataFrame, sketches: DataFrame, share: tuple[int, int], stars: int = 1) -> DataFrame:
     """(node, comp) of the nodes that have a link, from buckets members(sig, node).
 
     verify gets distinct pairs (a, b), a < b, and returns those that are links; given holds links known before.
@@ -132,8 +184,7 @@ def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Call
         last = turn == stars or (turn > 0 and cross <= 4 * n_rows)
         left = rows.join(open_, "sig").select("sig", "node", "comp", "hub")
         if last:
-            right = left.select("sig", F.col("node").alias("other"), F.col("comp").alias("comp2"))
-            pairs = left.join(right, "sig").where((F.col("node") < F.col("other")) & (F.col("comp") != F.col("comp2")))
+            pairs = across(left, sketches, share).select(F.col("a").alias("node"), F.col("b").alias("other"))
         else:
             hub = left.where("node = hub").select("sig", F.col("hub").alias("other"), F.col("comp").alias("comp2"))
             pairs = left.join(hub, "sig").where("comp != comp2")

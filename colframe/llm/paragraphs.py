@@ -207,7 +207,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
         return overlapping(fit, scratch.save(found).dropDuplicates(["node"]), share)
 
     none = scratch.save(classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False)))
-    labels = link(spark, scratch, members, verify, none)
+    labels = link(spark, scratch, members, verify, none, sketches, share)
     linked = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").where("comp is not null or copies > 1")
     linked = linked.select("node", F.coalesce("comp", "rep").alias("comp"))
     found = scratch.save(rows.select("doc_id", "node", "start", "end", "n_words").join(linked, "node"))
