@@ -26,7 +26,8 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
 
     Tasks skip contents (f1, f2) that they have sent before; with places, they skip none and the k-th signature is
     that of node + k. Tasks send signatures in blocks by range, which are the
-    rows that are shuffled; each range is grouped by itself, so memory follows a range's size.
+    rows that are shuffled; each range is grouped by itself, so memory follows a range's size. A block's nodes are
+    offsets of 4 bytes if those of its batch lie close enough, else of 8.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
 
@@ -47,7 +48,9 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
             if places:
                 node = node + np.arange(len(node)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
             base = int(node.min()) if len(node) else 0
-            node = node - base if places else (node - base).astype(np.uint32)
+            node = node - base
+            if len(node) and node.max() < 1 << 32:  # a batch may hold rows of several tasks, whose nodes are far apart
+                node = node.astype(np.uint32)
             part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             sig, node, part = sig[order], node[order], part[order]
@@ -80,7 +83,7 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
                     sigs, nodes = [], []
                 at = part
                 sigs.append(s)
-                nodes.append(np.frombuffer(n, np.int64 if places else np.uint32).astype(np.int64) + base)
+                nodes.append(np.frombuffer(n, np.int64 if len(n) == len(s) else np.uint32).astype(np.int64) + base)
         if sigs:
             yield shared(sigs, nodes)
 

@@ -84,3 +84,10 @@ def test_every_similar_pair_shares_a_signature():
 
 def test_empty(spark):
     assert jaccard_join.join(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_more_partitions_than_cores(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    got = sorted((tuple(r) for r in jaccard_join.join(spark, df, 5, (4, 5)).collect()), key=repr)
+    assert got == brute(rows, 5, (4, 5))
