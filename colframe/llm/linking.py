@@ -15,37 +15,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import Scratch
+from colframe.llm.common import Scratch, mix
 
 #: Rows of 8-byte keys that may be broadcast.
 BOUND = 1_000_000
 
 
-def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> DataFrame:
+def buckets(spark: SparkSession, signed: DataFrame, places: bool = False, at: str | None = None) -> DataFrame:
     """(sig, node) of all signatures that two nodes or more share, from signed(node, f1, f2, sigs binary of uint64).
 
     Tasks skip contents (f1, f2) that they have sent before; with places, they skip none and the k-th signature is
-    that of node + k. Tasks send signatures in blocks by range, which are the
+    that of node + k, or of node + the k-th int32 of the binary column ``at``; then rows have a tag besides, which two
+    places share if their bucket has the same members around them. Tasks send signatures in blocks by range, which are the
     rows that are shuffled; each range is grouped by itself, so memory follows a range's size. A block's nodes are
     offsets of 4 bytes if those of its batch lie close enough, else of 8.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
+    columns = ["node", "f1", "f2", "sigs", *([at] if at else [])]
 
     def send(batches):
         seen: set = set()
         for batch in batches:
-            sigs, nodes, counts = [], [], []
-            for node, a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "f1", "f2", "sigs"))):
+            sigs, nodes, counts, offsets = [], [], [], []
+            for node, a, b, raw, *off in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if places or (a, b) not in seen:
                     if not places:
                         seen.add((a, b))
                     sigs.append(np.frombuffer(raw, np.uint64))
                     nodes.append(node)
                     counts.append(len(raw) // 8)
+                    offsets += [np.frombuffer(x, np.int32) for x in off]
             if not sigs:
                 continue
             sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), counts)
-            if places:
+            if at:
+                node = node + np.concatenate(offsets)
+            elif places:
                 node = node + np.arange(len(node)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
             base = int(node.min()) if len(node) else 0
             node = node - base
@@ -72,23 +77,33 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
         keep = np.zeros(len(sig), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], ["sig", "node"])
+        sig, node = sig[keep], node[keep]
+        if not at:
+            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], ["sig", "node"])
+        tag = np.empty(0, np.uint64)
+        if len(sig):
+            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(start, len(sig)))
+            with np.errstate(over="ignore"):
+                off = mix((node - np.repeat(node[start], size)).astype(np.uint64) + np.uint64(1))
+                tag = mix(np.repeat(np.add.reduceat(off, start), size) + mix(off))
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(tag.view(np.int64))], ["sig", "node", "tag"])
 
     def group(batches):
-        at, sigs, nodes = None, [], []
+        now, sigs, nodes = None, [], []
         for batch in batches:
             for part, s, n, base in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "nodes", "base"))):
-                if part != at and sigs:
+                if part != now and sigs:
                     yield shared(sigs, nodes)
                     sigs, nodes = [], []
-                at = part
+                now = part
                 sigs.append(s)
                 nodes.append(np.frombuffer(n, np.int64 if len(n) == len(s) else np.uint32).astype(np.int64) + base)
         if sigs:
             yield shared(sigs, nodes)
 
-    blocks = signed.select("node", "f1", "f2", "sigs").mapInArrow(send, "part long, sigs binary, nodes binary, base long")
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long")
+    blocks = signed.select(*columns).mapInArrow(send, "part long, sigs binary, nodes binary, base long")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long" + (", tag long" if at else ""))
 
 
 def across(rows: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:

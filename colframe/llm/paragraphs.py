@@ -1,8 +1,9 @@
 """Near-duplicate paragraphs and repeated passages: MinHash banding, exact verification, removal by components.
 
-A paragraph is a line with enough words, or a passage that occurs again inside another line: texts are cut into short
-segments at places that only the words around them decide, so a passage is cut alike wherever it stands, and a run of
-segments that all occur elsewhere is a passage. Paragraphs with the same word shingles are one class; classes that
+A paragraph is a line with enough words, or a passage that occurs again at another place. Passages are found exactly:
+windows of so many words whose seed (the run of words in them with the smallest hash) occurs twice are compared by
+hash, and stretches of windows that occur elsewhere are passages. Stretches that have the same other places throughout
+are equal texts and are linked as such. All other links are of similarity: paragraphs with the same word shingles are one class; classes that
 collide in a band of MinHash values are candidates, and those whose exact Jaccard similarity reaches the threshold
 are linked. In each component the paragraph that comes first (by doc_id, then place) stays, the others are removed.
 """
@@ -24,8 +25,8 @@ from colframe.llm.linking import BOUND, buckets, keyed_rows, link, overlapping,
 LINE = re.compile(rb"[^\n]+")
 #: Words on both sides that decide whether a segment starts at a word.
 REACH = 4
-#: Bits of a node that number the segments of a row.
-PLACE_BITS = 21
+#: Bits of a node that number the words of a row.
+PLACE_BITS = 24
 
 
 def tune(similarity: float, recall: float, rows: int = 4) -> int:
@@ -80,46 +81,92 @@ def band_signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray
     return out
 
 
-def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, key, spans) of the rows with passages of at least ``least`` words that occur at another place too."""
+def windows(text: bytes | None, least: int):
+    """Hashes of the seeds, and for each window of ``least`` words its seed's number, hash, start and end byte.
+
+    A window's seed is its run of about 0.6 * least words with the smallest hash, so windows that are alike have seeds
+    that are alike, and the seeds of a text are far fewer than its windows.
+    """
+    words, start, end = word_hashes(text or b"", SOLID)
+    if len(words) < least:
+        return words[:0], np.empty(0, np.int64), words[:0], start[:0], end[:0]
+    size = max(1, -(-least * 3 // 5))
+    h = shingle_hashes(words, size)
+    many = least - size + 1
+    at = np.arange(len(words) - least + 1) + np.lib.stride_tricks.sliding_window_view(h, many).argmin(1)
+    new = np.append(True, at[1:] != at[:-1])
+    with np.errstate(over="ignore"):
+        whole = mix(h[: len(at)] * np.uint64(0x9E3779B97F4A7C15) + h[many - 1 :])
+    return h[at[new]], np.cumsum(new) - 1, whole, start[: len(at)], end[least - 1 :]
+
+
+def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Passages of at least ``least`` words that occur at another place too, with their true ends.
+
+    First, (doc_id, key, spans) of the rows that have some: maximal stretches of windows of ``least`` words that occur
+    elsewhere, wherever. Second, (doc_id, start, end, n_words, same): such stretches cut where the set of the other
+    places changes, so that each has the same text at all of them, which share ``same``.
+    """
 
     def cut(batches):
         from pyspark import TaskContext
 
-        node = TaskContext.get().partitionId() << (PLACE_BITS + 22)
+        node = TaskContext.get().partitionId() << (PLACE_BITS + 20)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                h, a, b, n = segments(text.as_py())
-                rows.append((node, 0, 0, h.tobytes(), a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
+                seeds, of, *_ = windows(text.as_py(), least)
+                if len(of) >> PLACE_BITS:
+                    raise ValueError(f"a text has more than {1 << PLACE_BITS} words")
+                rows.append((node, 0, 0, seeds.tobytes()))
                 node += 1 << PLACE_BITS
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 3, *[pa.binary()] * 4))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "node", "f1", "f2", "sigs", "starts", "ends", "words"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns, batch.column("text")], ["doc_id", "key", "node", "f1", "f2", "sigs", "text"])
 
-    schema = "doc_id long, key long, node long, f1 long, f2 long, sigs binary, starts binary, ends binary, words binary"
-    rows = scratch.save(docs.mapInArrow(cut, schema))
-    again = buckets(spark, rows, places=True).select((F.col("node").bitwiseAND(-(1 << PLACE_BITS))).alias("node"), F.col("node").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"))
-    again = again.groupBy("node").agg(F.collect_set("at").alias("at"))
-    joined = rows.select("doc_id", "key", "node", "starts", "ends", "words").join(again, "node")
+    rows = scratch.save(docs.mapInArrow(cut, "doc_id long, key long, node long, f1 long, f2 long, sigs binary, text binary"))
+    row, place = F.col("node").bitwiseAND(-(1 << PLACE_BITS)).alias("node"), F.col("node").bitwiseAND((1 << PLACE_BITS) - 1).alias("at")
+    again = buckets(spark, rows, places=True).select(row, place).groupBy("node").agg(F.collect_set("at").alias("seeds"))
 
-    def run(batches):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    def hashed(batches):
         for batch in batches:
             out = []
-            for at, *raw in zip(*(batch.column(c).to_pylist() for c in ("at", "starts", "ends", "words"))):
-                start, end, words = (np.frombuffer(x, np.int32) for x in raw)
-                at = np.sort(np.array(at))
-                breaks = np.flatnonzero(np.diff(at) > 1)
-                first, last = at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)]
-                total = np.concatenate([[0], np.cumsum(words)])
-                out.append([{"start": int(start[a]), "end": int(end[b])} for a, b in zip(first, last) if total[b + 1] - total[a] >= least])
-            got = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, kind)], ["doc_id", "key", "spans"])
-            yield got.filter(pa.array([bool(x) for x in out], pa.bool_()))
-
-    found = joined.mapInArrow(run, "doc_id long, key long, spans array<struct<start:long,end:long>>")
-    found = scratch.save(found.dropDuplicates(["doc_id", "key"]))
+            for text, found in zip(batch.column("text"), batch.column("seeds").to_pylist()):
+                seeds, of, whole, start, end = windows(text.as_py(), least)
+                some = np.zeros(len(seeds), bool)
+                some[found] = True
+                at = np.flatnonzero(some[of])
+                out.append((0, 0, whole[at].tobytes(), *(x.astype(np.int32).tobytes() for x in (at, start[at], end[at]))))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 2, *[pa.binary()] * 4))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "node")), *columns], ["doc_id", "key", "node", "f1", "f2", "sigs", "at", "starts", "ends"])
+
+    schema = "doc_id long, key long, node long, f1 long, f2 long, sigs binary, at binary, starts binary, ends binary"
+    near = scratch.save(rows.select("doc_id", "key", "node", "text").join(again, "node").mapInArrow(hashed, schema))
     scratch.drop(rows)
-    return found
+    again = buckets(spark, near, places=True, at="at").select(row, F.struct(place, "sig", "tag").alias("hit"))
+    joined = near.select("doc_id", "key", "node", F.col("at").alias("places"), "starts", "ends").join(again.groupBy("node").agg(F.collect_list("hit").alias("hits")), "node")
+
+    def run(batches):
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        parts = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("same", pa.int64())]))
+        for batch in batches:
+            wide, narrow = [], []
+            for hits, *raw in zip(batch.column("hits"), *(batch.column(c).to_pylist() for c in ("places", "starts", "ends"))):
+                places, start, end = (np.frombuffer(x, np.int32) for x in raw)
+                at, sig, tag = (hits.values.field(c).to_numpy() for c in ("at", "sig", "tag"))
+                order = np.argsort(at)
+                at, sig, tag = at[order], sig[order], tag[order]
+                i = np.searchsorted(places, at)
+                gap = np.diff(at) > 1
+                for out, breaks in ((wide, np.flatnonzero(gap)), (narrow, np.flatnonzero(gap | (np.diff(tag) != 0)))):
+                    first, last = np.append(0, breaks + 1), np.append(breaks, len(at) - 1)
+                    out.append([{"start": a, "end": b, "n_words": n, "same": s} for a, b, n, s in zip(start[i[first]].tolist(), end[i[last]].tolist(), (at[last] - at[first] + least).tolist(), sig[first].tolist())])
+            wide = [[{"start": x["start"], "end": x["end"]} for x in r] for r in wide]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(wide, spans), pa.array(narrow, parts)], ["doc_id", "key", "spans", "parts"])
+
+    kind = "doc_id long, key long, spans array<struct<start:long,end:long>>, parts array<struct<start:long,end:long,n_words:long,same:long>>"
+    found = scratch.save(joined.mapInArrow(run, kind).dropDuplicates(["doc_id", "key"]))
+    scratch.drop(near)
+    return found.select("doc_id", "key", "spans"), found.select("doc_id", F.explode("parts").alias("x")).select("doc_id", "x.*").distinct()
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), least: int = 20, recall: float = 0.9995) -> DataFrame:
@@ -130,12 +177,13 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
     words take no part; a null or empty text has none. What overlaps the paragraph that stays is not removed: a passage
     may lie in a line, and rows that repeat a doc_id count as one document. Rows with a null doc_id take no part. Words are
     runs of non-space characters with A-Z lower-cased. Bands are tuned so that pairs at the threshold collide with
-    probability ``recall``; what collides is verified exactly.
+    probability ``recall``; what collides is verified exactly. Passages are also cut where the set of their other places
+    changes, and such parts stay at the first of these places only.
     """
     ship(spark)
     scratch = Scratch(spark, "paragraphs")
     docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    spans = passages(spark, scratch, docs, least)
+    spans, parts = passages(spark, scratch, docs, least)
     n_spans = spans.count()
     marked = docs.join(F.broadcast(spans) if n_spans <= BOUND else spans, ["doc_id", "key"], "left")
     rows_ = 4
@@ -211,10 +259,14 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
     linked = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").where("comp is not null or copies > 1")
     linked = linked.select("node", F.coalesce("comp", "rep").alias("comp"))
     found = scratch.save(rows.select("doc_id", "node", "start", "end", "n_words").join(linked, "node"))
-    first = found.groupBy("comp").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"))
-    out = found.join(first, "comp")
+    found = found.select("doc_id", "start", "end", "n_words", F.lit(0).alias("kind"), "comp")
+    found = scratch.save(found.union(parts.select("doc_id", "start", "end", "n_words", F.lit(1), "same")))
+    first = found.groupBy("kind", "comp").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"))
+    out = found.join(first, ["kind", "comp"])
     stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") < F.col("first.end")) & (F.col("end") > F.col("first.start"))
-    return out.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("component_doc"), F.col("first.start").alias("component_start"), (~stays).alias("removed"))
+    out = out.select("doc_id", "start", "end", "n_words", F.struct((~stays).alias("removed"), F.col("first.doc_id").alias("component_doc"), F.col("first.start").alias("component_start")).alias("x"))
+    out = out.groupBy("doc_id", "start", "end").agg(F.max("n_words").alias("n_words"), F.max("x").alias("x"))
+    return out.select("doc_id", "start", "end", "n_words", "x.component_doc", "x.component_start", "x.removed")
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:

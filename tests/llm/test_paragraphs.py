@@ -70,3 +70,28 @@ def test_empty_and_cut_out(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert paragraphs.duplicates(spark, df).count() == 0
     assert paragraphs.cut_out("aé b\n\nc d", [(0, 3)]) == " b\n\nc d" and paragraphs.cut_out("a\nb\nc", [(2, 3)]) == "a\nc" and paragraphs.cut_out("ab", [(0, 2), (1, 2)]) == ""
+
+
+def test_windows_find_every_common_passage():
+    rng = random.Random(5)
+    for n in (20, 25, 33):
+        passage, seen = make(rng, n), []
+        for _ in range(2):
+            t = (make(rng, rng.randint(0, 40)) + " " + passage + " " + make(rng, rng.randint(0, 40))).encode()
+            seeds, of, whole, start, end = paragraphs.windows(t, 20)
+            seen.append((set(seeds.tolist()), set(whole.tolist())))
+        assert len(seen[0][1] & seen[1][1]) == n - 19 and seen[0][0] & seen[1][0]
+    assert len(paragraphs.windows(None, 20)[0]) == len(paragraphs.windows(b"x " * 19, 20)[2]) == 0 and len(paragraphs.windows(b"x " * 30, 20)[0]) == 11
+
+
+def test_passages_side_by_side_and_in_copies(spark):
+    rng = random.Random(6)
+    p, q, r = make(rng, 40), make(rng, 35), make(rng, 20)
+    texts = [make(rng, 12) + " " + p + " " + q + " " + make(rng, 9), make(rng, 30) + " " + p + " " + make(rng, 8), make(rng, 7) + " " + q + " " + make(rng, 31)]
+    copied = make(rng, 30) + " " + r + " " + make(rng, 30)
+    texts += [make(rng, 11) + " " + r + " " + make(rng, 13), copied, copied, make(rng, 80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(9)
+    found = paragraphs.duplicates(spark, df)
+    out = {x.doc_id: x.text.split() for x in paragraphs.remove(spark, df, found).collect()}
+    cut = lambda t, x: t.replace(x, "").split()
+    assert out == {0: texts[0].split(), 1: cut(texts[1], p), 2: cut(texts[2], q), 3: texts[3].split(), 4: cut(copied, r), 6: texts[6].split()}
