@@ -187,6 +187,12 @@ def _(spark, d):
     return out.select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
+@register("dft_all", "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, k.k::int AS k, round(sum(value * cos(-2 * pi() * t * k.k / n)), 4) + 0.0 AS re, round(sum(value * sin(-2 * pi() * t * k.k / n)), 4) + 0.0 AS im FROM x JOIN range((SELECT max(n) FROM x)) k(k) ON k.k < n GROUP BY 1, 2")
+def _(spark, d):
+    out = G.per_series(series(spark, d), "user_id", "event_id", "value", G.fft, "k int, re double, im double")
+    return out.select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
 @register("fftfreq", "SELECT i AS k, (CASE WHEN i < 5 THEN i ELSE i - 9 END) / (9 * 0.5) AS f FROM range(9) t(i)")
 def _(spark, d):
     return G.frequencies(spark, 9, 0.5)

@@ -123,6 +123,13 @@ def _(spark, d):
     return x.join(longest).select("user_id", V.pad(F.col("v"), F.col("n"), 0.0).alias("p"))
 
 
+@register("ragged_padding_all", "SELECT user_id, list_concat(v, list_resize([0.0::double], greatest(n - len(v), 0)::bigint, 0.0::double)[1:greatest(n - len(v), 0)::bigint]) AS p FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM events GROUP BY user_id))")
+def _(spark, d):
+    x = T(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"]).alias("v"))
+    longest = F.broadcast(x.agg(F.max(F.size("v")).alias("n")))  # one row
+    return x.join(longest).select("user_id", V.pad(F.col("v"), F.col("n"), 0.0).alias("p"))
+
+
 @register("constructors", "SELECT [0.0::double, 0.25, 0.5, 0.75, 1.0] AS lin, [1.0::double, 1.5, 2.0] AS ar, [7.0::double, 7.0, 7.0] AS f")
 def _(spark, d):
     return spark.range(1).select(V.linspace(0, 1, 5).alias("lin"), V.arange(1, 2.5, 0.5).alias("ar"), F.array_repeat(F.lit(7.0), 3).alias("f"))
@@ -289,6 +296,12 @@ def _(spark, d):
     return rounded(M.matmul(m, M.transpose(m)))
 
 
+@register("coo_matmul_all", f"SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM ({COO}) a JOIN ({COO}) b ON a.j = b.j GROUP BY 1, 2")
+def _(spark, d):
+    m = coo(spark, d)
+    return rounded(M.matmul(m, M.transpose(m)))
+
+
 @register("coo_matvec", f"SELECT i, round(sum(v * (j + 1)), 6) AS v FROM ({COO}) GROUP BY 1")
 def _(spark, d):
     return rounded(M.matvec(coo(spark, d), spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v"))))

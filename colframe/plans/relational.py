@@ -100,6 +100,12 @@ def _(spark, d):
     return fr.merge(a, x.where("event_id % 50 = 0").select("user_id", "event_id"), "user_id", "inner")
 
 
+@register("merge_null_keys_all", f"SELECT a.user_id, a.event_id AS event_id_x, b.event_id AS event_id_y FROM ({HOLES}) a JOIN ({HOLES}) b ON a.user_id IS NOT DISTINCT FROM b.user_id")
+def _(spark, d):
+    x = holes(spark, d).select("user_id", "event_id")
+    return fr.merge(x, x, "user_id", "inner")
+
+
 @register(
     "merge_two_keys",
     "SELECT a.p AS p, a.s AS s, a.q AS q_x, b.q AS q_y FROM (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) a JOIN (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b USING (p, s)",
@@ -198,6 +204,11 @@ def _(spark, d):
     return fr.sort_values(holes(spark, d).select("event_id", "value"), "value", False, "event_id").limit(2000)
 
 
+@register("sort_missing_first_desc_all", f"SELECT event_id, value FROM ({HOLES}) ORDER BY value DESC NULLS FIRST, event_id")
+def _(spark, d):
+    return fr.sort_values(holes(spark, d).select("event_id", "value"), "value", False, "event_id")
+
+
 @register("head", "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 7")
 def _(spark, d):
     return fr.head(T(spark, d, "supplier"), 7, "s_suppkey")
