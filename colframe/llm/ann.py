@@ -81,17 +81,13 @@ class Best:
         query, score, ids = query[order], score[order], ids[order]
         names, start = np.unique(query, return_index=True)
         for q, a, b in zip(names, start, [*start[1:], len(query)]):
+            own = ids[a:b]
+            at = a + np.sort(np.unique(own, return_index=True)[1])[: self.k]  # each id's nearest row
             best: dict[int, float] = {}
-            for s, i in sorted([*self.rows[q], *zip(score[a : min(b, a + 4 * self.k)].tolist(), ids[a : min(b, a + 4 * self.k)].tolist())]):
+            for s, i in sorted([*self.rows[q], *zip(score[at].tolist(), ids[at].tolist())]):
                 best.setdefault(i, s)
                 if len(best) == self.k:
                     break
-            if len(best) < self.k and b - a > 4 * self.k:  # many rows with the same ids
-                best = {}
-                for s, i in sorted([*self.rows[q], *zip(score[a:b].tolist(), ids[a:b].tolist())]):
-                    best.setdefault(i, s)
-                    if len(best) == self.k:
-                        break
             self.rows[q] = [(s, i) for i, s in best.items()]
             if len(best) == self.k:
                 self.limit[q] = self.rows[q][-1][0]

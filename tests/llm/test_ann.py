@@ -44,3 +44,10 @@ def test_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in ann.nearest(spark, df.where("vec_id = 0"), df, 10).collect()] == [(0, 1, 1)]
     assert ann.nearest(spark, df.where("false"), df).count() == 0 and ann.nearest(spark, df, df.where("false")).count() == 0
+
+
+def test_repeated_ids_do_not_hide_others():
+    best = ann.Best(1, 2)
+    best.add(np.zeros(2, int), np.array([8.0, 9.0]), np.array([1, 2]))
+    best.add(np.zeros(31, int), np.append(np.full(30, 1.0), 2.0), np.append(np.full(30, 3), 4))
+    assert best.rows[0] == [(1.0, 3), (2.0, 4)]
