@@ -197,8 +197,10 @@ class Scanner:
             chains: list[list[int]] = []  # text start, text end, template end, covered words
             for s, e, ts, te in sorted(found):
                 best = None
-                for c in chains[-16:]:
-                    if -1 < s - c[1] <= self.gap and -1 < ts - c[2] <= self.gap and (best is None or c[3] > best[3]):
+                for c in reversed(chains):
+                    if s - c[1] > self.gap:  # matches are longest ones, so those before ended no later
+                        break
+                    if s >= c[1] and -1 < ts - c[2] <= self.gap and (best is None or c[3] >= best[3]):
                         best = c
                 chains.append([best[0] if best else s, e, te, (best[3] if best else 0) + e - s])
             last = -1

@@ -53,3 +53,10 @@ def test_spans_survive_edits():
 
 def test_empty(spark):
     assert licenses.scan(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chain_whose_predecessor_has_many_places():
+    template = "p q r a1 s t u a2 v w x " + " ".join(f"b{i} c{i} d{i} s t u" for i in range(19))
+    n = len(template.split())
+    s = Scanner({"never seen": "x"}, {"t": [template]}, least=3, gap=2, coverage=9 / n - 1e-9)
+    assert s.scan(b"p q r y s t u y v w x".split())[1] == [("t", 0, 10, 9 / n)]
