@@ -59,12 +59,13 @@ def segments(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def paragraphs(text: bytes | None, passages: list[tuple[int, int]], k: int, least: int):
-    """(start byte, end byte, words, distinct shingle hashes) of each line of at least ``least`` words and each passage."""
-    lines = [m.span() for m in LINE.finditer(text or b"") if m.end() - m.start() >= 2 * least - 1]
-    for a, b in [*lines, *sorted(set(passages) - set(lines))]:
-        words = word_hashes(text[a:b], SOLID)[0]
-        if len(words) >= least:
-            yield a, b, len(words), np.unique(shingle_hashes(words, k))
+    """(start byte, end byte, words, distinct shingle hashes) of each line of at least k words and each passage of at least ``least``."""
+    lines = [m.span() for m in LINE.finditer(text or b"") if m.end() - m.start() >= 2 * k - 1]
+    for spans, fewest in ((lines, k), (sorted(set(passages) - set(lines)), least)):
+        for a, b in spans:
+            words = word_hashes(text[a:b], SOLID)[0]
+            if len(words) >= fewest:
+                yield a, b, len(words), np.unique(shingle_hashes(words, k))
 
 
 def band_signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -173,8 +174,8 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
     """Paragraphs of docs(doc_id, text) that have a near copy, in the same or another document.
 
     Returns doc_id, start and end (bytes of the text in UTF-8), n_words, component_doc and component_start (the
-    paragraph that stays) and removed, one row for each such paragraph. Lines and passages of fewer than ``least``
-    words take no part; a null or empty text has none. What overlaps the paragraph that stays is not removed: a passage
+    paragraph that stays) and removed, one row for each such paragraph. Lines of fewer than k words and passages of
+    fewer than ``least`` take no part; a null or empty text has none. What overlaps the paragraph that stays is not removed: a passage
     may lie in a line, and rows that repeat a doc_id count as one document. Rows with a null doc_id take no part. Words are
     runs of non-space characters with A-Z lower-cased. Bands are tuned so that pairs at the threshold collide with
     probability ``recall``; what collides is verified exactly. Passages are also cut where the set of their other places

@@ -95,3 +95,11 @@ def test_passages_side_by_side_and_in_copies(spark):
     out = {x.doc_id: x.text.split() for x in paragraphs.remove(spark, df, found).collect()}
     cut = lambda t, x: t.replace(x, "").split()
     assert out == {0: texts[0].split(), 1: cut(texts[1], p), 2: cut(texts[2], q), 3: texts[3].split(), 4: cut(copied, r), 6: texts[6].split()}
+
+
+def test_short_lines_take_part(spark):
+    rng = random.Random(8)
+    short = make(rng, 5)
+    df = spark.createDataFrame([(i, make(rng, 15) + "\n" + short + "\n" + make(rng, 4)) for i in range(3)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df)).collect()}
+    assert [short in out[i] for i in range(3)] == [True, False, False] and len(out[2].split()) == 19
