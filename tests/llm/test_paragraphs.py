@@ -103,3 +103,12 @@ def test_short_lines_take_part(spark):
     df = spark.createDataFrame([(i, make(rng, 15) + "\n" + short + "\n" + make(rng, 4)) for i in range(3)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df)).collect()}
     assert [short in out[i] for i in range(3)] == [True, False, False] and len(out[2].split()) == 19
+
+
+def test_short_passages_inside_lines_lose_all_words(spark):
+    rng = random.Random(9)
+    passages = [make(rng, n) for n in (20, 22, 25, 30, 60)]
+    texts = [make(rng, rng.randint(5, 40)) + " " + p + " " + make(rng, rng.randint(5, 40)) for p in passages for _ in range(2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.text.split() for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df)).collect()}
+    assert out == {i: (t.replace(passages[i // 2], "") if i % 2 else t).split() for i, t in enumerate(texts)}
