@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+    """The batch in pieces of about ``most`` bytes of a binary or string column (one row at least)."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def elements(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one array of ``kind``, and how many elements each has (a null: none)."""
+    width = np.dtype(kind).itemsize
+    counts = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // width
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind), counts
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 

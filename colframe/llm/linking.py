@@ -1,9 +1,10 @@
 """Exact components of a similarity graph from candidate buckets, without emitting all pairs of a bucket.
 
-Candidates share a bucket. Each bucket first links its members to one of them (a star, linear in its size). Only
-members that verified links have not joined by then are compared further, across components, by bitmaps inside their
-bucket. Every pair of a bucket is thus verified or already in one component, so no link between
-components is lost.
+Candidates share a bucket. In star rounds every component of a bucket offers one member to the bucket's hub, and each
+component verifies the most promising of its offers only. What is still apart then is compared in place, across
+components, by bitmaps that rule out no link; a component verifies its most promising pairs first, more of them in
+each round, and rounds end when none was left out. After every round components are contracted, so verified pairs stay
+linear in members although each pair of a bucket is verified, ruled out or already in one component.
 """
 
 from __future__ import annotations
@@ -15,147 +16,208 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import Scratch, mix
+from colframe.llm.common import Scratch, elements, slices
 
 #: Rows of 8-byte keys that may be broadcast.
 BOUND = 1_000_000
+#: Members of a bucket that a task compares with as many others, bytes of signatures in a range and between two merges.
+CHUNK, RANGE, MERGE = 2048, 4 << 20, 8 << 20
+#: Star rounds at most, pairs that a component verifies in the first round across and how that number grows.
+STARS, FIRST, MORE = 4, 4, 16
 
 
-def buckets(spark: SparkSession, signed: DataFrame, places: bool = False, at: str | None = None) -> DataFrame:
-    """(sig, node) of all signatures that two nodes or more share, from signed(node, f1, f2, sigs binary of uint64).
+def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> DataFrame:
+    """(sig, node) of all signatures that two nodes or more have, from signed(node, sigs: binary of uint64).
 
-    Tasks skip contents (f1, f2) that they have sent before; with places, they skip none and the k-th signature is
-    that of node + k, or of node + the k-th int32 of the binary column ``at``; then rows have a tag besides, which two
-    places share if their bucket has the same members around them. Tasks send signatures in blocks by range, which are the
-    rows that are shuffled; each range is grouped by itself, so memory follows a range's size. A block's nodes are
-    offsets of 4 bytes if those of its batch lie close enough, else of 8.
+    With places, signed has besides a binary ``at`` of an int32 for each signature, and rows are (sig, node, at) of
+    signatures that two places or more have. Tasks send signatures in blocks by range, which are the rows that are
+    shuffled. A range is merged block by block into one row for each distinct signature, so memory follows a range's
+    distinct signatures, whatever number of nodes has one; the number of ranges follows the bytes of signatures.
     """
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
-    columns = ["node", "f1", "f2", "sigs", *([at] if at else [])]
+    total = signed.agg(F.sum(F.octet_length("sigs").cast("double"))).first()[0] or 0.0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8, int(total / RANGE) + 1)
+    names = ["sig", "node", *(["at"] if places else [])]
 
     def send(batches):
-        seen: set = set()
-        for batch in batches:
-            sigs, nodes, counts, offsets = [], [], [], []
-            for node, a, b, raw, *off in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if places or (a, b) not in seen:
-                    if not places:
-                        seen.add((a, b))
-                    sigs.append(np.frombuffer(raw, np.uint64))
-                    nodes.append(node)
-                    counts.append(len(raw) // 8)
-                    offsets += [np.frombuffer(x, np.int32) for x in off]
-            if not sigs:
-                continue
-            sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), counts)
-            if at:
-                node = node + np.concatenate(offsets)
-            elif places:
-                node = node + np.arange(len(node)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
-            base = int(node.min()) if len(node) else 0
-            node = node - base
-            if len(node) and node.max() < 1 << 32:  # a batch may hold rows of several tasks, whose nodes are far apart
-                node = node.astype(np.uint32)
-            part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            sig, node, part = sig[order], node[order], part[order]
-            used, start = np.unique(part, return_index=True)
-            ends = [*start[1:], len(part)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int64)), pa.array([sig[s:e].tobytes() for s, e in zip(start, ends)], pa.binary()), pa.array([node[s:e].tobytes() for s, e in zip(start, ends)], pa.binary()), pa.array([base] * len(used), pa.int64())],
-                ["part", "sigs", "nodes", "base"],
-            )
-
-    def shared(sigs: list, nodes: list) -> pa.RecordBatch:
-        sig, node = np.frombuffer(b"".join(sigs), np.uint64), np.concatenate(nodes)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        once = np.ones(len(sig), bool)
-        once[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[once], node[once]
-        same = sig[1:] == sig[:-1]
-        keep = np.zeros(len(sig), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        sig, node = sig[keep], node[keep]
-        if not at:
-            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], ["sig", "node"])
-        tag = np.empty(0, np.uint64)
-        if len(sig):
-            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(start, len(sig)))
-            with np.errstate(over="ignore"):
-                off = mix((node - np.repeat(node[start], size)).astype(np.uint64) + np.uint64(1))
-                tag = mix(np.repeat(np.add.reduceat(off, start), size) + mix(off))
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(tag.view(np.int64))], ["sig", "node", "tag"])
+        for whole in batches:
+            for batch in slices(whole, "sigs", RANGE):
+                sig, counts = elements(batch.column("sigs"), np.uint64)
+                if not len(sig):
+                    continue
+                node = np.repeat(batch.column("node").to_numpy(), counts)
+                part = (sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                order = np.argsort(part, kind="stable")
+                sig, node, part = sig[order], node[order], part[order]
+                at = elements(batch.column("at"), np.int32)[0][order] if places else np.empty(0, np.int32)
+                used, start = np.unique(part, return_index=True)
+                cuts = list(zip(start, [*start[1:], len(part)]))
+                base = [int(node[s:e].min()) for s, e in cuts]
+                # a batch may hold rows of several tasks, whose nodes are far apart: offsets of 4 bytes only if they fit
+                near = [node[s:e] - b for (s, e), b in zip(cuts, base)]
+                near = [(x.astype(np.uint32) if x.max() < 1 << 32 else x).tobytes() for x in near]
+                columns = [pa.array(used.astype(np.int64)), pa.array([sig[s:e].tobytes() for s, e in cuts], pa.binary()), pa.array(near, pa.binary()), pa.array(base, pa.int64()), pa.array([at[s:e].tobytes() for s, e in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "sigs", "nodes", "base", "at"])
+
+    def rows_of(*columns):
+        for a in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (columns[0].view(np.int64), *columns[1 : len(names)])], names)
+
+    def merge(state, blocks):
+        """The new state, and rows to send: a signature's first row waits in the state until there is another."""
+        sig, node, at, sent = (np.concatenate(x) for x in zip(state, *blocks))
+        order = np.lexsort((at, node, sig))
+        sig, node, at, sent = sig[order], node[order], at[order], sent[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (at[1:] != at[:-1])
+        first = np.flatnonzero(new)
+        sent = np.maximum.reduceat(sent, first) if len(first) else sent
+        sig, node, at = sig[first], node[first], at[first]
+        head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
+        size = np.diff(np.append(head, len(sig)))
+        go = (np.repeat(size, size) > 1) & ~sent
+        was = np.logical_or.reduceat(sent, head) if len(head) else sent
+        return (sig[head], node[head], at[head], was | (size > 1)), (sig[go], node[go], at[go])
 
     def group(batches):
-        now, sigs, nodes = None, [], []
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool))
+        now, state, blocks, size = None, none, [], 0
         for batch in batches:
-            for part, s, n, base in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "nodes", "base"))):
-                if part != now and sigs:
-                    yield shared(sigs, nodes)
-                    sigs, nodes = [], []
-                now = part
-                sigs.append(s)
-                nodes.append(np.frombuffer(n, np.int64 if len(n) == len(s) else np.uint32).astype(np.int64) + base)
-        if sigs:
-            yield shared(sigs, nodes)
-
-    blocks = signed.select(*columns).mapInArrow(send, "part long, sigs binary, nodes binary, base long")
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long" + (", tag long" if at else ""))
-
-
-def across(rows: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
-
-    A bucket's sketches are compared where they lie, so only pairs that may be links leave a task.
+            for part, s, n, base, at in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "nodes", "base", "at"))):
+                if blocks and (part != now or size > MERGE):
+                    state, out = merge(state, blocks)
+                    blocks, size = [], 0
+                    yield from rows_of(*out)
+                if part != now:
+                    now, state = part, none
+                sig = np.frombuffer(s, np.uint64)
+                node = np.frombuffer(n, np.int64 if len(n) == len(s) else np.uint32).astype(np.int64) + base
+                blocks.append((sig, node, np.frombuffer(at, np.int32) if places else np.zeros(len(sig), np.int32), np.zeros(len(sig), bool)))
+                size += len(s)
+        if blocks:
+            yield from rows_of(*merge(state, blocks)[1])
+
+    blocks = signed.select("node", "sigs", *(["at"] if places else [])).mapInArrow(send, "part long, sigs binary, nodes binary, base long, at binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long" + (", at int" if places else ""))
+
+
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of ``size`` bytes or a multiple of it as rows of ``size`` bytes, as uint64."""
+    out = np.stack([np.frombuffer(x, np.uint64) for x in maps])
+    while out.shape[1] * 8 > size:
+        out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+    return out
+
+
+def closest(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], share: tuple[int, int], most: int):
+    """Pairs of different components that sizes and bitmaps allow: (a, b, whether its component has more).
+
+    Between the rows of side 0 and those of side 1; if there is but one side, between all of its rows, where the
+    largest component needs no row of its own to look for partners. Each component gets its ``most`` closest pairs.
     """
     p, q = share
-    sorted_ = rows.select("sig", "node", "comp").join(sketches, "node").select("sig", "node", "comp", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
-
-    def fold(x: np.ndarray, length: int) -> np.ndarray:
-        while len(x) > length:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        return x
-
-    def pairs(group: list) -> list[tuple[int, int]]:
-        group.sort(key=lambda r: (r[2], r[0]))
-        node, comp, n = (np.array([r[i] for r in group], np.int64) for i in range(3))
-        maps, folded, out = [np.frombuffer(r[3], np.uint8) for r in group], {}, []
-        for i in range(len(group) - 1):
-            end = int(np.searchsorted(n, n[i] * q // p, "right"))
-            if end <= i + 1:
+    if side.min() == side.max():
+        names, of = np.unique(comp, return_inverse=True)
+        mine, theirs = np.flatnonzero(of != np.bincount(of).argmax()), np.arange(len(node))
+    else:
+        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    length = np.array([len(x) for x in maps])
+    found, many = [], np.zeros(len(node), np.int64)
+    for s in np.unique(length[mine]):
+        own = mine[length[mine] == s]
+        for t in (s // 2, s, 2 * s):
+            other = theirs[length[theirs] == t]
+            if not len(other):
                 continue
-            size = len(maps[i])
-            if size not in folded:  # shorter maps come before, so this begins at i
-                folded[size] = (i, np.stack([fold(x, size) for x in maps[i:]]))
-            first, table = folded[size]
-            differ = np.bitwise_count(table[i + 1 - first : end - first] ^ maps[i]).sum(1, dtype=np.int64)
-            total = n[i] + n[i + 1 : end]
-            for j in np.flatnonzero((differ <= total - 2 * -(-p * total // (p + q))) & (comp[i + 1 : end] != comp[i])) + i + 1:
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
-        return out
+            y = folded([maps[j] for j in other], min(s, t))
+            step = max(1, (1 << 21) // max(1, y.size))
+            for a in range(0, len(own), step):
+                i = own[a : a + step]
+                x = folded([maps[j] for j in i], min(s, t))
+                differ = np.zeros((len(i), len(other)), np.int64)
+                for w in range(x.shape[1]):
+                    differ += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+                total = n[i][:, None] + n[other]
+                fit = (differ <= total - 2 * -(-p * total // (p + q))) & (comp[i][:, None] != comp[other]) & (q * np.minimum(n[i][:, None], n[other]) >= p * np.maximum(n[i][:, None], n[other]))
+                many[i] += fit.sum(1)
+                cost = np.where(fit, differ / total, np.inf)
+                if len(other) > most:
+                    at = np.argpartition(cost, most - 1, axis=1)[:, :most]
+                    row, col = np.repeat(np.arange(len(i)), most), at.ravel()
+                else:
+                    row, col = (x.ravel() for x in np.indices(cost.shape))
+                ok = np.isfinite(cost[row, col])
+                row, col = row[ok], col[ok]
+                found.append((i[row], other[col], cost[row, col]))
+    if not found:
+        return [], [], []
+    i, j, cost = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((cost, comp[i]))
+    i, j = i[order], j[order]
+    head = np.flatnonzero(np.append(True, comp[i][1:] != comp[i][:-1])) if len(i) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(i)))
+    rank = np.arange(len(i)) - np.repeat(head, size)
+    more = np.repeat((np.maximum.reduceat(many[i], head) > most) | (size > most) if len(head) else size > 0, size)
+    keep = rank < most
+    i, j, more = i[keep], j[keep], more[keep]
+    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more
+
+
+def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFrame, share: tuple[int, int], most: int) -> DataFrame:
+    """Pairs (a, b, more) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
+
+    Buckets of more than two chunks of members are split: a component that fills a chunk has chunks of its own, which
+    need no comparison with each other, smaller ones share chunks, and every pair of chunks is a group of its own. So
+    a group has two chunks of rows, and what a task compares and emits is bounded.
+    """
+    small = rows.join(open_.where(F.col("m") <= 2 * CHUNK).select("sig"), "sig").select("sig", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "node", "comp")
+    parts = small
+    if open_.where(F.col("m") > 2 * CHUNK).limit(1).count():
+        large = open_.where(F.col("m") > 2 * CHUNK).select("sig")
+        mine = sizes.join(large, "sig").select("sig", "comp", "n")
+        chunks = mine.select("sig", F.when(F.col("n") > CHUNK, F.col("comp")).otherwise(-1).alias("c"), "n").groupBy("sig", "c").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("k"))
+        of = mine.select("sig", "comp", F.when(F.col("n") > CHUNK, F.col("comp")).otherwise(-1).alias("c")).join(chunks, ["sig", "c"])
+        each = chunks.select("sig", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+        x, y = (each.select("sig", F.struct("c", "j").alias(s)) for s in "xy")
+        plan = x.join(y, "sig").where((F.col("x") <= F.col("y")) & ((F.col("x.c") != F.col("y.c")) | (F.col("x.c") == -1)))
+        plan = plan.select("sig", "x", "y", F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
+        dealt = rows.join(of, ["sig", "comp"]).select("sig", "node", "comp", F.struct("c", F.when(F.col("c") == -1, F.pmod(F.xxhash64("comp"), "k")).otherwise(F.pmod(F.xxhash64("node"), "k")).cast("int").alias("j")).alias("z"))
+        left = dealt.join(plan.withColumnRenamed("x", "z"), ["sig", "z"]).select("sig", "a", "b", F.lit(0).alias("side"), "node", "comp")
+        right = dealt.join(plan.where("x != y").withColumnRenamed("y", "z"), ["sig", "z"]).select("sig", "a", "b", F.lit(1).alias("side"), "node", "comp")
+        parts = small.union(left).union(right)
+    names = ["sig", "a", "b", "side", "node", "comp", "n", "sketch"]
+    sorted_ = parts.join(sketches, "node").select(*names).repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
+
+    def send(found):
+        a, b, more = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+
+    def pairs(group):
+        if len(group) < 2:
+            return [], [], []
+        side, node, comp, n, maps = zip(*group)
+        return closest(*(np.array(x, np.int64) for x in (side, node, comp, n)), maps, share, most)
 
     def run(batches):
-        at, group, found = None, [], set()
+        at, group, found, size = None, [], [], 0
         for batch in batches:
-            for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "comp", "n", "sketch"))):
-                if sig != at:
-                    found.update(pairs(group) if len(group) > 1 else ())
-                    at, group = sig, []
+            for sig, a, b, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (sig, a, b) != at:
+                    got = pairs(group)
+                    if len(got[0]):
+                        found.append(got)
+                        size += len(got[0])
+                    at, group = (sig, a, b), []
+                    if size > 50_000:
+                        yield send(found)
+                        found, size = [], 0
                 group.append(row)
-            if len(found) > 100_000:
-                yield send(found)
-                found = set()
-        found.update(pairs(group) if len(group) > 1 else ())
-        yield send(found)
-
-    def send(found: set) -> pa.RecordBatch:
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        got = pairs(group)
+        if len(got[0]):
+            found.append(got)
+        if found:
+            yield send(found)
 
-    return sorted_.mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -174,49 +236,64 @@ def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFr
         scratch.drop(step, labels)
         labels = new
         if not new.where("changed").limit(1).count():
+            scratch.drop(both)
             return new.select("node", "comp")
 
 
-def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], given: DataFrame, sketches: DataFrame, share: tuple[int, int], stars: int = 1) -> DataFrame:
-    """(node, comp) of the nodes that have a link, from buckets members(sig, node).
+def merged(spark: SparkSession, scratch: Scratch, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels(node, comp) after links found(a, b) have joined components; only components are walked, not nodes."""
+    ends = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
+    edges = scratch.save(ends.where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    n = edges.count()
+    if not n:
+        return labels
+    up = connected(spark, scratch, edges).toDF("comp", "up")
+    up = F.broadcast(up) if 2 * n <= BOUND else up
+    return scratch.save(labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+
 
-    verify gets distinct pairs (a, b), a < b, and returns those that are links; given holds links known before.
+def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], given: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(node, comp) of all nodes of buckets members(sig, node) and of given(a, b), links known before.
+
+    verify gets distinct pairs (a, b), a < b, that sketches(node, n, sketch) don't rule out, and returns the links.
     """
     members = scratch.save(members)
-    n_rows = members.count()
-    edges, tried, labels = given.select("a", "b"), None, None
-    rows = members.withColumn("comp", F.col("node"))
-    for turn in range(stars + 1):
-        if labels is not None:
-            rows = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-        open_ = sizes.groupBy("sig").agg(
-            F.count("*").alias("comps"),
-            (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"),
-            (F.min("low") if turn % 2 == 0 else F.max("high")).alias("hub"),
-        )
-        open_ = scratch.save(open_.where("comps > 1").drop("comps"))
-        cross = (open_.agg(F.sum(F.col("cross").cast("double"))).first()[0] or 0) / 2
+    nodes = members.select("node").union(given.select("a")).union(given.select("b")).distinct()
+    labels = merged(spark, scratch, scratch.save(nodes.select("node", F.col("node").alias("comp"))), given)
+    tried, stars, most, n_rows = None, 0, FIRST, members.count()
+    while True:
+        rows = members.join(labels, "node").select("sig", "node", "comp")
+        sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(stars), "node").alias("h"), "node")).alias("low"))
+        sizes = scratch.save(sizes.select("sig", "comp", "n", "low.h", "low.node"))
+        open_ = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min(F.struct(-F.col("n"), "h", "node", "comp")).alias("hub"))
+        open_ = scratch.save(open_.where("comps > 1").select("sig", "m", (F.col("m").cast("double") * F.col("m") - F.col("squares")).alias("cross"), "hub.node", "hub.comp"))
+        cross = open_.agg(F.sum("cross")).first()[0] or 0.0
         if not cross:
-            break
-        last = turn == stars or (turn > 0 and cross <= 4 * n_rows)
-        left = rows.join(open_, "sig").select("sig", "node", "comp", "hub")
-        if last:
-            pairs = across(left, sketches, share).select(F.col("a").alias("node"), F.col("b").alias("other"))
+            return labels
+        star = stars < STARS and cross / 2 > 2 * n_rows
+        if star:
+            offer = sizes.select("sig", "comp", "node").join(open_.select("sig", F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "sig").where("comp != hub_comp")
+            pairs = scratch.save(offer.select("comp", "node", "hub").distinct())
+            pairs = plausible(pairs, sketches, share).groupBy("comp").agg(F.min(F.struct("cost", "node", "hub")).alias("x"))
+            pairs = pairs.select(F.least("x.node", "x.hub").alias("a"), F.greatest("x.node", "x.hub").alias("b")).distinct().withColumn("more", F.lit(True))
+            stars += 1
         else:
-            hub = left.where("node = hub").select("sig", F.col("hub").alias("other"), F.col("comp").alias("comp2"))
-            pairs = left.join(hub, "sig").where("comp != comp2")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            old, members = members, scratch.save(rows.join(open_.select("sig"), "sig", "left_semi").select("sig", "node"))
+            scratch.drop(old)
+            rows = members.join(labels, "node").select("sig", "node", "comp")
+            pairs = across(rows, sizes, open_, sketches, share, most)
+            most *= MORE
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti") if star else pairs.join(tried.withColumn("done", F.lit(True)), ["a", "b"], "left")
         pairs = scratch.save(pairs)
-        found = scratch.save(verify(pairs))
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = edges.union(found.select("a", "b"))
-        labels = connected(spark, scratch, edges)
-        if last:
-            break
-    return labels if labels is not None else connected(spark, scratch, edges)
+        left = pairs.where("more").limit(1).count()
+        new = pairs.where("done is null").drop("done") if "done" in pairs.columns else pairs
+        found = scratch.save(verify(new.select("a", "b")))
+        tried = new.select("a", "b") if tried is None else tried.union(new.select("a", "b"))
+        labels = merged(spark, scratch, labels, found)
+        scratch.drop(sizes, open_)
+        if not left and not star:
+            return labels
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -227,28 +304,31 @@ def sketch(h: np.ndarray) -> bytes:
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches(node, n, sketch) don't rule out.
+    """Pairs (comp, node, hub) that sizes and sketches(node, n, sketch) don't rule out, with a cost (low: more alike).
 
     Sets that differ in d elements have bitmaps that differ in d bits at most, so more bits than a link's sets may
     differ by rule the pair out; no link is lost.
     """
-    a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     p, q = share
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    hub = sketches.toDF("hub", "nb", "sb")
+    both = pairs.join(sketches.toDF("node", "na", "sa"), "node").join(hub, "hub").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
 
     def check(batches):
         for batch in batches:
-            keep = []
+            keep, cost = [], []
             for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 while len(x) > len(y):
                     x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 while len(y) > len(x):
                     y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                keep.append(int.from_bytes((x ^ y).tobytes(), "big").bit_count() <= na + nb - 2 * -(-p * (na + nb) // (p + q)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                differ = int.from_bytes((x ^ y).tobytes(), "big").bit_count()
+                keep.append(differ <= na + nb - 2 * -(-p * (na + nb) // (p + q)))
+                cost.append(differ / (na + nb))
+            columns = [batch.column("comp"), batch.column("node"), batch.column("hub"), pa.array(cost, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["comp", "node", "hub", "cost"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
+    return both.select("comp", "node", "hub", "na", "nb", "sa", "sb").mapInArrow(check, "comp long, node long, hub long, cost double")
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
