@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colframe.llm.common import SOLID, Scratch, mix, ship, shingle_hashes, slices, word_hashes
-from colframe.llm.linking import buckets, keyed_rows, link, overlapping, sketch
+from colframe.llm.linking import keyed_rows, linked, sketch
 
 GROWTH = 1.6
 #: Contents that a task remembers so as not to sign them again.
@@ -197,43 +197,27 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
 
     signed = scratch.save(docs.mapInArrow(sign, "doc_id long, node long, n long, f1 long, f2 long, sketch binary, sigs binary"))
     rows = scratch.save(signed.select("doc_id", "node", "n", "f1", "f2"))
-    real = rows.where("n > 0 and doc_id is not null")
-    reps = scratch.save(real.groupBy("f1", "f2").agg(F.min("node").alias("rep")))
-    classes = scratch.save(real.join(reps, ["f1", "f2"]).select("doc_id", "node", "n", "f1", "f2", "rep"))
-    members = scratch.save(buckets(spark, signed.where("n > 0 and doc_id is not null and sigs is not null")))
-    members = scratch.save(members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct())
-    open_ = scratch.save(members.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"))
-    members = scratch.save(members.join(open_, "sig"))
-    ends = members.select("node").distinct()
-    known = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left_semi").select("f1", "f2", "rep").distinct()
-    sketches = signed.where("n > 0 and doc_id is not null and sketch is not null").join(known, ["f1", "f2"]).groupBy(F.col("rep").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sketches = scratch.save(sketches)
-    scratch.drop(signed)
+    real = "n > 0 and doc_id is not null"
+
+    def contents(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [shingles(t.as_py(), k) for t in batch.column("text")]
+                f = [prints(h) for h in found]
+                sets_ = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64()), sets_], ["f1", "f2", "set"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = scratch.save(keyed_rows(classes, ends, "node").select("node", "doc_id", "f1", "f2"))
-
-        def contents(batches):
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    found = [shingles(t.as_py(), k) for t in batch.column("text")]
-                    f = [prints(h) for h in found]
-                    sets_ = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64()), sets_], ["f1", "f2", "set"])
-
-        texts = keyed_rows(docs, known.select("doc_id").distinct(), "doc_id")
-        found = texts.mapInArrow(contents, "f1 long, f2 long, set array<long>").join(known.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "set").dropDuplicates(["node"])
-        found = scratch.save(found)
-        out = scratch.save(overlapping(pairs, found, share))
-        scratch.drop(known, found)
-        return out
-
-    several = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
-    given = classes.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-    labels = link(spark, scratch, members, verify, scratch.save(given), sketches, share)
-    of = classes.select("doc_id", "node", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", "node", F.coalesce("comp", "rep").alias("comp"))
-    of = scratch.save(of)
+    def sets_of(some: DataFrame) -> DataFrame:
+        return keyed_rows(docs, some.select("doc_id").distinct(), "doc_id").mapInArrow(contents, "f1 long, f2 long, set array<long>")
+
+    def given(classes: DataFrame) -> DataFrame:
+        """Texts of one doc_id are linked."""
+        several = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+        return classes.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
+
+    of = linked(spark, scratch, signed.where(real), rows.where(real), sets_of, share, given)
+    of = scratch.save(of.select("doc_id", "node", "comp"))
+    scratch.drop(signed)
     least = scratch.save(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     out = rows.select("doc_id", "node", "n").join(of.select("node", "comp"), "node", "left").join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

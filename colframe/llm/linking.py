@@ -24,6 +24,8 @@ BOUND = 1_000_000
 CHUNK, RANGE, MERGE = 2048, 4 << 20, 8 << 20
 #: Star rounds at most, pairs that a component verifies in the first round across and how that number grows.
 STARS, FIRST, MORE = 4, 4, 16
+#: Rows of a group up to which pairs are compared one by one.
+FEW = 24
 
 
 def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> DataFrame:
@@ -108,6 +110,42 @@ def folded(maps: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def closest_few(side: list, node: list, comp: list, n: list, maps: list[bytes], share: tuple[int, int], most: int):
+    """closest() for a few rows, without arrays."""
+    p, q = share
+    bits: dict[tuple[int, int], int] = {}
+
+    def bitmap(i: int, size: int) -> int:
+        if (i, size) not in bits:
+            x, width = int.from_bytes(maps[i], "little"), len(maps[i])
+            while width > size:
+                width //= 2
+                x = (x >> 8 * width) ^ (x & ((1 << 8 * width) - 1))
+            bits[i, size] = x
+        return bits[i, size]
+
+    split, found = min(side) != max(side), []
+    for i in range(len(node)):
+        for j in range(i):
+            total = n[i] + n[j]
+            if comp[i] == comp[j] or split and side[i] == side[j] or q * min(n[i], n[j]) < p * max(n[i], n[j]):
+                continue
+            size = min(len(maps[i]), len(maps[j]))
+            differ = (bitmap(i, size) ^ bitmap(j, size)).bit_count()
+            if differ <= total - 2 * -(-p * total // (p + q)):
+                found.append((differ / total, i, j))
+    got, a, b, left = {}, [], [], False
+    for _, i, j in sorted(found):
+        x, y = got.get(comp[i], 0), got.get(comp[j], 0)
+        if min(x, y) >= most:
+            left = True
+            continue
+        got[comp[i]], got[comp[j]] = x + 1, y + 1
+        a.append(min(node[i], node[j]))
+        b.append(max(node[i], node[j]))
+    return a, b, [left] * len(a)
+
+
 def closest(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], share: tuple[int, int], most: int):
     """Pairs of different components that sizes and bitmaps allow: (a, b, whether its component has more).
 
@@ -115,6 +153,8 @@ def closest(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
     largest component needs no row of its own to look for partners. Each component gets its ``most`` closest pairs.
     """
     p, q = share
+    if len(node) <= FEW:
+        return closest_few(side.tolist(), node.tolist(), comp.tolist(), n.tolist(), maps, share, most)
     if side.min() == side.max():
         names, of = np.unique(comp, return_inverse=True)
         mine, theirs = np.flatnonzero(of != np.bincount(of).argmax()), np.arange(len(node))
@@ -163,7 +203,9 @@ def closest(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
 
 
 def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFrame, share: tuple[int, int], most: int) -> DataFrame:
-    """Pairs (a, b, more) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
+    """Pairs (a, b, sig) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
+
+    sig is null unless the bucket has more such pairs; pairs may repeat.
 
     Buckets of more than two chunks of members are split: a component that fills a chunk has chunks of its own, which
     need no comparison with each other, smaller ones share chunks, and every pair of chunks is a group of its own. So
@@ -188,8 +230,9 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
     sorted_ = parts.join(sketches, "node").select(*names).repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
 
     def send(found):
-        a, b, more = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+        a, b, sig = (np.concatenate([np.asarray(y) for y in x]) for x in zip(*((a, b, np.full(len(a), sig)) for sig, a, b, _ in found)))
+        more = np.concatenate([np.full(len(a), bool(np.any(more))) for _, a, _, more in found])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.int64(), mask=~more)], ["a", "b", "sig"])
 
     def pairs(group):
         if len(group) < 2:
@@ -199,32 +242,61 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
 
     def run(batches):
         at, group, found, size = None, [], [], 0
+
+        def close():
+            nonlocal size
+            got = pairs(group)
+            if len(got[0]):
+                found.append((at[0], *got))
+                size += len(got[0])
+
         for batch in batches:
             for sig, a, b, *row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if (sig, a, b) != at:
-                    got = pairs(group)
-                    if len(got[0]):
-                        found.append(got)
-                        size += len(got[0])
+                    close()
                     at, group = (sig, a, b), []
                     if size > 50_000:
                         yield send(found)
                         found, size = [], 0
                 group.append(row)
-        got = pairs(group)
-        if len(got[0]):
-            found.append(got)
+        close()
         if found:
             yield send(found)
 
-    return sorted_.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return sorted_.mapInArrow(run, "a long, b long, sig long")
 
 
-def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges (a, b), and the smallest node of each one's component."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            return names, names[root]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame, few: bool) -> DataFrame:
     """(node, comp) of all nodes of edges(a, b); comp is the component's smallest node.
 
-    Labels take the smallest label beside them and then their label's label, until none changes.
+    A number of edges that was found small (few) is one task's work. Else labels take the smallest label beside them
+    and then their label's label, until none changes.
     """
+    if few:
+
+        def solve(batches):
+            ends = [[x.column(c).to_numpy() for c in "ab"] for x in batches]
+            if ends:
+                columns = roots(*(np.concatenate(x) for x in zip(*ends)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "comp"])
+
+        return edges.coalesce(1).mapInArrow(solve, "node long, comp long")
     both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
     labels = scratch.save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")))
     while True:
@@ -247,53 +319,89 @@ def merged(spark: SparkSession, scratch: Scratch, labels: DataFrame, found: Data
     n = edges.count()
     if not n:
         return labels
-    up = connected(spark, scratch, edges).toDF("comp", "up")
-    up = F.broadcast(up) if 2 * n <= BOUND else up
+    few = 2 * n <= BOUND
+    up = scratch.save(connected(spark, scratch, edges, few).toDF("comp", "up"))
+    up = F.broadcast(up) if few else up
     return scratch.save(labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
 
 
-def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], given: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(node, comp) of all nodes of buckets members(sig, node) and of given(a, b), links known before.
+def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], given: DataFrame | None, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(node, comp) of all nodes of buckets members(sig, node), a saved table, and of given(a, b), links known before.
 
     verify gets distinct pairs (a, b), a < b, that sketches(node, n, sketch) don't rule out, and returns the links.
     """
-    members = scratch.save(members)
-    nodes = members.select("node").union(given.select("a")).union(given.select("b")).distinct()
-    labels = merged(spark, scratch, scratch.save(nodes.select("node", F.col("node").alias("comp"))), given)
-    tried, stars, most, n_rows = None, 0, FIRST, members.count()
+    nodes = members.select("node")
+    if given is not None:
+        nodes = nodes.union(given.select("a")).union(given.select("b"))
+    labels = scratch.save(nodes.distinct().select("node", F.col("node").alias("comp")))
+    if given is not None:
+        labels = merged(spark, scratch, labels, given)
+    tried, stars, most, before = None, 0, FIRST, float("inf")
     while True:
         rows = members.join(labels, "node").select("sig", "node", "comp")
         sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(stars), "node").alias("h"), "node")).alias("low"))
         sizes = scratch.save(sizes.select("sig", "comp", "n", "low.h", "low.node"))
         open_ = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min(F.struct(-F.col("n"), "h", "node", "comp")).alias("hub"))
         open_ = scratch.save(open_.where("comps > 1").select("sig", "m", (F.col("m").cast("double") * F.col("m") - F.col("squares")).alias("cross"), "hub.node", "hub.comp"))
-        cross = open_.agg(F.sum("cross")).first()[0] or 0.0
+        cross, n_rows = open_.agg(F.sum("cross"), F.sum("m")).first()
         if not cross:
             return labels
-        star = stars < STARS and cross / 2 > 2 * n_rows
+        old, members = members, scratch.save(rows.join(open_.select("sig"), "sig", "left_semi").select("sig", "node"))
+        scratch.drop(old)
+        star = stars < STARS and 2 * n_rows < cross < 0.7 * before
+        stars, before = stars + 1, cross
         if star:
             offer = sizes.select("sig", "comp", "node").join(open_.select("sig", F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "sig").where("comp != hub_comp")
-            pairs = scratch.save(offer.select("comp", "node", "hub").distinct())
-            pairs = plausible(pairs, sketches, share).groupBy("comp").agg(F.min(F.struct("cost", "node", "hub")).alias("x"))
-            pairs = pairs.select(F.least("x.node", "x.hub").alias("a"), F.greatest("x.node", "x.hub").alias("b")).distinct().withColumn("more", F.lit(True))
-            stars += 1
+            offer = scratch.save(offer.select("comp", "node", "hub").distinct())
+            pairs = plausible(offer, sketches, share).groupBy("comp").agg(F.min(F.struct("cost", "node", "hub")).alias("x"))
+            pairs = pairs.select(F.least("x.node", "x.hub").alias("a"), F.greatest("x.node", "x.hub").alias("b"))
         else:
-            old, members = members, scratch.save(rows.join(open_.select("sig"), "sig", "left_semi").select("sig", "node"))
-            scratch.drop(old)
-            rows = members.join(labels, "node").select("sig", "node", "comp")
-            pairs = across(rows, sizes, open_, sketches, share, most)
+            stars = STARS
+            got = scratch.save(across(members.join(labels, "node").select("sig", "node", "comp"), sizes, open_, sketches, share, most))
             most *= MORE
+            members = scratch.save(members.join(got.select("sig").where("sig is not null").distinct(), "sig", "left_semi"))
+            pairs = got.select("a", "b")
+        pairs = pairs.distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti") if star else pairs.join(tried.withColumn("done", F.lit(True)), ["a", "b"], "left")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
-        left = pairs.where("more").limit(1).count()
-        new = pairs.where("done is null").drop("done") if "done" in pairs.columns else pairs
-        found = scratch.save(verify(new.select("a", "b")))
-        tried = new.select("a", "b") if tried is None else tried.union(new.select("a", "b"))
+        found = verify(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         labels = merged(spark, scratch, labels, found)
         scratch.drop(sizes, open_)
-        if not left and not star:
-            return labels
+
+
+def linked(spark: SparkSession, scratch: Scratch, signed: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: tuple[int, int], given: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """rows(node, f1, f2, ...) with copies (rows of the same set) and comp (the node that names the component).
+
+    signed(node, n, f1, f2, sketch, sigs) has a signed row for each content (f1, f2) at least; sigs is null elsewhere.
+    sets_of gets some of rows and returns (f1, f2, set array<long>) of at least their contents. given, if any, gets
+    rows with ``rep``, the node that stands for all rows of its content, and returns links (a, b) of such nodes.
+    """
+    reps = scratch.save(rows.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
+    classes = scratch.save(rows.join(reps, ["f1", "f2"]))
+    members = scratch.save(buckets(spark, signed.where("sigs is not null")))
+    members = scratch.save(members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct())
+    # buckets with the same members are one bucket, told by their number and two hashes of them
+    open_ = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    open_ = scratch.save(open_.where("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"))
+    old, members = members, scratch.save(members.join(open_, "sig"))
+    scratch.drop(old, open_)
+    known = classes.where("node = rep").join(members.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").select("f1", "f2", "rep")
+    sketches = signed.where("sketch is not null").join(known, ["f1", "f2"]).groupBy(F.col("rep").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = scratch.save(sketches)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = scratch.save(keyed_rows(classes, ends, "node"))
+        sets = sets_of(some).join(some.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "set").dropDuplicates(["node"])
+        sets = scratch.save(sets)
+        out = scratch.save(overlapping(pairs, sets, share))
+        scratch.drop(some, sets)
+        return out
+
+    labels = link(spark, scratch, members, verify, scratch.save(given(classes)) if given else None, sketches, share)
+    return classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select(*rows.columns, "copies", F.coalesce("comp", "rep").alias("comp"))
 
 
 def sketch(h: np.ndarray) -> bytes:

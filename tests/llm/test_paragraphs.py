@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from colframe.llm import paragraphs
+from colframe.llm import jaccard_join, linking, paragraphs
 from colframe.llm.common import SOLID, word_hashes
 
 
@@ -11,17 +11,37 @@ def make(rng, n):
     return " ".join(rng.choice("bcdfgh") + rng.choice("aeiou") + str(rng.randint(0, 400)) for _ in range(n))
 
 
-def test_segments_cut_a_passage_alike():
+def test_long_runs_hold_the_same_anchors():
     rng = random.Random(1)
-    passage = make(rng, 60)
-    seen = []
-    for _ in range(20):
-        t = (make(rng, rng.randint(0, 40)) + " " + passage + " " + make(rng, rng.randint(0, 40))).encode()
-        h, a, b, n = paragraphs.segments(t)
-        assert n.sum() == len(t.split()) and (a[1:] > b[:-1]).all()
-        seen.append(set(h.tolist()))
-    assert len(set.intersection(*seen)) >= 3
-    assert len(paragraphs.segments(b"x x x x " * 50)[0]) >= 1 and len(paragraphs.segments(None)[0]) == 0
+    for n in (40, 41, 60):
+        passage, seen = make(rng, n), []
+        for _ in range(20):
+            texts = [make(rng, rng.randint(0, 40)).encode(), (make(rng, rng.randint(0, 40)) + " " + passage + " " + make(rng, rng.randint(0, 40))).encode(), b""]
+            h, of, line, start, end = paragraphs.laid_out(texts)
+            assert [texts[i][a:b] for i, a, b in zip(of, start, end)] == b" ".join(texts).split() and len(set(line)) == len([t for t in texts if t])
+            seen.append(set(paragraphs.anchors(h, of, 40)[0].tolist()))
+        assert set.intersection(*seen)
+    h, of, *_ = paragraphs.laid_out([b"x " * 500, b"x " * 500, b"a b " * 300])
+    value, at = paragraphs.anchors(h, of, 40)
+    assert at.tolist()[:2] == [0, 500] and len(at) <= 6 and len(paragraphs.anchors(h[:39], of[:39], 40)[0]) == 0
+
+
+def test_kernels_against_sets():
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 6))).encode() for _ in range(50)]
+    h, of, line, start, end = paragraphs.laid_out(texts)
+    a, b, g, begin = paragraphs.paragraphs(h, line, 3, 6)
+    want = [set(zip(w, w[1:], w[2:])) for t in texts for w in [x.split() for x in t.split(b"\n")] if len(w) >= 6]
+    size = np.diff(np.append(begin, len(g)))
+    assert size.tolist() == [len(x) for x in want] and len(a) == len(want)
+    f1, f2 = paragraphs.set_prints(g, begin)
+    maps = paragraphs.set_sketches(g, begin)
+    for i, (s, n) in enumerate(zip(begin, size)):
+        own = g[s : s + n]
+        assert (int(f1[i]), int(f2[i])) == jaccard_join.prints(own) and maps[i] == linking.sketch(own)
+    for i in range(0, len(want), 5):
+        for j in range(len(want)):
+            assert ((f1[i], f2[i]) == (f1[j], f2[j])) == (want[i] == want[j])
 
 
 def test_duplicates_and_removal(spark):
@@ -43,7 +63,7 @@ def test_duplicates_and_removal(spark):
     assert {r.doc_id for r in got} == {3, 9, 11, 20, 21}
     assert {r.doc_id for r in got if r.removed} == {9, 20, 21} and {r.component_doc for r in got if r.removed} == {3, 11}
     p = next(r for r in got if r.doc_id == 9)
-    assert len(passage.split()) - 20 <= p.n_words <= len(passage.split()) + 3
+    assert p.n_words == len(passage.split())
     out = {r.doc_id: r for r in paragraphs.remove(spark, df, found).collect()}
     before = {r[0]: r[1] for r in rows}
     assert set(out) == set(before) - {21} and df.schema == paragraphs.remove(spark, df, found).schema
@@ -61,7 +81,7 @@ def test_bands_reach_the_recall():
     for _ in range(400):
         a = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
         sets += [a[:80], np.concatenate([a[:71], a[80:89]])]  # 71 common of 89
-    s = paragraphs.band_signatures([np.unique(x) for x in sets], bands, 4)
+    s = paragraphs.band_signatures(np.concatenate([np.unique(x) for x in sets]), np.cumsum([0, *map(len, sets)])[:-1], bands, 4)
     hit = (s[::2] == s[1::2]).any(1).mean()
     assert hit >= 0.99 and len(word_hashes(b"a b", SOLID)[0]) == 2
 
@@ -72,18 +92,6 @@ def test_empty_and_cut_out(spark):
     assert paragraphs.cut_out("aé b\n\nc d", [(0, 3)]) == " b\n\nc d" and paragraphs.cut_out("a\nb\nc", [(2, 3)]) == "a\nc" and paragraphs.cut_out("ab", [(0, 2), (1, 2)]) == ""
 
 
-def test_windows_find_every_common_passage():
-    rng = random.Random(5)
-    for n in (20, 25, 33):
-        passage, seen = make(rng, n), []
-        for _ in range(2):
-            t = (make(rng, rng.randint(0, 40)) + " " + passage + " " + make(rng, rng.randint(0, 40))).encode()
-            seeds, of, whole, start, end = paragraphs.windows(t, 20)
-            seen.append((set(seeds.tolist()), set(whole.tolist())))
-        assert len(seen[0][1] & seen[1][1]) == n - 19 and seen[0][0] & seen[1][0]
-    assert len(paragraphs.windows(None, 20)[0]) == len(paragraphs.windows(b"x " * 19, 20)[2]) == 0 and len(paragraphs.windows(b"x " * 30, 20)[0]) == 11
-
-
 def test_passages_side_by_side_and_in_copies(spark):
     rng = random.Random(6)
     p, q, r = make(rng, 40), make(rng, 35), make(rng, 20)
@@ -91,7 +99,7 @@ def test_passages_side_by_side_and_in_copies(spark):
     copied = make(rng, 30) + " " + r + " " + make(rng, 30)
     texts += [make(rng, 11) + " " + r + " " + make(rng, 13), copied, copied, make(rng, 80)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(9)
-    found = paragraphs.duplicates(spark, df)
+    found = paragraphs.duplicates(spark, df, line=5, least=20)
     out = {x.doc_id: x.text.split() for x in paragraphs.remove(spark, df, found).collect()}
     cut = lambda t, x: t.replace(x, "").split()
     assert out == {0: texts[0].split(), 1: cut(texts[1], p), 2: cut(texts[2], q), 3: texts[3].split(), 4: cut(copied, r), 6: texts[6].split()}
@@ -101,7 +109,7 @@ def test_short_lines_take_part(spark):
     rng = random.Random(8)
     short = make(rng, 5)
     df = spark.createDataFrame([(i, make(rng, 15) + "\n" + short + "\n" + make(rng, 4)) for i in range(3)], "doc_id long, text string")
-    out = {r.doc_id: r.text for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df)).collect()}
+    out = {r.doc_id: r.text for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df, line=5)).collect()}
     assert [short in out[i] for i in range(3)] == [True, False, False] and len(out[2].split()) == 19
 
 
@@ -110,5 +118,73 @@ def test_short_passages_inside_lines_lose_all_words(spark):
     passages = [make(rng, n) for n in (20, 22, 25, 30, 60)]
     texts = [make(rng, rng.randint(5, 40)) + " " + p + " " + make(rng, rng.randint(5, 40)) for p in passages for _ in range(2)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {r.doc_id: r.text.split() for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df)).collect()}
+    out = {r.doc_id: r.text.split() for r in paragraphs.remove(spark, df, paragraphs.duplicates(spark, df, least=20)).collect()}
     assert out == {i: (t.replace(passages[i // 2], "") if i % 2 else t).split() for i, t in enumerate(texts)}
+
+
+def test_a_phrase_that_stood_alone_before_hides_no_passage(spark):
+    rng = random.Random(10)
+    passage = make(rng, 44).split()
+    texts = [make(rng, 30) + " " + " ".join(passage[i : i + 20]) + " " + make(rng, 30) for i in range(0, 25, 4)]
+    texts += [make(rng, 9) + " " + " ".join(passage) + " " + make(rng, 9) for _ in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.removed, r.n_words) for r in paragraphs.duplicates(spark, df).collect()}
+    n = len(texts)
+    assert got == {(n - 3, False, 44), (n - 2, True, 44), (n - 1, True, 44)}
+
+
+def brute_lines(rows, k, least, share):
+    """{(doc_id, text, line number): (first place)} of lines in components of two places or more."""
+    places, sets = [], []
+    for d, t in sorted({(d, t) for d, t in rows if d is not None and t}):
+        for i, x in enumerate(t.split("\n")):
+            w = x.lower().split()
+            if len(w) >= max(least, k):
+                places.append((d, t, i))
+                sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)})
+    root = list(range(len(places)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(places)):
+        for j in range(i):
+            if share[1] * len(sets[i] & sets[j]) >= share[0] * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(places)):
+        groups.setdefault(find(i), []).append(places[i])
+    return {p: g[0] for g in groups.values() if len(g) > 1 for p in g}
+
+
+def test_lines_against_brute_force_with_any_number_of_files(spark):
+    """Lines only (passages of ``least`` words don't occur); a hot group of near copies, repeated ids and texts."""
+    rng = random.Random(12)
+    base = [make(rng, rng.randint(30, 70)).split() for _ in range(25)]
+
+    def near(w):
+        w = list(w)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            w[rng.randrange(len(w))] = make(rng, 1)
+        return " ".join(w)
+
+    rows = [(i, "\n".join([near(rng.choice(base[:1] * 20 + base)), make(rng, rng.randint(3, 30)), near(rng.choice(base))])) for i in range(150)]
+    rows += [rows[3], (7, rows[9][1]), (7, make(rng, 25)), (None, rows[1][1]), (200, None), (201, ""), (202, " \n\t")]
+    want = brute_lines(rows, 5, 20, (4, 5))
+    assert len(want) > 120
+    for parts in (1, 16, 64):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(parts)
+        got = paragraphs.duplicates(spark, df, least=1000).collect()
+        texts = {(r.doc_id, r.key): r.text for r in df.select("doc_id", F.xxhash64("text").alias("key"), "text").collect()}
+        key = {(d, t): k for (d, k), t in texts.items()}
+        # the first place is by (doc_id, key, start); brute force orders texts of one id otherwise
+        place = lambda d, k, s: (d, k, texts[d, k].encode()[:s].count(b"\n"))
+        groups = {}
+        for p, first in want.items():
+            groups.setdefault(first, []).append((p[0], key[p[0], p[1]], p[2]))
+        kept = {min(g) for g in groups.values()}
+        assert {(place(r.doc_id, r.text_key, r.start), r.removed) for r in got} == {(p, p not in kept) for g in groups.values() for p in g}
+        assert len(got) == len(want)
