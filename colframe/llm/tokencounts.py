@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colframe.llm.bpe import encoder
-from colframe.llm.common import ship
+from colframe.llm.common import Scratch, ship, slices
 
 BLOCK = 1024
 
@@ -18,9 +18,10 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
-            n = [len(enc.encode(t.as_py() or "")) // 4 for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(n, np.int64))], ["n_tokens"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                n = [len(enc.encode(t.as_py() or "")) // 4 for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(n, np.int64))], ["n_tokens"])
 
     return docs.select("text").mapInArrow(count, "n_tokens long")
 
@@ -32,11 +33,12 @@ def length_table(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFr
     truncated_total = sum of min(length, L) over all documents (the suffix sum: every longer document adds L);
     quantile = share of documents of at most L. A limit between two lengths L < M gives
     truncated_total(L) + (limit - L) * docs_longer(L), so the table answers all limits exactly.
-    Repeated rows count each; null and empty texts have 0 tokens; an empty table gives no rows. Sums run in blocks of
-    lengths: window partitions stay small and only one row a block is summed globally.
+    Repeated rows count each; null and empty texts have 0 tokens; an empty table gives no rows; columns other than
+    text are not read. The corpus is encoded once, into a saved histogram. Sums run in blocks of lengths: window
+    partitions stay small and only one row a block is summed globally.
     """
     ship(spark)
-    h = lengths(docs, tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    h = Scratch(spark, "lengths").save(lengths(docs, tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     upto, all_ = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

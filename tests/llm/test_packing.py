@@ -4,9 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from colframe.llm import packing, tokencounts
+from colframe.llm import packing
 from colframe.llm.bpe import Encoder, vocabulary
 
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \nb", "a\n  b", "a   b", "a  \n b\n\n c", "x<|endoftext|>y", "<|endoftext|>", "it's we'll 12 3.5 «été» ñandú", "中文 字 ", "a b  c", "tab\tt \t x", "\x1c a \x1d b", "🙂 🙂🙂 é ß", "A" * 300 + " " + "b" * 200]
@@ -73,16 +71,3 @@ def test_pack_is_whole_and_gapless(spark, reference):
 
 def test_pack_empty(spark):
     assert pack_rows(spark, [], 64)[1] == []
-
-
-def test_token_counts(spark, reference):
-    texts = ["a b c", "a b c", None, "", "one two three four five six", "x " * 3000]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    n = [len(reference.encode(t or "", add_special_tokens=False).ids) for t in texts]
-    got = {r.n_tokens: r for r in tokencounts.length_table(spark, df, vocabulary()).collect()}
-    assert sorted(got) == sorted(set(n))
-    for x, r in got.items():
-        assert (r.n_docs, r.docs_at_most, r.docs_longer) == (n.count(x), sum(v <= x for v in n), sum(v > x for v in n))
-        assert r.total_tokens == sum(v for v in n if v <= x) and r.truncated_total == sum(min(v, x) for v in n)
-        assert r.quantile == pytest.approx(r.docs_at_most / len(n))
-    assert tokencounts.length_table(spark, df.filter(F.lit(False)), vocabulary()).count() == 0
