@@ -7,15 +7,17 @@ bound of their query are computed in double precision, so the neighbours found a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import ship
+from colframe.llm.common import Scratch, ship
 
 #: Queries that are searched in one pass over the table, and rows of a tile.
-QUERY_BLOCK, TILE = 8192, 4096
+QUERY_BLOCK, TILE = 32768, 4096
 
 
 def _valid(df: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -116,18 +118,19 @@ def nearest(spark: SparkSession, queries: DataFrame, table: DataFrame, k: int =
     Returns query_id, rank (from 1), vec_id and score, nearest first, ties to the smaller vec_id; all candidates if
     there are fewer than k. Vectors that are null, zero or hold null or non-finite components take no part, nor do
     rows with a null id; vectors of different lengths are not compared. Rows that repeat an id count once, with
-    the nearest of their vectors. Queries are taken in blocks of about QUERY_BLOCK by a hash of the id, each of which is
-    searched in one pass over the table; only a block is ever held in memory.
+    the nearest of their vectors. Queries are taken in blocks of about QUERY_BLOCK by a hash of the id. A block is
+    searched in one pass over the table, whose tasks keep k rows a query, and its result is saved before the next one is
+    read, so driver and tasks hold one block whatever the number of queries.
     """
     ship(spark)
+    scratch = Scratch(spark, "nearest")
     queries, table = _valid(queries, id_, vector), _valid(table, id_, vector)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        found = _search(spark, block, table, k)
-        out = found if out is None else out.union(found)
+    if blocks > 1:
+        queries = scratch.save(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).sort("block"))
+    found = [scratch.save(_search(spark, queries.where(F.col("block") == i).drop("block") if blocks > 1 else queries, table, k)) for i in range(blocks)]
+    out = reduce(DataFrame.union, found)
     one = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     top = one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
