@@ -9,13 +9,14 @@ phrase's. Runs of long matches are chained, in order in text and template, into
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import ship
+from colframe.llm.common import ship, slices
 
 #: Words of lower-cased UTF-8: ASCII letters and digits and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -27,6 +28,7 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 TEMPLATES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Released under the MIT License",
         "Licensed under the MIT License",
     ],
@@ -40,9 +42,32 @@ TEMPLATES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
+    "boost": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+        "Distributed under the Boost Software License, Version 1.0.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "cc0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Dedicated to the public domain under CC0 1.0 Universal",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -51,6 +76,10 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
         "Licensed under CC BY 4.0",
     ],
+    "cc-by-sa": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Licensed under CC BY-SA 4.0",
+    ],
     "cc-by-nc": [
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
         "Licensed under CC BY-NC 4.0",
@@ -185,7 +214,10 @@ class Scanner:
         return places, self._chain(long)
 
     def _chain(self, long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains long matches for each template in both orders; the best chain's covered span, if it is enough."""
+        """Chains long matches for each template in both orders; spans of chains that cover enough, the best first.
+
+        A chain is a span unless it overlaps one of the same template that covers more.
+        """
         by: dict[int, list[tuple[int, int, int, int]]] = {}
         for s, e, v in long:
             for k, end in self.automaton.ends[v]:
@@ -203,11 +235,15 @@ class Scanner:
                     if s >= c[1] and -1 < ts - c[2] <= self.gap and (best is None or c[3] >= best[3]):
                         best = c
                 chains.append([best[0] if best else s, e, te, (best[3] if best else 0) + e - s])
-            last = -1
-            for s, e, _, covered in sorted(chains, key=lambda c: (-c[3], c[0])):
-                if covered >= self.coverage * n and (last < 0 or s >= last):
-                    out.append((label, s, e - 1, min(1.0, covered / n)))
-                    last = e
+            kept: list[tuple[int, int]] = []  # places of this template, which don't overlap
+            for s, e, _, covered in sorted(chains, key=lambda c: (-c[3], c[1] - c[0], c[0])):
+                if covered < self.coverage * n:
+                    break
+                at = bisect_left(kept, (e, e))
+                if at and kept[at - 1][1] > s:
+                    continue
+                kept.insert(at, (s, e))
+                out.append((label, s, e - 1, min(1.0, covered / n)))
         return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -227,7 +263,7 @@ def scan(spark: SparkSession, docs: DataFrame, phrases: dict[str, str] = PHRASES
 
     def run(batches):
         scanner = Scanner(phrases, templates, **options)
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, "text")):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = words(text.as_py() or b"")

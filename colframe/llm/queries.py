@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(spark, table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

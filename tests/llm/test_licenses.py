@@ -60,3 +60,62 @@ def test_chain_whose_predecessor_has_many_places():
     n = len(template.split())
     s = Scanner({"never seen": "x"}, {"t": [template]}, least=3, gap=2, coverage=9 / n - 1e-9)
     assert s.scan(b"p q r y s t u y v w x".split())[1] == [("t", 0, 10, 9 / n)]
+
+
+def test_every_span_of_a_template_is_kept():
+    t = licenses.words(TEMPLATES["mit"][0])
+    part, prose = t[: len(t) * 9 // 10], [b"prose"] * 30
+    for tokens, lengths in ((part + prose + t, [len(part), len(t)]), (t + prose + part, [len(t), len(part)]), (t + t + prose + part + part, [len(t), len(t), len(part), len(part)])):
+        spans = [x for x in Scanner(PHRASES, TEMPLATES).scan(tokens)[1] if x[0] == "mit"]
+        assert [b - a + 1 for _, a, b, _ in spans] == lengths
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(4)
+    found = 0
+    for _ in range(300):
+        template = [rng.choice("abcdef") for _ in range(rng.randint(6, 14))]
+        text = [rng.choice([*"abcdefz", *template]) for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(1, 3)):
+            a = rng.randrange(len(template))
+            text += template[a : a + rng.randint(2, 9)] + [rng.choice("abz") for _ in range(rng.randint(0, 3))]
+        s = Scanner({"never seen": "x"}, {"t": [" ".join(template)]}, least=2, gap=2, coverage=0.4)
+        got = s.scan([w.encode() for w in text])[1]
+        # matches that neither side can prolong at the end, at all places of the template
+        n, matches = len(template), []
+        longest = [max((m for m in range(i + 2) if any(template[j : j + m] == text[i + 1 - m : i + 1] for j in range(n - m + 1))), default=0) for i in range(len(text))]
+        for i, m in enumerate(longest):
+            if m >= 2 and (i + 1 == len(text) or longest[i + 1] < m + 1):
+                matches += [(i + 1 - m, i + 1, j, j + m) for j in range(n - m + 1) if template[j : j + m] == text[i + 1 - m : i + 1]]
+
+        def cover(k):
+            s, e, ts, te = matches[k]
+            return e - s + max((cover(j) for j, (a, b, c, d) in enumerate(matches) if 0 <= s - b <= 2 and 0 <= ts - d <= 2), default=0)
+
+        best = max(map(cover, range(len(matches))), default=0)
+        if best >= 0.4 * n:
+            found += 1
+            assert max(x[3] for x in got) == min(1.0, best / n), (template, text)
+        else:
+            assert got == []
+        places = sorted((a, b) for _, a, b, _ in got)
+        assert all(x[1] < y[0] for x, y in zip(places, places[1:]))
+    assert found > 100
+
+
+def test_edited_templates_are_found_and_prose_is_not():
+    rng, scanner, found, total = random.Random(6), Scanner(PHRASES, TEMPLATES), 0, 0
+    vocabulary = [w for texts in TEMPLATES.values() for t in texts for w in licenses.words(t)]
+    for label, texts in TEMPLATES.items():
+        for t in (licenses.words(x) for x in texts):
+            if len(t) < 20:
+                continue
+            for _ in range(5):
+                edited = list(t)
+                for i in rng.sample(range(len(t)), len(t) // 25):
+                    edited[i] = b"edited"
+                noise = [rng.choice(vocabulary) for _ in range(60)]
+                total += 1
+                found += label in {x[0] for x in scanner.scan(noise + edited + noise)[1]}
+    assert found >= 0.95 * total
+    assert not any(scanner.scan([rng.choice(vocabulary) for _ in range(2000)])[1] for _ in range(20))
