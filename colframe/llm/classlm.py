@@ -1,20 +1,23 @@
 """Class-based bigram language model over words, with classes from exchange clustering.
 
-Unigram counts of every training token are exact. Units are the most frequent words and, for all others, groups by
-word ending; exchange clustering assigns units to classes so that adjacent classes tell most about each other. With
-P(w) the smoothed unigram probability and P(c) the sum of its members', a word's probability is
+Unigram counts of every training token are exact. Exchange clustering assigns the most frequent words, and groups of
+the others by ending, to classes so that adjacent classes tell most about each other. Then every other word is moved
+to the class that raises the likelihood most, by the counts of all classes beside it in the corpus, so each word of
+the training texts has a class of its own. With P(w) the smoothed unigram probability and P(c) the sum of its
+members', a word's probability is
 
     P(w | previous) = P(w | c) * mixed(c | c_previous),
     P(w | c) = P(w) / P(c),  mixed = weight * P(c | c_previous) + (1 - weight) * P(c),
 
-so a text's score is its unigram score plus a sum over class transitions, and only rare words' counts, which no
-worker holds, have to be joined.
+so a text's score is its unigram score plus a sum over class transitions. Workers hold the counts and classes of the
+most frequent words; those of the others are joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from itertools import repeat
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import Scratch, ship
+from colframe.llm.common import Scratch, elements, ship, slices
 
 SMOOTHING = 0.1
 
@@ -107,43 +110,182 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, sweeps: int = 6) -> np
     return of
 
 
+class Units:
+    """What workers need of a model; it has no handle on tables."""
+
+    def __init__(self, **values):
+        self.__dict__.update(values)
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
+    def units(self, words: list[bytes]) -> np.ndarray:
+        """Unit of each word: its own for a frequent one, its ending's for others; the end's comes last."""
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1] = self.find(words)
+        rare = np.flatnonzero(out[:-1] < 0)
+        out[rare] = [self.frequent + ending(words[i], self.groups) for i in rare]
+        out[-1] = self.frequent + self.groups
+        return out
+
+
+def unit_pairs(spark: SparkSession, train: DataFrame, units: Units) -> np.ndarray:
+    """Counts of adjacent units over all training texts; each task sends its own nonzero counts."""
+    size, shared = units.frequent + units.groups + 1, spark.sparkContext.broadcast(units)
+
+    def count(batches):
+        m = shared.value
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                u = m.units(tokens(text.as_py()))
+                np.add.at(total, np.concatenate([[size - 1], u[:-1]]) * size + u, 1)
+        at = np.flatnonzero(total)
+        for a in range(0, len(at), 100_000):
+            some = at[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["pair", "n"])
+
+    summed = train.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def transitions(table: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(class | previous class) from counts, smoothed by P(class), and P(class) from the classes' unigram mass."""
+    p = np.maximum(mass, 1e-9)
+    p = p / p.sum()
+    return (table + 50 * p) / (table.sum(1, keepdims=True) + 50), p
+
+
+def best_classes(beside: np.ndarray, given: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most, for words with counts of classes before and behind them (2 k columns).
+
+    A word of class c costs log P(c) each time, since P(w | c) = P(w) / P(c). Class 0 is the end's own.
+    """
+    k = len(p)
+    left, right = beside[:, :k], beside[:, k:]
+    gain = left @ np.log(given) + right @ np.log(given).T - left.sum(1, keepdims=True) * np.log(p)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def assign(spark: SparkSession, train: DataFrame, units: Units, of: np.ndarray, given: np.ndarray, p: np.ndarray, most: int = 300_000) -> DataFrame:
+    """(word, n, class) of all words of the training texts but the frequent ones; of: classes of the units.
+
+    Tasks count the classes beside each word and send a row a word, ``most`` counts at a time; rows of a word meet in
+    one task, which adds them up as they come and holds one word's counts.
+    """
+    k, shared = len(p), spark.sparkContext.broadcast((units, of, given, p))
+    code = [bytes([i]) for i in range(2 * k)]
+
+    def count(batches):
+        m, of, *_ = shared.value
+        seen: Counter = Counter()
+
+        def out():
+            rows, last = [], None
+            for key in sorted(seen):
+                if key[:-1] != last:
+                    last = key[:-1]
+                    rows.append((last, bytearray(), []))
+                rows[-1][1].append(key[-1])
+                rows[-1][2].append(seen[key])
+            seen.clear()
+            for a in range(0, len(rows), 20_000):
+                word, codes, n = zip(*rows[a : a + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(map(bytes, codes), pa.binary()), pa.array([np.array(x, np.uint32).tobytes() for x in n], pa.binary())], ["word", "codes", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = tokens(text.as_py())
+                u = m.units(words)
+                c = of[u]
+                at = np.flatnonzero(u[:-1] >= m.frequent)
+                own = [words[i] for i in at]
+                seen.update(map(add, own, map(code.__getitem__, np.concatenate([c[-1:], c[:-1]])[at].tolist())))
+                seen.update(map(add, own, map(code.__getitem__, (k + c[at + 1]).tolist())))
+                if len(seen) > most:
+                    yield from out()
+        yield from out()
+
+    def settle(batches):
+        _, _, given, p = shared.value
+        last, held = None, np.zeros((1, 2 * k))
+
+        def send(words, beside):
+            n = beside[:, :k].sum(1).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(best_classes(beside, given, p).astype(np.int32))], ["word", "n", "class"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            words = batch.column("word").to_pylist()
+            (codes, size), (n, _) = elements(batch.column("codes"), np.uint8), elements(batch.column("n"), np.uint32)
+            new = [True, *map(bytes.__ne__, words[1:], words[:-1])]
+            if words[0] == last:
+                new[0] = False
+            names = [w for w, x in zip(words, new) if x]
+            row = np.cumsum(new)  # row 0 is the word that came before this batch
+            beside = np.zeros((len(names) + 1, 2 * k))
+            beside[0] = held
+            np.add.at(beside.reshape(-1), np.repeat(row, size) * 2 * k + codes, n)
+            if last is not None:
+                names = [last, *names]
+            else:
+                beside = beside[1:]
+            last, held = names[-1], beside[-1]
+            if len(names) > 1:
+                yield send(names[:-1], beside[:-1])
+        if last is not None:
+            yield send([last], held[None])
+
+    rows = train.select("text").mapInArrow(count, "word binary, codes binary, n binary")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(settle, "word binary, n long, class int")
+
+
 class Model:
-    """Head words with their counts and units, and the class tables."""
+    """Counts and classes of all words of the training texts: the ``least`` most frequent here, the others in a table."""
 
-    def __init__(self, spark: SparkSession, train: DataFrame, scratch: Scratch, head: int, frequent: int, groups: int, classes: int, weight: float):
-        self.groups, self.frequent = groups, frequent
-        self.end = frequent + groups  # the end token's unit; it also precedes a text's first word
-        self.counts = scratch.save(count_words(train, groups))
-        n, v = self.counts.agg(F.sum("n"), F.count("*")).first()
+    def __init__(self, spark: SparkSession, train: DataFrame, scratch: Scratch, head: int, frequent: int, groups: int, classes: int):
+        counts = scratch.save(count_words(train, groups))
+        n, v = counts.agg(F.sum("n"), F.count("*")).first()
         ends = train.count()
         self.total, self.types = (n or 0) + ends, v + (ends > 0)
         self.denominator = self.total + SMOOTHING * (self.types + 1)
-        self.least = self._threshold(head)
-        top = self.counts.where(F.col("n") >= self.least).toArrow()
-        order = np.lexsort((np.array(top.column("word").to_pylist(), object), -top.column("n").to_numpy()))
-        words, n, group = (top.column(c).to_numpy(zero_copy_only=False)[order] for c in ("word", "n", "ending"))
-        self.index = {w: i for i, w in enumerate(words)}
-        self.unit = np.where(np.arange(len(words)) < frequent, np.arange(len(words)), frequent + group).astype(np.int64)
-        self.log = np.log10((n + SMOOTHING) / self.denominator)
-        self.end_log = float(np.log10((ends + SMOOTHING) / self.denominator))
-        mass = np.zeros(self.end + 1)
-        np.add.at(mass, self.unit, n + SMOOTHING)
-        rest = self.counts.where(F.col("n") < self.least).groupBy("ending").agg((F.sum("n") + SMOOTHING * F.count("*")).alias("m"))
-        for r in rest.collect():  # a row for each group
-            mass[frequent + r.ending] += r.m
-        mass[self.end] = ends + SMOOTHING
-        pairs = self._pairs(spark, train)
-        self.of = exchange(pairs, classes, self.end)
+        self.least = self._threshold(counts, head)
+        top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+        words, n, group = (top.column(c).to_numpy(zero_copy_only=False) for c in ("word", "n", "ending"))
+        units = Units(groups=groups, frequent=len(words), index={w: i for i, w in enumerate(words)})
+        end = units.frequent + groups
+        pairs = unit_pairs(spark, train, units)
+        of = exchange(pairs, classes, end)
         onehot = np.zeros((len(pairs), classes))
-        onehot[np.arange(len(pairs)), self.of] = 1
-        table, p = onehot.T @ pairs @ onehot, np.maximum(onehot.T @ mass, 1e-9)
-        p /= p.sum()
-        given = (table + 50 * p) / (table.sum(1, keepdims=True) + 50)
-        self.lift = np.log10(weight * given / p + 1 - weight)
-
-    def _threshold(self, head: int) -> int:
+        onehot[np.arange(len(pairs)), of] = 1
+        given, p = transitions(onehot.T @ pairs @ onehot, onehot.T @ np.maximum(pairs.sum(0), SMOOTHING))
+        self.words = scratch.save(assign(spark, train, units, of, given, p))
+        self.mass = np.zeros(classes)
+        np.add.at(self.mass, of[: len(words)], n + SMOOTHING)
+        for r in self.words.groupBy("class").agg((F.sum("n") + SMOOTHING * F.count("*")).alias("m")).collect():  # a row for each class
+            self.mass[r["class"]] += r.m
+        self.mass[of[end]] += ends + SMOOTHING
+        more = self.words.where(F.col("n") >= self.least).toArrow()
+        own = [*words, *more.column("word").to_pylist()]
+        n = np.concatenate([n, more.column("n").to_numpy()])
+        self.units = Units(
+            groups=groups,
+            index={w: i for i, w in enumerate(own)},
+            log=np.log10((n + SMOOTHING) / self.denominator),
+            of=np.concatenate([of[: len(words)], more.column("class").to_numpy()]).astype(np.int64),
+            end_log=float(np.log10((ends + SMOOTHING) / self.denominator)),
+            endings=of[units.frequent : end],
+            classes=classes,
+        )
+
+    @staticmethod
+    def _threshold(counts: DataFrame, head: int) -> int:
         """The smallest count that at most ``head`` words reach."""
-        sizes = self.counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
+        sizes = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
         at, seen = (1 << 16) + 1, 0
         for r in sizes:  # 65536 rows at most
             seen += r.words
@@ -152,90 +294,95 @@ class Model:
             at = r.n
         return at
 
-    def units(self, found: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """Unit of each token; found: index among head words or -1."""
-        out = np.empty(len(found) + 1, np.int64)
-        out[:-1] = self.unit[found] if len(self.unit) else 0
-        rare = np.flatnonzero(found < 0)
-        out[rare] = [self.frequent + ending(words[i], self.groups) for i in rare]
-        out[-1] = self.end
-        return out
-
-    def find(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-
-    def _pairs(self, spark: SparkSession, train: DataFrame) -> np.ndarray:
-        """Counts of adjacent units over all training texts; each task sends its own nonzero counts."""
-        size, shared = self.end + 1, spark.sparkContext.broadcast(Units(self))
-
-        def count(batches):
-            m = shared.value
-            total = np.zeros(size * size, np.int64)
-            for batch in batches:
-                for text in batch.column(0):
-                    words = tokens(text.as_py())
-                    u = Model.units(m, Model.find(m, words), words)
-                    np.add.at(total, np.concatenate([[size - 1], u[:-1]]) * size + u, 1)
-            at = np.flatnonzero(total)
-            for a in range(0, len(at), 100_000):
-                some = at[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["pair", "n"])
-
-        summed = train.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(size * size)
-        out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
-        return out.reshape(size, size)
-
-
-class Units:
-    """What workers need of a model; it has no handle on tables."""
-
-    def __init__(self, m: Model):
-        for name in ("groups", "frequent", "end", "index", "unit", "log", "end_log", "of", "lift"):
-            if hasattr(m, name):
-                setattr(self, name, getattr(m, name))
-
 
 def score(spark: SparkSession, docs: DataFrame, head: int = 200_000, frequent: int = 1024, groups: int = 256, classes: int = 64, weight: float = 0.9) -> DataFrame:
     """Scores every row of docs(doc_id, held_out, text); rows with held_out false and a doc_id are the training texts.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. All counts are over all training
-    texts: ``head`` bounds only the words that workers keep in memory (the others' counts are joined, rows of tokens
-    too rare for a hot key), ``frequent`` and ``groups`` the units that are clustered. Null and empty texts are the
-    end token alone; repeated rows are scored each; without training rows all counts are 0.
+    texts, and every word of them has a class: ``frequent`` words by exchange sweeps together with ``groups`` word
+    endings, the others by their own counts. ``head`` bounds only the words that workers keep in memory; counts and
+    classes of the others are joined, a row for each such word of a text. A word that no training text has gets the
+    class of its ending. Null and empty texts are the end token alone; repeated rows are scored each; without training
+    rows all counts are 0; other columns of docs are not read.
     """
     ship(spark)
     scratch = Scratch(spark, "classlm")
     docs = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text"))
-    model = Model(spark, docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()), scratch, head, frequent, groups, classes, weight)
-    shared = spark.sparkContext.broadcast(Units(model))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<binary>"
+    model = Model(spark, docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()), scratch, head, frequent, groups, classes)
+    shared = spark.sparkContext.broadcast(model.units)
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "codes", "rare", "guess"]
 
-    def run(batches):
+    def read(batches):
+        """Classes of a text's words; the i-th distinct word that the worker lacks stands as classes + i."""
         from pyspark import TaskContext
 
         m, row = shared.value, TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = []
+                for text in batch.column("text"):
+                    words = tokens(text.as_py())
+                    found = m.find(words)
+                    known = found >= 0
+                    own: dict[bytes, int] = {}
+                    codes = np.empty(len(words), np.uint32)
+                    codes[known] = m.of[found[known]]
+                    codes[~known] = [own.setdefault(words[i], m.classes + len(own)) for i in np.flatnonzero(~known)]
+                    codes = codes.astype(np.uint16) if m.classes + len(own) < 1 << 16 else codes
+                    rows.append((row, len(words) + 1, int(known.sum()), float(m.log[found[known]].sum()) + m.end_log, codes.tobytes(), list(own), [int(m.endings[ending(w, m.groups)]) for w in own]))
+                    row += 1
+                r, n, k, b, c, rare, guess = zip(*rows)
+                columns = [pa.array(r, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.float64()), pa.array(c, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(guess, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    first = scratch.save(docs.mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, codes binary, rare array<binary>, guess array<int>"))
+    rare = first.select("row", F.posexplode("rare").alias("at", "word")).join(model.words.where(F.col("n") < model.least), "word")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
+    denominator, total, count = model.denominator, model.total, len(model.mass)
+
+    def fill(batches):
+        for whole in batches:
+            for batch in slices(whole, "codes"):
+                known, base, out = [], [], []
+                for n, k, b, codes, guess, found in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "n_known", "base", "codes", "guess", "found"))):
+                    code = np.frombuffer(codes, np.uint16 if len(codes) == 2 * (n - 1) else np.uint32).astype(np.int64)
+                    seen, of = np.zeros(len(guess)), np.array(guess, np.int64)
+                    for x in found or ():
+                        seen[x["at"]], of[x["at"]] = x["n"], x["class"]
+                    times = np.bincount(code[code >= count] - count, minlength=len(guess))
+                    out.append(np.concatenate([np.arange(count), of])[code].astype(np.uint8).tobytes())
+                    known.append(k + int(times[seen > 0].sum()) + (total > 0))
+                    base.append(b + float((times * np.log10((seen + SMOOTHING) / denominator)).sum()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(out, pa.binary())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "classes"])
+
+    filled = first.drop("rare").join(rare, "row", "left")
+    texts = scratch.save(filled.select(*names[1:7], "guess", "found").mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, classes binary"))
+    scratch.drop(first)
+
+    def steps(sequence: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and the classes before them; the end is class 0 and stands before the first word."""
+        c = np.concatenate([[0], np.frombuffer(sequence, np.uint8), [0]]).astype(np.int64)
+        return c[:-1], c[1:]
+
+    def pairs(batches):
+        table = np.zeros(count * count, np.int64)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                found = Model.find(m, words)
-                known = found[found >= 0]
-                c = m.of[Model.units(m, found, words)]
-                lift = float(m.lift[np.concatenate([[m.of[m.end]], c[:-1]]), c].sum())
-                values = (row, len(words) + 1, len(known), float(m.log[known].sum()) + m.end_log, lift, [words[i] for i in np.flatnonzero(found < 0)])
-                row += 1
-                for column, value in zip(rows, values):
-                    column.append(value)
-            n, t, k, b, li, rare = rows
-            arrays = [pa.array(n, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(t, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.float64()), pa.array(li, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare"])
-
-    scored = scratch.save(docs.mapInArrow(run, schema))
-    rare = scored.select("row", F.explode("rare").alias("word")).join(model.counts.where(F.col("n") < model.least).select("word", "n"), "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rest = rare.groupBy("row").agg(F.sum(F.log10((c + SMOOTHING) / F.lit(float(model.denominator)))).alias("more"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("known"))
-    out = scored.drop("rare").join(rest, "row", "left")
-    base = F.col("base") + F.coalesce(F.col("more"), F.lit(0.0))
-    known = F.col("n_known") + F.coalesce(F.col("known"), F.lit(0)) + (1 if model.total else 0)
-    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lift")).alias("score"))
+            for sequence in batch.column(0):
+                a, b = steps(sequence.as_py())
+                table += np.bincount(a * count + b, minlength=count * count)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["pair", "n"])
+
+    got = texts.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("classes").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(count * count)  # a row for each pair of classes
+    table[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    given, p = transitions(table.reshape(count, count), model.mass)
+    lift = np.log10(weight * given / p + 1 - weight)
+
+    def rate(batches):
+        for batch in batches:
+            gain = [float(lift[steps(x.as_py())].sum()) for x in batch.column("classes")]
+            columns = [*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array([total] * len(batch), pa.int64()), batch.column("base_score"), pa.array(np.array(batch.column("base_score").to_pylist(), float) + np.array(gain, float))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return texts.mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
