@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colframe.functions.cleaning import FLOATS, as_double, clean, is_numeric, missing
+from colframe.operators.ordered import before, quantiles, spread
 
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
@@ -168,19 +169,21 @@ STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe(df: DataFrame, label: str | None = None) -> DataFrame:
-    """Eight rows of statistics of every numeric column (exact, linearly interpolated percentiles), in one pass.
+    """Eight rows of statistics of every numeric column (exact, linearly interpolated percentiles).
 
     With ``label`` a column of that name holds the statistic's name.
     """
     names = [c for c in df.columns if is_numeric(df, c)]
-    parts = []
-    for c in names:
-        x = as_double(df, c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(F.array(F.count(x).cast("double"), F.avg(x), F.when(F.count(x) > 1, F.stddev_samp(x)), F.min(x), q[0], q[1], q[2], F.max(x)).alias(c))
-    one = df.agg(*parts).select("*", F.posexplode(F.array(*map(F.lit, STATISTICS))).alias("_at", "_name"))
-    out = one.select(*([F.col("_name").alias(label)] if label else []), *[F.get(F.col(c), F.col("_at")).alias(c) for c in names])
-    return out
+    x = {c: as_double(df, c) for c in names}
+    row = df.agg(*[f for c in names for f in (F.count(x[c]), F.avg(x[c]), F.stddev_samp(x[c]), F.min(x[c]), F.max(x[c]))]).first()
+    middle = quantiles(df, x, [0.25, 0.5, 0.75])
+    columns = []
+    for i, c in enumerate(names):
+        n, mean, std, low, high = row[5 * i : 5 * i + 5]
+        columns.append([float(n), mean, std if n > 1 else None, low, *middle[c], high])
+    schema = ", ".join([*([f"`{label}` string"] if label else []), *(f"`{c}` double" for c in names)])
+    rows = [(*([s] if label else []), *(v[i] for v in columns)) for i, s in enumerate(STATISTICS)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # --- order
@@ -214,45 +217,34 @@ def take_rows(df: DataFrame, positions: DataFrame, position: str) -> DataFrame:
     return positions.join(df, positions["at"] == df[position]).drop("at")
 
 
-def running(df: DataFrame, order: str, width: int, **aggregates: str) -> DataFrame:
-    """Running aggregates over a whole table in the order of a unique integer column.
+def running(df: DataFrame, order: str, **aggregates: str) -> DataFrame:
+    """Running aggregates over a whole table in the order of a unique column.
 
-    aggregates: name = "sum:column", "prod:column" or "count". Rows are cut into blocks of ``width`` consecutive keys;
-    windows run inside blocks and only one row a block is combined globally, so no task gets the whole table.
+    aggregates: name = "sum:column", "prod:column" or "count". Windows run inside range partitions, whose totals are
+    combined one row each, so no task gets the whole table.
     """
-    df = df.withColumn("_block", F.floor(F.col(order) / width))
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    own, total, made = [], [], {}
+    parts = spread(df, order)
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own, totals, rules, made = {}, {}, {}, {}
     for name, what in aggregates.items():
         kind, _, column = what.partition(":")
-        if kind == "prod":
-            f, zero, both = F.product, 1.0, lambda a, b: a * b
-            x = F.col(column)
-        else:
-            f, zero, both = F.sum, 0, lambda a, b: a + b
-            x = F.col(column) if kind == "sum" else F.lit(1)
-        own.append(f(x).over(inside).alias(name))
-        total.append((name, f(x), f, zero))
-        made[name] = both
-    blocks = df.groupBy("_block").agg(*[t.alias(n) for n, t, _, _ in total])
-    blocks = blocks.select("_block", *[F.coalesce(f(n).over(before), F.lit(zero)).alias(f"_{n}") for n, _, f, zero in total])
-    out = df.select("*", *own).join(blocks, "_block")
-    return out.withColumns({n: both(F.col(f"_{n}"), F.col(n)) for n, both in made.items()}).drop("_block", *[f"_{n}" for n in made])
-
-
-def rankdata(df: DataFrame, value: str, name: str = "rank", blocks: int = 256) -> DataFrame:
-    """1-based ranks, ties getting their average, over a whole table.
-
-    Counts are taken per distinct value first; values are cut into ``blocks`` equal intervals whose totals are summed.
+        x = F.lit(1) if kind == "count" else F.col(column).cast("double") if kind == "prod" or dict(df.dtypes)[column] in ("double", "float") else F.col(column).cast("bigint")
+        f = F.product if kind == "prod" else F.sum
+        own[name], totals[f"_{name}"] = f(x).over(inside), f(x)
+        zero = 1.0 if kind == "prod" else 0.0 if kind == "sum" and dict(df.dtypes)[column] in ("double", "float") else 0
+        rules[f"_{name}"] = (zero, (lambda a, b: a * b) if kind == "prod" else (lambda a, b: a + b))
+        made[name] = kind
+    out = parts.withColumns(own).join(before(parts, totals, rules), "_part")
+    both = {n: F.col(f"_{n}") * F.col(n) if kind == "prod" else F.col(f"_{n}") + F.col(n) for n, kind in made.items()}
+    return out.withColumns(both).drop("_part", *totals)
+
+
+def rankdata(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """1-based ranks, ties getting their average, over a whole table; NaN ranks last, a null value has a null rank.
+
+    Counts are taken per distinct value, and running totals of those inside range partitions.
     """
-    v = df.groupBy(value).agg(F.count("*").alias("_n"))
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    span = float(high - low) or 1.0 if low is not None else 1.0
-    v = v.withColumn("_block", F.floor((F.col(value) - F.lit(low)) / F.lit(span) * blocks))
-    inside = Window.partitionBy("_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = v.groupBy("_block").agg(F.sum("_n").alias("_t")).select("_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    v = v.withColumn("_less", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, "_block")
-    v = v.select(value, (F.col("_before") + F.col("_less") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(v, value)
+    v = spread(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value)
+    less = F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    v = v.withColumn("_less", F.coalesce(less, F.lit(0))).join(before(v, {"_before": F.sum("_n")}, {"_before": (0, lambda a, b: a + b)}), "_part")
+    return df.join(v.select(value, (F.col("_before") + F.col("_less") + (F.col("_n") + 1) / 2).alias(name)), value, "left")

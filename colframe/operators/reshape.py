@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colframe.functions.cleaning import as_double, clean, is_numeric
+from colframe.operators.ordered import numbered
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -39,13 +40,8 @@ def categories(df: DataFrame, name: str) -> DataFrame:
 
     Values are range-partitioned and numbered inside partitions, whose sizes are summed: no task gets all values.
     """
-    from pyspark.sql import Window
-
     distinct = df.select(F.col(name).alias("category")).where(F.col(name).isNotNull()).distinct()
-    head = distinct.withColumn("_block", F.substring("category", 1, 1))
-    inside, before = Window.partitionBy("_block").orderBy("category"), Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = head.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return head.withColumn("_at", F.row_number().over(inside)).join(sizes, "_block").select("category", (F.col("_before") + F.col("_at") - 1).alias("code"))
+    return numbered(distinct, "category", "code").select("category", "code")
 
 
 def categorical_codes(df: DataFrame, name: str, code: str = "code") -> DataFrame:

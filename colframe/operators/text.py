@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colframe.operators.ordered import numbered
 from colframe.shipping import ship
+from colframe.sources.scratch import Scratch
 
 UNKNOWN = "[UNK]"
 
@@ -22,12 +24,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def vocabulary(words: DataFrame, first: int = 0) -> DataFrame:
-    """(word, id) of the distinct words in sorted order, ids from ``first``; blocks of words by their beginning."""
-    w = words.select("word").distinct().withColumn("_block", F.substring("word", 1, 2))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = w.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_block").orderBy("word"))
-    return w.withColumn("_at", at).join(sizes, "_block").select("word", (F.col("_before") + F.col("_at") - 1 + first).cast("bigint").alias("id"))
+    """(word, id) of the distinct words in sorted order, ids from ``first``, numbered inside range partitions."""
+    return numbered(words.select("word").distinct(), "word", "id", first).select("word", "id")
 
 
 def occurrences(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -157,23 +155,27 @@ def murmur3(words: np.ndarray | list[str], seed: int = 0) -> np.ndarray:
 def count_vectors(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(counts (key, id, n), vocabulary (word, id)) of word tokens over the sorted vocabulary."""
     found = df.select(key, F.explode(word_tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    found = Scratch(df.sparkSession, "words").save(found)
     vocab = vocabulary(found)
     return found.join(vocab, "word").select(key, "id", "n"), vocab
 
 
 def hash_vectors(df: DataFrame, key: str, text: str, features: int = 1 << 20) -> DataFrame:
-    """(key, id, value): signed counts at |hash| mod features; each distinct word is hashed once."""
+    """(key, feature, value): signed counts at |hash| mod features; each distinct word is hashed once."""
+    if key in ("feature", "value"):
+        raise ValueError(f"the key column may not be named {key}")
     ship(df.sparkSession)
 
     @F.pandas_udf("int")
     def hashed(words: pd.Series) -> pd.Series:
         return pd.Series(murmur3(words.tolist()))
 
-    found = df.select(key, F.explode(word_tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    known = found.select("word").distinct().withColumn("h", hashed("word"))
-    h = F.col("h").cast("bigint")
+    found = df.select(key, F.explode(word_tokens(F.col(text))).alias("_word")).groupBy(key, "_word").agg(F.count("*").alias("_n"))
+    found = Scratch(df.sparkSession, "words").save(found)
+    known = found.select("_word").distinct().withColumn("_h", hashed("_word"))
+    h = F.col("_h").cast("bigint")
     sign = F.when(h >= 0, 1.0).otherwise(-1.0)
-    return found.join(known, "word").groupBy(key, (F.abs(h) % features).alias("id")).agg(F.sum(F.col("n") * sign).alias("value"))
+    return found.join(known, "_word").groupBy(key, (F.abs(h) % features).alias("feature")).agg(F.sum(F.col("_n") * sign).alias("value"))
 
 
 def vocabulary_frame(spark: SparkSession, words: list[str], first: int = 0) -> DataFrame:

@@ -177,7 +177,33 @@ for name, f, sql in (
 
     _ppf(name, f, sql)
 
-KERNEL_SQL = {"gamma": "gamma(1 + k / 10.0)", "gammaln": "lgamma(1 + k / 10.0)", "poisson_pmf": "exp(k * ln(3.0) - 3.0 - lgamma(k + 1))"}
+#: Closed forms of the distributions for the parameters below, as SQL of x (or p for quantiles, by halving).
+BINOM = "exp(lgamma(21) - lgamma({k} + 1) - lgamma(21 - {k}) + {k} * ln(0.3) + (20 - {k}) * ln(0.7))"
+PHI = "(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda n: pow({x}, 2 * n + 1) / exp(lgamma(2 * n + 2) - lgamma(n + 1) - n * ln(2)))))"
+T_CDF = "(0.5 + (atan({x} / sqrt(5)) + sin(atan({x} / sqrt(5))) * cos(atan({x} / sqrt(5))) * (1 + 2.0 / 3 * pow(cos(atan({x} / sqrt(5))), 2))) / pi())"
+CHI2_CDF = "(1 - exp(-({x}) / 2) * (1 + ({x}) / 2))"
+GAMMA_CDF = "(exp(-({x})) * pow({x}, 2.5) * list_sum(list_transform(range(0, 120), lambda n: exp(n * ln(greatest({x}, 1e-300)) - lgamma(n + 3.5)))))"
+BETA_CDF = "(6 * pow({x}, 2) - 8 * pow({x}, 3) + 3 * pow({x}, 4))"
+
+
+def _halved(cdf, low, high):
+    """SQL for the point of low..high at which an increasing cdf reaches p, as a list folded over 60 halvings."""
+    m = "((a['lo'] + a['hi']) / 2)"
+    step = f"CASE WHEN {cdf.format(x=m)} < p THEN {{'lo': {m}, 'hi': a['hi']}} ELSE {{'lo': a['lo'], 'hi': {m}}} END"
+    start = f"{{'lo': {low}::double, 'hi': {high}::double}}"
+    return f"list_reduce(list_transform(range(0, 61), lambda i: {start}), lambda a, b: {step})['lo']"
+
+
+KERNEL_SQL = {
+    "gamma": "gamma(x)", "gammaln": "lgamma(x)", "i0": "list_sum(list_transform(range(0, 60), lambda n: exp(2 * n * ln(greatest(x / 2, 1e-300)) - 2 * lgamma(n + 1))))",
+    "ndtri": _halved(PHI, -9, 9), "norm_ppf": f"1 + 2 * {_halved(PHI, -9, 9)}",
+    "t_pdf": "8 / (3 * pi() * sqrt(5) * pow(1 + x * x / 5, 3))", "t_cdf": T_CDF.format(x="x"), "t_ppf": _halved(T_CDF, -60, 60),
+    "chi2_pdf": "x / 4 * exp(-x / 2)", "chi2_cdf": CHI2_CDF.format(x="x"), "chi2_ppf": _halved(CHI2_CDF, 0, 100),
+    "gamma_pdf": "pow(x, 1.5) * exp(-x) / gamma(2.5)", "gamma_cdf": GAMMA_CDF.format(x="x"), "gamma_ppf": _halved(GAMMA_CDF, 0, 40),
+    "beta_pdf": "12 * x * pow(1 - x, 2)", "beta_cdf": BETA_CDF.format(x="x"), "beta_ppf": _halved(BETA_CDF, 0, 1),
+    "poisson_pmf": "exp(x * ln(3.0) - 3.0 - lgamma(x + 1))", "poisson_cdf": "list_sum(list_transform(range(0, floor(x)::int + 1), lambda j: exp(j * ln(3.0) - 3.0 - lgamma(j + 1))))",
+    "binom_pmf": BINOM.format(k="x"), "binom_cdf": f"list_sum(list_transform(range(0, floor(x)::int + 1), lambda j: {BINOM.format(k='j')}))",
+}
 KERNELS = {
     "gamma": (), "gammaln": (), "i0": (), "ndtri": (), "norm_ppf": (1.0, 2.0), "t_pdf": (5.0,), "t_cdf": (5.0,), "t_ppf": (5.0,), "chi2_pdf": (4.0,), "chi2_cdf": (4.0,), "chi2_ppf": (4.0,), "gamma_pdf": (2.5,), "gamma_cdf": (2.5,), "gamma_ppf": (2.5,),
     "beta_pdf": (2.0, 3.0), "beta_cdf": (2.0, 3.0), "beta_ppf": (2.0, 3.0), "poisson_pmf": (3.0,), "poisson_cdf": (3.0,), "binom_pmf": (20.0, 0.3), "binom_cdf": (20.0, 0.3),
@@ -190,12 +216,13 @@ def _kernel(name, parameters):
             return 1 + k / 10
         return (k + 1) / 45 if "ppf" in name or name in ("ndtri", "beta_pdf", "beta_cdf") else k / 4 if "p" in name and "mf" not in name or name == "i0" else k
 
-    sql = KERNEL_SQL.get(name)
+    x = {1: "1 + k / 10.0", 2: "(k + 1) / 45.0", 3: "k / 4.0", 4: "k"}[1 if name in ("gamma", "gammaln") else 2 if "ppf" in name or name in ("ndtri", "beta_pdf", "beta_cdf") else 3 if "p" in name and "mf" not in name or name == "i0" else 4]
 
-    @register(f"dist_{name}", sql and f"SELECT event_id, round({sql}, 6) AS y FROM (SELECT event_id, event_id % 20 AS k FROM events)")
+    # the 20 arguments are computed once and joined
+    @register(f"dist_{name}", f"WITH v AS (SELECT k, round({KERNEL_SQL[name]}, 6) + 0.0 AS y FROM (SELECT k, x, x AS p FROM (SELECT k, ({x})::double AS x FROM range(20) r(k)))) SELECT event_id, y FROM events JOIN v ON event_id % 20 = k")
     def _(spark, d):
         k = (F.col("event_id") % 20).cast("double")
-        return T(spark, d, "events").select("event_id", F.round(sp.kernel(name, *parameters)(argument(k)), 6).alias("y"))
+        return T(spark, d, "events").select("event_id", (F.round(sp.kernel(name, *parameters)(argument(k)), 6) + 0.0).alias("y"))
 
 
 for name, parameters in KERNELS.items():

@@ -316,14 +316,14 @@ def _(spark, d):
 
 @register("cumsum", "SELECT event_id, round(sum(value) OVER (ORDER BY event_id), 4) AS total, row_number() OVER (ORDER BY event_id) AS n FROM events")
 def _(spark, d):
-    out = fr.running(T(spark, d, "events").select("event_id", "value"), "event_id", 1024, total="sum:value", n="count")
+    out = fr.running(T(spark, d, "events").select("event_id", "value"), "event_id", total="sum:value", n="count")
     return out.select("event_id", F.round("total", 4).alias("total"), F.col("n").cast("bigint").alias("n"))
 
 
 @register("cumprod", "SELECT event_id, round(product(1 + value / 1e7) OVER (ORDER BY event_id), 6) AS p FROM events")
 def _(spark, d):
     x = T(spark, d, "events").select("event_id", (1 + F.col("value") / 1e7).alias("x"))
-    return fr.running(x, "event_id", 1024, p="prod:x").select("event_id", F.round("p", 6).alias("p"))
+    return fr.running(x, "event_id", p="prod:x").select("event_id", F.round("p", 6).alias("p"))
 
 
 @register("cumsum_axis", "SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events")
