@@ -16,6 +16,7 @@ from colframe.plans.relational import T, rounded
 
 SP = r"'\s+'"
 WS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+MERGES = [("t", "h"), ("th", "e"), ("a", "n"), ("e", "r"), ("i", "n")]
 CONV = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
 
 
@@ -52,20 +53,44 @@ def _(spark, d):
     return X.count_vectors(conv(spark, d).withColumnRenamed("id", "doc"), "doc", "text")[0]
 
 
-@register("hashing_vectorizer")
+# MurmurHash3 of each distinct word: blocks of four bytes (little-endian, from hexadecimal text) folded in HUGEINT
+M32 = "4294967296::hugeint"
+MIX = f"((({{k}} * 3432918353) % {M32} * 32768 + (({{k}} * 3432918353) % {M32}) // 131072) % {M32} * 461845907) % {M32}"
+HASHED = f"""
+SELECT w, xor(xor(h4, h4 // 8192) * 3266489909::hugeint % {M32}, 0::hugeint) AS h5 FROM (
+SELECT w, xor(h3, h3 // 65536) * 2246822507::hugeint % {M32} AS h4 FROM (
+SELECT w, xor(CASE WHEN n % 4 = 0 THEN h ELSE xor(h, {MIX.format(k="tail")}) END, n::hugeint) AS h3 FROM (
+SELECT w, n, CASE WHEN n % 4 = 0 THEN 0 ELSE list_sum(list_transform(range(0, n % 4), lambda i: ('0x' || x[2 * (n // 4 * 4 + i) + 1:2 * (n // 4 * 4 + i) + 2])::hugeint * (1 << (8 * i)))) END::hugeint AS tail,
+list_reduce(list_prepend(0::hugeint, list_transform(range(0, n // 4), lambda b: list_sum(list_transform(range(0, 4), lambda i: ('0x' || x[2 * (4 * b + i) + 1:2 * (4 * b + i) + 2])::hugeint * (1 << (8 * i))))::hugeint)),
+  lambda h, k: ((xor(h, {MIX.format(k="k")}) * 8192 + xor(h, {MIX.format(k="k")}) // 524288) % {M32} * 5 + 3864292196) % {M32}) AS h
+FROM (SELECT w, hex(encode(w)) AS x, octet_length(encode(w)) AS n FROM (SELECT DISTINCT w FROM t)))))"""
+SIGNED = f"SELECT w, CASE WHEN h6 >= 2147483648 THEN h6 - {M32} ELSE h6 END AS s FROM (SELECT w, xor(h5, h5 // 65536) AS h6 FROM ({HASHED}))"
+
+
+@register("hashing_vectorizer", f"WITH t AS ({TOK}), m AS ({SIGNED}) SELECT id, (abs(s) % 4096)::bigint AS feature, sum(CASE WHEN s >= 0 THEN 1.0 ELSE -1.0 END)::double AS value FROM t JOIN m USING (w) GROUP BY 1, 2")
 def _(spark, d):
     return X.hash_vectors(conv(spark, d), "id", "text", 4096)
 
 
-@register("bpe_merges")
+MERGED = "' ' || array_to_string(string_split(w, ''), '  ') || ' '"
+for _a, _b in MERGES:
+    MERGED = f"replace({MERGED}, ' {_a}  {_b} ', ' {_a}{_b} ')"
+PIECES = "SELECT id, [CASE WHEN i > 0 THEN i - 1 ELSE 0 END FOR i IN list_transform(p, lambda x: coalesce(list_position(v, x), 0))] AS ids, list_transform(p, lambda x: CASE WHEN list_contains(v, x) THEN x ELSE '[UNK]' END) AS tokens FROM (SELECT id, {p} AS p, {v}::varchar[] AS v FROM (SELECT id, flatten(list_transform(" + WS + ", lambda w: {split})) AS p FROM (" + CONV + ")) WHERE len(p) > 0)"
+
+
+@register("bpe_merges", PIECES.format(p="p", v=["[UNK]", *dict.fromkeys(t for a, b in MERGES for t in (a, b, a + b))], split=f"string_split(trim({MERGED}), '  ')"))
 def _(spark, d):
-    return X.encode_words(conv(spark, d), "id", "text", X.MergeTokenizer([("t", "h"), ("th", "e"), ("a", "n"), ("e", "r"), ("i", "n")]))
+    return X.encode_words(conv(spark, d), "id", "text", X.MergeTokenizer(MERGES))
+
+
+ALPHABET = [chr(c) for c in range(97, 123)]
+WORDPIECES = [*ALPHABET, *["##" + c for c in ALPHABET], "the", "##the", "##tion", "and", "##er"]
+GREEDY = "CASE WHEN regexp_full_match(w, '[a-z]{1,100}') THEN list_prepend(regexp_extract(w, '^(the|and|[a-z])'), list_transform(regexp_extract_all(w[len(regexp_extract(w, '^(the|and|[a-z])')) + 1:], 'tion|the|er|[a-z]'), lambda x: '##' || x)) ELSE ['[UNK]'] END"
 
 
-@register("wordpiece")
+@register("wordpiece", PIECES.format(p="p", v=["[UNK]", *WORDPIECES], split=GREEDY.replace("{1,100}", "{{1,100}}").replace("{{", "{").replace("}}", "}")))
 def _(spark, d):
-    alphabet = [chr(c) for c in range(97, 123)]
-    return X.encode_words(conv(spark, d), "id", "text", X.WordPieceTokenizer([*alphabet, *["##" + c for c in alphabet], "the", "##the", "##tion", "and", "##er"]))
+    return X.encode_words(conv(spark, d), "id", "text", X.WordPieceTokenizer(WORDPIECES))
 
 
 # --- classical learning
@@ -104,17 +129,30 @@ def _(spark, d):
     return spark.createDataFrame([(round(m.coef[0], 3), round(m.intercept, 2))], "slope double, intercept double")
 
 
-@register("linear_predict")
+FEATURES = "SELECT l_orderkey, l_linenumber, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 10 AS x3, l_extendedprice AS y, (l_quantity > 25)::int AS c FROM lineitem"
+MOMENTS = "SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, var_pop(x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x1, x3) AS c, var_pop(x2) AS e, covar_pop(x2, x3) AS f, var_pop(x3) AS i, covar_pop(x1, y) AS g, covar_pop(x2, y) AS h, covar_pop(x3, y) AS k FROM x"
+CRAMER = "SELECT *, a * (e * i - f * f) - b * (b * i - c * f) + c * (b * f - c * e) AS det FROM m"
+SOLVED = "SELECT m1, m2, m3, my, (g * (e * i - f * f) - b * (h * i - f * k) + c * (h * f - e * k)) / det AS w1, (a * (h * i - f * k) - g * (b * i - f * c) + c * (b * k - h * c)) / det AS w2, (a * (e * k - h * f) - b * (b * k - h * c) + g * (b * f - e * c)) / det AS w3 FROM d"
+
+
+@register("linear_predict", f"WITH x AS ({FEATURES}), m AS ({MOMENTS}), d AS ({CRAMER}), s AS ({SOLVED}) SELECT l_orderkey, l_linenumber, round(my + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3), 2) AS p FROM x, s")
 def _(spark, d):
     x = features(spark, d)
     m = L.LinearRegression().fit(x, "x", "y")
     return x.select("l_orderkey", "l_linenumber", F.round(m.predict(F.col("x")), 2).alias("p"))
 
 
-@register("logistic_regression")
+STEPS = 20
+GRADIENT = "SELECT i, b, w1, w2, w3, avg(e) AS g, avg(e * x1) AS g1, avg(e * x2) AS g2, avg(e * x3) AS g3 FROM (SELECT *, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2 + w3 * x3))) - c AS e FROM w, x WHERE i < {n}) GROUP BY i, b, w1, w2, w3"
+
+
+@register(
+    "logistic_regression",
+    f"WITH RECURSIVE x AS MATERIALIZED ({FEATURES}), w(i, b, w1, w2, w3) AS (SELECT 0, 0.0::double, 0.0::double, 0.0::double, 0.0::double UNION ALL SELECT i + 1, b - g, w1 - g1, w2 - g2, w3 - g3 FROM ({GRADIENT.format(n=STEPS)})) SELECT c, (b + w1 * x1 + w2 * x2 + w3 * x3 >= 0)::bigint AS p, count(*) AS n FROM x, w WHERE i = {STEPS} GROUP BY 1, 2",
+)
 def _(spark, d):
     x = features(spark, d)
-    m = L.LogisticRegression(rate=1.0, iterations=5).fit(x, "x", "c")
+    m = L.LogisticRegression(rate=1.0, iterations=STEPS).fit(x, "x", "c")
     return x.groupBy("c", m.predict(F.col("x")).alias("p")).agg(F.count("*").alias("n"))
 
 
@@ -133,17 +171,18 @@ def _(spark, d):
     return rounded(L.knn_regress(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id", "embedding", "vec_id", "label", 4))
 
 
-@register("kmeans")
-def _(spark, d):
-    e = T(spark, d, "embeddings")
-    m = L.KMeans(3, 5).fit(e, "embedding", "vec_id")
-    return e.select("vec_id", m.predict(F.col("embedding").cast("array<double>")).alias("cluster"))
+LLOYD = 10
+NEAR = "list_position([list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) FOR c IN cs], list_min([list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) FOR c IN cs]))"
+MOVED = f"SELECT i, k, j, avg(v) AS m FROM (SELECT i, k, generate_subscripts(x, 1) AS j, unnest(x) AS v FROM (SELECT i, x, {NEAR} AS k FROM e, c WHERE i < {LLOYD})) GROUP BY 1, 2, 3"
 
 
-@register("kmeans_assign", "SELECT vec_id, (SELECT list_position(ds, list_min(ds))::int - 1 FROM (SELECT [list_distance(embedding::double[], c) FOR c IN (SELECT list(embedding::double[] ORDER BY vec_id) FROM embeddings WHERE vec_id < 4)] AS ds)) AS cluster FROM embeddings")
+@register(
+    "kmeans",
+    f"WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::double[] AS x FROM embeddings), c(i, cs) AS (SELECT 0, list(x ORDER BY vec_id) FROM e WHERE vec_id IN (SELECT vec_id FROM e ORDER BY 1 LIMIT 3) UNION ALL SELECT any_value(i) + 1, list(x ORDER BY k) FROM (SELECT i, k, list(m ORDER BY j) AS x FROM ({MOVED}) GROUP BY 1, 2) GROUP BY i) SELECT vec_id, ({NEAR} - 1)::int AS cluster FROM e, c WHERE i = {LLOYD}",
+)
 def _(spark, d):
     e = T(spark, d, "embeddings")
-    m = L.KMeans(4, 0).fit(e, "embedding", "vec_id")
+    m = L.KMeans(3, LLOYD).fit(e, "embedding", "vec_id")
     return e.select("vec_id", m.predict(F.col("embedding").cast("array<double>")).alias("cluster"))
 
 
@@ -161,36 +200,55 @@ def series(spark, d):
     return T(spark, d, "events").select("user_id", "event_id", "value")
 
 
-def _series(name, f, schema):
-    @register(name)
+def _series(name, f, schema, sql=None):
+    @register(name, sql)
     def _(spark, d):
-        return rounded(G.per_series(series(spark, d), "user_id", "event_id", "value", f, schema))
+        out = G.per_series(series(spark, d), "user_id", "event_id", "value", f, schema)
+        return out.select(*[(F.round(c, 4) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
 
 
-_series("fft", G.fft, "k int, re double, im double")
-_series("rfft", G.rfft, "k int, re double, im double")
-_series("lfilter", lambda x: (lambda y: {"k": np.arange(len(y)), "y": y})(G.lfilter(*G.butter(3, 0.3), x)[0]), "k int, y double")
-_series("filtfilt", lambda x: (lambda y: {"k": np.arange(len(y)), "y": y})(G.filtfilt(*G.butter(2, 0.4), x)), "k int, y double")
-_series("welch", lambda x: G.welch(x, 1.0, min(16, len(x))), "f double, p double")
-_series("stft", lambda x: G.stft(x, 1.0, min(16, len(x))), "f double, segment int, m double")
+SERIES = "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events"
+DFT = "SELECT user_id, k.k::int AS k, round(sum(value * cos(-2 * pi() * (t * k.k % n) / n)), 4) + 0.0 AS re, round(sum(value * sin(-2 * pi() * (t * k.k % n) / n)), 4) + 0.0 AS im FROM x JOIN range((SELECT max(n) FROM x)) k(k) ON k.k {bound} GROUP BY 1, 2"
+CUT = "SELECT user_id, (s // step)::int AS segment, t - s AS t, size, value * (0.5 - 0.5 * cos(2 * pi() * (t - s) / size)) AS v FROM (SELECT *, least(n, 16) AS size, least(n, 16) - least(n, 16) // 2 AS step FROM x) JOIN range((SELECT max(n) FROM x)) r(s) ON s % step = 0 AND t >= s AND t < s + size AND s + size <= n"
+BINS = "SELECT user_id, segment, size, k, sqrt(pow(sum(v * cos(2 * pi() * (t * k % size) / size)), 2) + pow(sum(v * sin(2 * pi() * (t * k % size) / size)), 2)) AS m FROM c JOIN range(9) r(k) ON k <= size // 2 GROUP BY 1, 2, 3, 4"
+HANN = "(SELECT sum({w}) FROM (SELECT 0.5 - 0.5 * cos(2 * pi() * j / size) AS h FROM range(size) r(j)))"
+_LONGEST = "(SELECT max(n) FROM x)"
 
 
-@register("irfft_roundtrip", "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::int AS k, round(value, 6) AS x FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 1)")
-def _(spark, d):
-    out = G.per_series(series(spark, d), "user_id", "event_id", "value", G.irfft_of_rfft, "k int, x double")
-    return rounded(out.join(series(spark, d).groupBy("user_id").count().where("count > 1").select("user_id"), "user_id", "left_semi"))
+def _response(b, a):
+    """The impulse response of a recursive filter as SQL: h[i] = b[i] - a[1] h[i-1] - ..., as long as the longest series."""
+    back = " - ".join(f"({float(v)!r}) * CASE WHEN len(h) > {i} THEN h[len(h) - {i}] ELSE 0 END" for i, v in enumerate(a[1:]))
+    front = f"coalesce({[float(v) for v in b]}[i + 1], 0)"
+    return f"r(i, h) AS (SELECT 1, [{float(b[0])!r}::double] UNION ALL SELECT i + 1, list_append(h, {front} - {back}) FROM r WHERE i < {_LONGEST})"
 
 
-@register("dft_as_sql", "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id < 400) SELECT user_id, k.k::int AS k, round(sum(value * cos(-2 * pi() * t * k.k / n)), 4) + 0.0 AS re, round(sum(value * sin(-2 * pi() * t * k.k / n)), 4) + 0.0 AS im FROM x JOIN range(3) k(k) ON k.k < n GROUP BY 1, 2")
-def _(spark, d):
-    out = G.per_series(series(spark, d).where("event_id < 400"), "user_id", "event_id", "value", G.fft, "k int, re double, im double").where("k < 3")
-    return out.select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+_series("fft", G.fft, "k int, re double, im double", f"WITH x AS ({SERIES}) {DFT.format(bound='< n')}")
+_series("rfft", G.rfft, "k int, re double, im double", f"WITH x AS ({SERIES}) {DFT.format(bound='<= n // 2')}")
+_series(
+    "lfilter",
+    lambda x: (lambda y: {"k": np.arange(len(y)), "y": y})(G.lfilter(*G.butter(3, 0.3), x)[0]),
+    "k int, y double",
+    f"WITH RECURSIVE x AS ({SERIES}), {_response(*G.butter(3, 0.3))}, h AS (SELECT h FROM r ORDER BY i DESC LIMIT 1) SELECT a.user_id, a.t::int AS k, round(sum(b.value * h[a.t - b.t + 1]), 4) + 0.0 AS y FROM x a JOIN x b ON a.user_id = b.user_id AND b.t <= a.t, h GROUP BY 1, 2",
+)
+_series("filtfilt", lambda x: (lambda y: {"k": np.arange(len(y)), "y": y})(G.filtfilt(*G.butter(2, 0.4), x)), "k int, y double")
+_series(
+    "welch",
+    lambda x: G.welch(x, 1.0, min(16, len(x))),
+    "f double, p double",
+    f"WITH x AS ({SERIES}), c AS ({CUT}), b AS ({BINS}) SELECT user_id, round(k / size, 4) + 0.0 AS f, round(avg(m * m) / {HANN.format(w='h * h')} * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END, 4) + 0.0 AS p FROM b GROUP BY user_id, size, k",
+)
+_series(
+    "stft",
+    lambda x: G.stft(x, 1.0, min(16, len(x))),
+    "f double, segment int, m double",
+    f"WITH x AS ({SERIES}), c AS ({CUT}), b AS ({BINS}) SELECT user_id, round(k / size, 4) + 0.0 AS f, segment, round(m / {HANN.format(w='h')}, 4) + 0.0 AS m FROM b",
+)
 
 
-@register("dft_all", "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, k.k::int AS k, round(sum(value * cos(-2 * pi() * t * k.k / n)), 4) + 0.0 AS re, round(sum(value * sin(-2 * pi() * t * k.k / n)), 4) + 0.0 AS im FROM x JOIN range((SELECT max(n) FROM x)) k(k) ON k.k < n GROUP BY 1, 2")
+@register("irfft_roundtrip", "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::int AS k, round(value, 6) AS x FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 1)")
 def _(spark, d):
-    out = G.per_series(series(spark, d), "user_id", "event_id", "value", G.fft, "k int, re double, im double")
-    return out.select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+    out = G.per_series(series(spark, d), "user_id", "event_id", "value", G.irfft_of_rfft, "k int, x double")
+    return rounded(out.join(series(spark, d).groupBy("user_id").count().where("count > 1").select("user_id"), "user_id", "left_semi"))
 
 
 @register("fftfreq", "SELECT i AS k, (CASE WHEN i < 5 THEN i ELSE i - 9 END) / (9 * 0.5) AS f FROM range(9) t(i)")
@@ -254,20 +312,29 @@ def _(spark, d):
 
 # --- networks
 
+def _literal(a):
+    """An array as a DuckDB list."""
+    return str(np.asarray(a, float).tolist())
+
+
 def _net(seed=1, width=64, hidden=8, out=4):
     w = N.lcg_uniform(hidden * width + out * hidden, seed, -0.5, 0.5)
     return N.Sequential(N.Linear(w[: hidden * width].reshape(hidden, width), np.zeros(hidden)), N.Activation("relu"), N.Linear(w[hidden * width :].reshape(out, hidden), np.zeros(out)))
 
 
-@register("mlp_inference")
+_W = N.state(_net())
+HIDDEN = f"list_transform({_literal(_W['0.weight'])}, lambda w: greatest(list_inner_product(w, embedding::double[]), 0.0))"
+
+
+@register("mlp_inference", f"SELECT vec_id, list_transform({_literal(_W['2.weight'])}, lambda w: round(list_inner_product(w, h), 6) + 0.0) AS y FROM (SELECT vec_id, {HIDDEN} AS h FROM embeddings)")
 def _(spark, d):
-    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_net(), F.col("embedding")), lambda x: F.round(x, 6)).alias("y"))
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_net(), F.col("embedding")), lambda x: F.round(x, 6) + 0.0).alias("y"))
 
 
 @register("mlp_training")
 def _(spark, d):
     e = T(spark, d, "embeddings").select("embedding", (F.col("label") % 4).alias("y"))
-    losses = N.train(e, "embedding", "y", _net(), N.Adam(0.05), epochs=4)
+    losses = N.train(e, "embedding", "y", _net(), N.Adam(0.05), epochs=12)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
@@ -284,15 +351,25 @@ class _Attend:
         return N.attention(x, x, x, N.causal_mask(x.shape[1]))
 
 
-@register("attention")
+WEIGHT = "exp(list_inner_product(r[8 * i + 1:8 * i + 8], r[8 * j + 1:8 * j + 8]) / sqrt(8))"
+
+
+@register(
+    "attention",
+    f"SELECT vec_id, flatten(list_transform(range(0, 8), lambda i: list_transform(range(1, 9), lambda c: round(list_sum(list_transform(range(0, i + 1), lambda j: {WEIGHT} * r[8 * j + c])) / list_sum(list_transform(range(0, i + 1), lambda j: {WEIGHT})), 6) + 0.0))) AS y FROM (SELECT vec_id, embedding::double[] AS r FROM embeddings)",
+)
 def _(spark, d):
-    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Attend(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6)).alias("y"))
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Attend(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
+
+
+_KERNELS = N.lcg_uniform(18, 3, -1, 1)
+CONVOLVED = "list_sum(list_transform(range(0, 9), lambda m: w[9 * (q // 9) + m + 1] * r[(2 * (q % 9 // 3) + z // 2 + m // 3) * 8 + 2 * (q % 3) + z % 2 + m % 3 + 1]))"
 
 
-@register("conv_pool")
+@register("conv_pool", f"SELECT vec_id, list_transform(range(0, 18), lambda q: round(list_max(list_transform(range(0, 4), lambda z: {CONVOLVED})), 6) + 0.0) AS y FROM (SELECT vec_id, embedding::double[] AS r, {_literal(_KERNELS)} AS w FROM embeddings)")
 def _(spark, d):
     net = N.Sequential(N.Conv2d(N.lcg_uniform(18, 3, -1, 1).reshape(2, 1, 3, 3)), N.Pool2d("max", 2), N.Flatten())
-    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(net, F.col("embedding"), (1, 8, 8)), lambda x: F.round(x, 6)).alias("y"))
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(net, F.col("embedding"), (1, 8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
 
 
 class _Lstm:
@@ -301,9 +378,15 @@ class _Lstm:
         return N.lstm(x, w[:160].reshape(20, 8), w[160:].reshape(20, 5), np.zeros(20), np.zeros(20))[1][0]
 
 
-@register("lstm")
+_GATES = N.lcg_uniform(4 * 5 * (8 + 5), 5, -0.5, 0.5)
+LSTM = "SELECT vec_id, embedding::double[] AS r, [0, 0, 0, 0, 0]::double[] AS h, [0, 0, 0, 0, 0]::double[] AS c FROM embeddings"
+for _t in range(8):
+    LSTM = f"SELECT vec_id, r, list_transform(list_zip(g[16:20], c), lambda p: 1 / (1 + exp(-p[1])) * tanh(p[2])) AS h, c FROM (SELECT vec_id, r, g, list_transform(range(1, 6), lambda i: c[i] / (1 + exp(-g[5 + i])) + tanh(g[10 + i]) / (1 + exp(-g[i]))) AS c FROM (SELECT vec_id, r, c, list_transform(list_zip({_literal(_GATES[:160].reshape(20, 8))}, {_literal(_GATES[160:].reshape(20, 5))}), lambda w: list_inner_product(w[1], r[{8 * _t + 1}:{8 * _t + 8}]) + list_inner_product(w[2], h)) AS g FROM ({LSTM})))"
+
+
+@register("lstm", f"SELECT vec_id, list_transform(h, lambda x: round(x, 6) + 0.0) AS y FROM ({LSTM})")
 def _(spark, d):
-    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Lstm(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6)).alias("y"))
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Lstm(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
 
 
 @register("batch_norm", "WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::double AS v FROM embeddings) SELECT vec_id, (j - 1)::int AS j, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 5) + 0.0 AS z FROM c WINDOW w AS (PARTITION BY j)")

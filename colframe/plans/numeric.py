@@ -85,9 +85,9 @@ def _(spark, d):
     return vectors(spark, d).select("vec_id", V.argmin(v).alias("amin"), V.argmax(v).alias("amax"), *[F.round(c, 6).alias(n) for n, c in named.items()])
 
 
-@register("vector_cumulative", f"SELECT vec_id, list_transform(v, lambda x, i: round(list_sum(v[1:i]), 6) + 0.0) AS s, list_transform(v[1:8], lambda x, i: round(list_product(v[1:i]), 9) + 0.0) AS p FROM ({E})")
+@register("vector_cumulative", f"SELECT vec_id, list_transform(v, lambda x, i: round(list_sum(v[1:i]), 6) + 0.0) AS s, list_transform(v, lambda x, i: round(list_product(list_transform(v[1:i], lambda y: 1 + y)), 6) + 0.0) AS p FROM ({E})")
 def _(spark, d):
-    return vectors(spark, d).select("vec_id", digits(V.cumulative(F.col("v"))).alias("s"), digits(V.cumulative(F.slice("v", 1, 8), "prod"), 9).alias("p"))
+    return vectors(spark, d).select("vec_id", digits(V.cumulative(F.col("v"))).alias("s"), digits(V.cumulative(F.transform("v", lambda x: 1 + x), "prod")).alias("p"))
 
 
 @register(
@@ -116,14 +116,7 @@ def _(spark, d):
     return vectors(spark, d).select("vec_id", V.take(v, [5, 0, 5]).alias("t"), V.compress(mask, v).alias("c"), V.stride(v, 2, 40, 7).alias("st"), V.concatenate(F.slice(v, 1, 2), F.slice(v, 63, 2)).alias("cat"), F.reverse(v).alias("rev"), V.reshape(v, 32).alias("re"))
 
 
-@register("ragged_padding", "SELECT user_id, list_concat(v, list_resize([0.0::double], greatest(n - len(v), 0)::bigint, 0.0::double)[1:greatest(n - len(v), 0)::bigint]) AS p FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE event_id < 300 GROUP BY 1), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM events WHERE event_id < 300 GROUP BY user_id))")
-def _(spark, d):
-    x = T(spark, d, "events").where("event_id < 300").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"]).alias("v"))
-    longest = F.broadcast(x.agg(F.max(F.size("v")).alias("n")))  # one row
-    return x.join(longest).select("user_id", V.pad(F.col("v"), F.col("n"), 0.0).alias("p"))
-
-
-@register("ragged_padding_all", "SELECT user_id, list_concat(v, list_resize([0.0::double], greatest(n - len(v), 0)::bigint, 0.0::double)[1:greatest(n - len(v), 0)::bigint]) AS p FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM events GROUP BY user_id))")
+@register("ragged_padding", "SELECT user_id, list_concat(v, list_resize([0.0::double], greatest(n - len(v), 0)::bigint, 0.0::double)[1:greatest(n - len(v), 0)::bigint]) AS p FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM events GROUP BY user_id))")
 def _(spark, d):
     x = T(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"]).alias("v"))
     longest = F.broadcast(x.agg(F.max(F.size("v")).alias("n")))  # one row
@@ -317,13 +310,7 @@ def _(spark, d):
     return rounded(M.gram(coo(spark, d)))
 
 
-@register("coo_matmul", f"SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM (SELECT * FROM ({COO}) WHERE i < 40) a JOIN (SELECT * FROM ({COO}) WHERE i < 40) b ON a.j = b.j GROUP BY 1, 2")
-def _(spark, d):
-    m = coo(spark, d).where("i < 40")
-    return rounded(M.matmul(m, M.transpose(m)))
-
-
-@register("coo_matmul_all", f"SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM ({COO}) a JOIN ({COO}) b ON a.j = b.j GROUP BY 1, 2")
+@register("coo_matmul", f"SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM ({COO}) a JOIN ({COO}) b ON a.j = b.j GROUP BY 1, 2")
 def _(spark, d):
     m = coo(spark, d)
     return rounded(M.matmul(m, M.transpose(m)))

@@ -90,17 +90,7 @@ for how, sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("out
     _merge(how, sql)
 
 
-@register(
-    "merge_null_keys",
-    f"SELECT a.user_id, a.event_id AS event_id_x, b.event_id AS event_id_y FROM ({HOLES}) a JOIN (SELECT * FROM ({HOLES}) WHERE event_id % 50 = 0) b ON a.user_id IS NOT DISTINCT FROM b.user_id WHERE a.event_id % 10 = 1 OR a.user_id IS NULL AND a.event_id % 20 = 0",
-)
-def _(spark, d):
-    x = holes(spark, d)
-    a = x.where("event_id % 10 = 1 or user_id is null and event_id % 20 = 0").select("user_id", "event_id")
-    return fr.merge(a, x.where("event_id % 50 = 0").select("user_id", "event_id"), "user_id", "inner")
-
-
-@register("merge_null_keys_all", f"SELECT a.user_id, a.event_id AS event_id_x, b.event_id AS event_id_y FROM ({HOLES}) a JOIN ({HOLES}) b ON a.user_id IS NOT DISTINCT FROM b.user_id")
+@register("merge_null_keys", f"SELECT a.user_id, a.event_id AS event_id_x, b.event_id AS event_id_y FROM ({HOLES}) a JOIN ({HOLES}) b ON a.user_id IS NOT DISTINCT FROM b.user_id")
 def _(spark, d):
     x = holes(spark, d).select("user_id", "event_id")
     return fr.merge(x, x, "user_id", "inner")
@@ -199,12 +189,7 @@ def _(spark, d):
     return fr.sort_values(holes(spark, d), "value", True, "event_id")
 
 
-@register("sort_missing_first_desc", f"SELECT event_id, value FROM ({HOLES}) ORDER BY value DESC NULLS FIRST, event_id LIMIT 2000")
-def _(spark, d):
-    return fr.sort_values(holes(spark, d).select("event_id", "value"), "value", False, "event_id").limit(2000)
-
-
-@register("sort_missing_first_desc_all", f"SELECT event_id, value FROM ({HOLES}) ORDER BY value DESC NULLS FIRST, event_id")
+@register("sort_missing_first_desc", f"SELECT event_id, value FROM ({HOLES}) ORDER BY value DESC NULLS FIRST, event_id")
 def _(spark, d):
     return fr.sort_values(holes(spark, d).select("event_id", "value"), "value", False, "event_id")
 
