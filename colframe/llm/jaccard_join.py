@@ -215,9 +215,8 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
         several = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
         return classes.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
 
-    of = linked(spark, scratch, signed.where(real), rows.where(real), sets_of, share, given)
+    of = linked(spark, scratch, signed.where(real), rows.where(real), sets_of, share, signed, given)
     of = scratch.save(of.select("doc_id", "node", "comp"))
-    scratch.drop(signed)
     least = scratch.save(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     out = rows.select("doc_id", "node", "n").join(of.select("node", "comp"), "node", "left").join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -23,7 +23,7 @@ BOUND = 1_000_000
 #: Members of a bucket that a task compares with as many others, bytes of signatures in a range and between two merges.
 CHUNK, RANGE, MERGE = 2048, 4 << 20, 8 << 20
 #: Star rounds at most, pairs that a component verifies in the first round across and how that number grows.
-STARS, FIRST, MORE = 4, 4, 16
+STARS, FIRST, MORE = 4, 4, 8
 #: Rows of a group up to which pairs are compared one by one.
 FEW = 24
 
@@ -205,7 +205,7 @@ def closest(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
 def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFrame, share: tuple[int, int], most: int) -> DataFrame:
     """Pairs (a, b, sig) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
 
-    sig is null unless the bucket has more such pairs; pairs may repeat.
+    Buckets that have more such pairs have a row of their own, with a sig and no pair; pairs may repeat.
 
     Buckets of more than two chunks of members are split: a component that fills a chunk has chunks of its own, which
     need no comparison with each other, smaller ones share chunks, and every pair of chunks is a group of its own. So
@@ -230,9 +230,11 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
     sorted_ = parts.join(sketches, "node").select(*names).repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
 
     def send(found):
-        a, b, sig = (np.concatenate([np.asarray(y) for y in x]) for x in zip(*((a, b, np.full(len(a), sig)) for sig, a, b, _ in found)))
-        more = np.concatenate([np.full(len(a), bool(np.any(more))) for _, a, _, more in found])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.int64(), mask=~more)], ["a", "b", "sig"])
+        """Each pair once, and a row for each bucket that has more."""
+        ends = np.unique(np.array([np.concatenate([np.asarray(x[i], np.int64) for x in found]) for i in (1, 2)]), axis=1)
+        sigs = sorted({x[0] for x in found if np.any(x[3])})
+        columns = [pa.array(x).cast(pa.int64()) for x in ([*ends[0].tolist(), *[None] * len(sigs)], [*ends[1].tolist(), *[None] * len(sigs)], [*[None] * ends.shape[1], *sigs])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "sig"])
 
     def pairs(group):
         if len(group) < 2:
@@ -255,7 +257,7 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
                 if (sig, a, b) != at:
                     close()
                     at, group = (sig, a, b), []
-                    if size > 50_000:
+                    if size > 300_000:
                         yield send(found)
                         found, size = [], 0
                 group.append(row)
@@ -360,7 +362,7 @@ def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Call
             got = scratch.save(across(members.join(labels, "node").select("sig", "node", "comp"), sizes, open_, sketches, share, most))
             most *= MORE
             members = scratch.save(members.join(got.select("sig").where("sig is not null").distinct(), "sig", "left_semi"))
-            pairs = got.select("a", "b")
+            pairs = got.select("a", "b").where("a is not null")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -371,25 +373,33 @@ def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Call
         scratch.drop(sizes, open_)
 
 
-def linked(spark: SparkSession, scratch: Scratch, signed: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: tuple[int, int], given: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def once(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """members(sig, node), a saved table, without buckets of one node; buckets with the same nodes (told by their
+    number and two hashes) are one bucket. Its rows are distinct. The table is dropped."""
+    sizes = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    kept = scratch.save(sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"))
+    out = scratch.save(members.join(kept, "sig"))
+    scratch.drop(members, kept)
+    return out
+
+
+def linked(spark: SparkSession, scratch: Scratch, signed: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: tuple[int, int], spent: DataFrame, given: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows(node, f1, f2, ...) with copies (rows of the same set) and comp (the node that names the component).
 
     signed(node, n, f1, f2, sketch, sigs) has a signed row for each content (f1, f2) at least; sigs is null elsewhere.
     sets_of gets some of rows and returns (f1, f2, set array<long>) of at least their contents. given, if any, gets
     rows with ``rep``, the node that stands for all rows of its content, and returns links (a, b) of such nodes.
+    spent, the saved table behind signed, is dropped as soon as it has been read.
     """
     reps = scratch.save(rows.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
     classes = scratch.save(rows.join(reps, ["f1", "f2"]))
-    members = scratch.save(buckets(spark, signed.where("sigs is not null")))
+    members = once(scratch, scratch.save(buckets(spark, signed.where("sigs is not null"))))
     members = scratch.save(members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct())
-    # buckets with the same members are one bucket, told by their number and two hashes of them
-    open_ = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    open_ = scratch.save(open_.where("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"))
-    old, members = members, scratch.save(members.join(open_, "sig"))
-    scratch.drop(old, open_)
+    members = once(scratch, members)
     known = classes.where("node = rep").join(members.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").select("f1", "f2", "rep")
     sketches = signed.where("sketch is not null").join(known, ["f1", "f2"]).groupBy(F.col("rep").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = scratch.save(sketches)
+    scratch.drop(spent)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -405,8 +415,11 @@ def linked(spark: SparkSession, scratch: Scratch, signed: DataFrame, rows: DataF
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity bitmap of a set of hashes: each flips one of 2**k >= len(h) bits (64 at least)."""
-    bits = 1 << max(6, int(len(h)).bit_length())
+    """Parity bitmap of a set of hashes: each flips one of 2**k > 4 * len(h) bits (64 at least).
+
+    With bits to spare few elements cancel out, so hardly any pair passes that is not a link.
+    """
+    bits = 1 << max(6, int(4 * len(h)).bit_length())
     parity = np.bincount((h >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 

@@ -76,9 +76,9 @@ def set_prints(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def set_sketches(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """Parity bitmap of each set: an element flips one of 2**k > n bits (64 at least) for a set of n."""
+    """Parity bitmap of each set: an element flips one of 2**k > 4 * n bits (64 at least) for a set of n."""
     n = np.diff(np.append(begin, len(h)))
-    of, power, out = np.repeat(np.arange(len(n)), n), np.maximum(6, np.frexp(n)[1]), [b""] * len(n)
+    of, power, out = np.repeat(np.arange(len(n)), n), np.maximum(6, np.frexp(4 * n)[1]), [b""] * len(n)
     for k in np.unique(power):
         at = np.flatnonzero(power == k)
         rank = np.zeros(len(n), np.int64)
@@ -308,8 +308,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
         few = wanted.agg(F.count("*") + F.sum(F.size("spans"))).first()[0] or 0
         return docs.join(F.broadcast(wanted) if few <= BOUND else wanted, ["doc_id", "key"]).select("text", "spans").mapInArrow(contents, "f1 long, f2 long, set array<long>")
 
-    of = scratch.save(linked(spark, scratch, lines, rows, sets_of, share).select("doc_id", "key", "start", "end", "n_words", "comp"))
-    scratch.drop(signed)
+    of = scratch.save(linked(spark, scratch, lines, rows, sets_of, share, signed).select("doc_id", "key", "start", "end", "n_words", "comp"))
     place = F.struct("doc_id", "key", "start")
     first = scratch.save(of.groupBy("comp").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("comp", "first"))
     found = of.join(first, "comp").select("doc_id", "key", "start", "end", "n_words", (place != F.col("first")).alias("removed"), "first.doc_id", "first.start")
