@@ -6,8 +6,8 @@ each component the paragraph that comes first (by doc_id, then place) stays, the
 
 A passage is a run of words, inside a line or across lines, that stands at an earlier place too. Of each window of
 word k-grams the one with the smallest hash is an anchor, so a passage that is long enough holds one, the same at each
-of its places. An anchor is matched with its first place in the corpus, and the run of equal words around the two is
-followed to its ends on the texts. Every word that is removed stands at an earlier place, so one copy of it stays.
+of its places. An anchor, with words before or behind it, is matched with its first place in the corpus, and the run of
+equal words around the two is followed to its ends on the texts. Every word that is removed stands at an earlier place, so one copy of it stays.
 """
 
 from __future__ import annotations
@@ -106,22 +106,33 @@ def band_signatures(h: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
 
 
 def anchors(h: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the anchors of texts (of: a word's text): every run of ``least`` words holds one.
+    """Signatures and first words of the anchors of texts (of: a word's text), in the order of the words.
 
-    Where the same k-gram repeats at once, as in a word said over and over, its first place is the anchor.
+    Every run of ``least`` words holds an anchor, its k-gram with the smallest hash. Of the words beside the anchor the
+    run has half of ``least`` - k before or behind it at least, so an anchor has two signatures, which are its k-gram
+    with so many words before it and with so many behind it: two places of a run share one of them. Where the same
+    k-gram repeats at once, as in a word said over and over, its first place is the anchor.
     """
     k = max(1, -(-least // 3))
-    width = least - k + 1
+    width, more = least - k + 1, (least - k + 1) // 2
     if len(h) < least:
         return h[:0], of[:0]
-    g = shingle_hashes(h, k)
+    g, wide = shingle_hashes(h, k), shingle_hashes(h, k + more)
     at = np.arange(len(h) - least + 1) + np.lib.stride_tricks.sliding_window_view(g, width).argmin(1)
     at = np.unique(at[of[: len(at)] == of[least - 1 :]])
     again = np.zeros(len(g), bool)
     for d in (1, 2):
         again[d:] |= (g[d:] == g[:-d]) & (of[d : len(g)] == of[: len(g) - d])
     at = at[~again[at]]
-    return g[at], at
+    left = at[at >= more]
+    left = left[of[left - more] == of[left]]
+    right = at[at + k + more <= len(h)]
+    right = right[of[right + k + more - 1] == of[right]]
+    with np.errstate(over="ignore"):
+        value = np.concatenate([mix(wide[left - more] + np.uint64(1)), mix(wide[right] + np.uint64(2))])
+    place = np.concatenate([left, right])
+    order = np.argsort(place, kind="stable")
+    return value[order], place[order]
 
 
 def runs(a: np.ndarray, b: np.ndarray, at: np.ndarray, first: np.ndarray, least: int, same: bool) -> list[tuple[int, int, int]]:
@@ -192,7 +203,7 @@ def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, marked: Dat
 
     marked(doc_id, key, node, sigs, at) has the anchors of each row of docs(doc_id, key, text). An anchor that no run
     with its first place covers may still lie in a run with another place: all windows of ``least`` words that hold
-    it, or another place of its k-gram, are then matched by their own first places.
+    it, or another place of its signature, are then matched by their own first places.
     """
 
     def places(marked: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def test_long_runs_hold_the_same_anchors():
         assert set.intersection(*seen)
     h, of, *_ = paragraphs.laid_out([b"x " * 500, b"x " * 500, b"a b " * 300])
     value, at = paragraphs.anchors(h, of, 40)
-    assert at.tolist()[:2] == [0, 500] and len(at) <= 6 and len(paragraphs.anchors(h[:39], of[:39], 40)[0]) == 0
+    assert sorted(set(at.tolist()))[:2] == [0, 500] and len(at) <= 8 and at.tolist() == sorted(at.tolist()) and len(paragraphs.anchors(h[:39], of[:39], 40)[0]) == 0
 
 
 def test_kernels_against_sets():
