@@ -7,13 +7,17 @@ depend on it take the name of a unique order column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colframe.functions.cleaning import FLOATS, as_double, clean, is_numeric, missing
 from colframe.operators.ordered import before, quantiles, spread
+from colframe.shipping import ship
 
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
@@ -86,6 +90,54 @@ def fillna(df: DataFrame, value: float, text: str | None = None) -> DataFrame:
     return df.withColumns(out)
 
 
+def map_values(df: DataFrame, name: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """df with f of a float column, called on arrays of values; a missing value goes in as NaN, and NaN comes back as NULL."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(f(x.to_numpy(float)), float))
+
+    if not isinstance(df.schema[name].dataType, FLOATS):
+        raise TypeError(f"{name} is not a float column")
+    return df.withColumn(name, run(F.coalesce(F.col(name).cast("double"), F.lit(float("nan")))))
+
+
+def apply_values(df: DataFrame, name: str, f: Callable[[float], float]) -> DataFrame:
+    """map_values() for a function of one number; batches still travel as arrays."""
+    return map_values(df, name, lambda x: np.fromiter(map(f, x.tolist()), float, len(x)))
+
+
+class Indexed:
+    """A table with an index: a column that is no value of its rows, by which they are ordered and resampled."""
+
+    def __init__(self, df: DataFrame, index: str):
+        require(df, index)
+        self.df, self.index = df, index
+
+    def head(self, n: int) -> DataFrame:
+        return head(self.df, n, self.index)
+
+    def tail(self, n: int) -> DataFrame:
+        return tail(self.df, n, self.index)
+
+    def between(self, low, high) -> DataFrame:
+        """Rows whose index is from low up to but not high; the comparison reaches the scan."""
+        return self.df.where((F.col(self.index) >= F.lit(low)) & (F.col(self.index) < F.lit(high)))
+
+    def resample(self, freq: str, what: str) -> DataFrame:
+        from colframe.operators.timeseries import resample
+
+        return resample(self.df, self.index, freq, what)
+
+    def values(self) -> DataFrame:
+        return self.df.drop(self.index)
+
+
+def set_index(df: DataFrame, index: str) -> Indexed:
+    return Indexed(df, index)
+
+
 # --- joins
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +12,28 @@ from pyspark.sql import functions as F
 
 from colframe.functions import vectors as V
 from colframe.operators.matrices import normal_equations
+from colframe.operators.ordered import numbered
 from colframe.shipping import ship
+from colframe.sources.scratch import Scratch
 
 
-def split(df: DataFrame, order: str, test_size: float) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, order: str, test_size: float, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(train, test): the last ceil(n * test_size) rows, between 1 and n - 1, in the order of a unique column are the test.
 
-    The boundary is found from a top-k of the order column, so no row is numbered.
+    With a seed rows are shuffled first: their order is that of the MD5 of "seed:value". Rows are numbered in range
+    partitions, so no task gets the whole table.
     """
-    n = df.count()
-    k = min(max(int(np.ceil(n * test_size)), 1), n - 1)
-    edge = df.select(order).orderBy(F.desc(order)).limit(k).agg(F.min(order)).first()[0]
-    return df.where(F.col(order) < edge), df.where(F.col(order) >= edge)
+    by = F.col(order) if seed is None else F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string")))
+    at = numbered(df.withColumn("_order", by), "_order", "_number").drop("_order")
+    n = at.count()
+    train = n - min(max(int(np.ceil(n * test_size)), 1), n - 1)
+    return at.where(F.col("_number") < train).drop("_number"), at.where(F.col("_number") >= train).drop("_number")
+
+
+def shuffle_rows(df: DataFrame, key: str, seed: int, name: str = "at") -> DataFrame:
+    """df with each row's place in a seeded shuffle, by the MD5 of "seed:key"."""
+    by = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return numbered(df.withColumn("_order", by), "_order", name).drop("_order")
 
 
 class StandardScaler:
@@ -126,14 +137,16 @@ BLOCK = 2048
 def k_nearest(train: DataFrame, queries: DataFrame, id_: str, features: str, order: str, k: int, payload: str) -> DataFrame:
     """(query, rank, value): payload of each query's k nearest training rows by squared distance, ties by order.
 
-    Queries are searched in blocks; each block goes over the training table once, tasks keeping their k best, which
-    are merged by query.
+    Queries are searched in blocks; each block goes over the training table once, tasks keeping their k best, and is
+    saved before the next one is read.
     """
     spark = train.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "nearest")
     n = queries.count()
     parts = max(1, -(-n // BLOCK))
-    out = None
+    table = train.select(F.col(features).cast("array<double>"), F.col(order).cast("bigint"), F.col(payload).cast("double"))
+    found = []
     for i in range(parts):
         some = queries.where(F.pmod(F.xxhash64(id_), F.lit(parts)) == i) if parts > 1 else queries
         got = some.select(id_, F.col(features).cast("array<double>").alias("x")).toArrow()  # a block of bounded size
@@ -150,21 +163,26 @@ def k_nearest(train: DataFrame, queries: DataFrame, id_: str, features: str, ord
                     continue
                 y = np.array(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
                 at, value = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+                yy = (y**2).sum(1)
                 for a in range(0, len(ids), 256):
-                    d = ((x[a : a + 256, None] - y[None]) ** 2).sum(2) if y.shape[1] < 8 else np.maximum((x[a : a + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[a : a + 256] @ y.T, 0)
-                    near = np.argpartition(d, min(2 * k, d.shape[1]) - 1, axis=1)[:, : 2 * k] if d.shape[1] > 2 * k else np.tile(np.arange(d.shape[1]), (len(d), 1))
-                    for q, row in enumerate(near):
-                        exact = ((x[a + q] - y[row]) ** 2).sum(1)
-                        best[a + q] = sorted([*best[a + q], *zip(exact.tolist(), at[row].tolist(), value[row].tolist())])[:k]
+                    q = x[a : a + 256]
+                    xx = (q**2).sum(1)[:, None]
+                    d = xx + yy - 2 * q @ y.T
+                    slack = 1e-12 * (xx + yy)  # of the expanded form; all rows within it are computed exactly
+                    limit = np.partition(d + slack, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(q), np.inf)
+                    for j in range(len(q)):
+                        row = np.flatnonzero(d[j] - slack[j] <= limit[j])
+                        exact = ((q[j] - y[row]) ** 2).sum(1)
+                        best[a + j] = sorted([*best[a + j], *zip(exact.tolist(), at[row].tolist(), value[row].tolist())])[:k]
             rows = [(i, *r) for i, found in zip(ids, best) for r in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.float64(), pa.int64(), pa.float64()))], ["query", "d", "at", "value"])
 
-        table = train.select(F.col(features).cast("array<double>"), F.col(order).cast("bigint"), F.col(payload).cast("double"))
-        found = table.mapInArrow(search, "query long, d double, at long, value double")
-        out = found if out is None else out.union(found)
-    if out is None:
+        found.append(scratch.save(table.mapInArrow(search, "query long, d double, at long, value double")))
+        shared.unpersist()
+    if not found:
         return spark.createDataFrame([], "query long, rank int, value double")
+    out = reduce(DataFrame.union, found)
     top = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "at", "value"))), 1, k).alias("top"))
     return top.select("query", F.posexplode("top").alias("rank", "r")).select("query", "rank", F.col("r.value").alias("value"))
 

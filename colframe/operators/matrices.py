@@ -108,10 +108,10 @@ def cells(spark: SparkSession, a: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"i": i.ravel().astype(np.int64), "j": j.ravel().astype(np.int64), "v": a.ravel().astype(float)}))
 
 
-def normal_equations(df: DataFrame, features: str, target: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """X^T X and X^T y with a leading column of ones, summed by partition in NumPy and then over partitions.
+def block_sums(df: DataFrame, features: str, target: str | None = None) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """X^T X of the rows in an array column, X^T y if there is a target, and the number of rows.
 
-    One (d + 1)^2 block leaves each partition, however many rows it has.
+    Each partition multiplies its batches in NumPy and sends one block of d^2 sums, however many rows it has.
     """
     ship(df.sparkSession)
 
@@ -123,19 +123,25 @@ def normal_equations(df: DataFrame, features: str, target: str) -> tuple[np.ndar
             if not len(v):
                 continue
             x = np.array(v.flatten().to_numpy(zero_copy_only=False), float).reshape(len(v), -1)
-            x = np.hstack([np.ones((len(x), 1)), x])
-            y = np.array(batch.column(1).to_numpy(zero_copy_only=False), float)
+            y = np.array(batch.column(1).to_numpy(zero_copy_only=False), float) if target else np.zeros(len(x))
             xtx = x.T @ x + (0 if xtx is None else xtx)
             xty = x.T @ y + (0 if xty is None else xty)
             n += len(x)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([[*xtx.ravel(), *xty]], pa.list_(pa.float64()))], ["n", "m"])
 
-    parts = df.select(F.col(features).cast("array<double>"), F.col(target).cast("double")).mapInArrow(partial, "n long, m array<double>")
+    columns = [F.col(features).cast("array<double>"), *([F.col(target).cast("double")] if target else [])]
+    parts = df.select(*columns).mapInArrow(partial, "n long, m array<double>")
     total = parts.select("n", F.posexplode("m").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("at").collect()
-    flat, n = np.array([r.v for r in total]), total[0].n
+    flat, n = np.array([r.v for r in total]), total[0].n if total else 0
     d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2 + 0.5)
-    return flat[: d * d].reshape(d, d), flat[d * d :], n
+    return flat[: d * d].reshape(d, d), flat[d * d :] if target else None, n
+
+
+def normal_equations(df: DataFrame, features: str, target: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """X^T X and X^T y with a leading column of ones."""
+    one = F.concat(F.array(F.lit(1.0)), F.col(features).cast("array<double>"))
+    return block_sums(df.select(one.alias("x"), F.col(target).alias("y")), "x", "y")
 
 
 def lstsq(df: DataFrame, features: str, target: str) -> np.ndarray:
@@ -144,14 +150,32 @@ def lstsq(df: DataFrame, features: str, target: str) -> np.ndarray:
     return np.linalg.lstsq(xtx, xty, rcond=None)[0]
 
 
-def tall_qr(m: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Thin QR of a tall matrix: R by Cholesky of the Gram matrix, Q = A R^-1 as a relation."""
-    r = np.linalg.cholesky(dense(gram(m))).T
-    return matmul(m, cells(m.sparkSession, np.linalg.inv(r))), r
-
+def tall_qr(df: DataFrame, row: str, vector: str) -> tuple[DataFrame, np.ndarray]:
+    """Thin QR of the matrix whose rows are vectors: R by Cholesky of the summed Gram blocks, Q's rows beside each row.
 
-def singular_values(m: DataFrame) -> np.ndarray:
-    return np.sqrt(np.maximum(np.linalg.eigvalsh(dense(gram(m)))[::-1], 0))
+    Q is (row, array); a row of Q is its row of A times R^-1, one expression, so nothing is shuffled but the blocks.
+    """
+    r = np.linalg.cholesky(block_sums(df, vector)[0]).T
+    columns = F.array(*[F.array(*map(F.lit, c)) for c in np.linalg.inv(r).T.tolist()])
+    x = F.col(vector).cast("array<double>")
+    q = F.transform(columns, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    return df.select(row, q.alias("q")), r
+
+
+def singular_values(df: DataFrame, vector: str) -> np.ndarray:
+    """Singular values of the matrix whose rows are vectors, from its summed Gram blocks."""
+    return np.sqrt(np.maximum(np.linalg.eigvalsh(block_sums(df, vector)[0])[::-1], 0))
+
+
+def spsolve(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, v) that solves a x = b for a square relation of up to LIMIT rows, whose size is checked before it is fetched."""
+    m = dense(a)
+    rows = b.where(F.col("i") < len(m)).collect()
+    y = np.zeros(len(m))
+    for r in rows:
+        y[r["i"]] = r["v"]
+    x = np.linalg.solve(m, y)
+    return a.sparkSession.createDataFrame(pa.table({"i": np.arange(len(x)), "v": x}))
 
 
 def factor(a: np.ndarray, what: str, b: np.ndarray | None = None):

@@ -284,6 +284,16 @@ def lcg_uniform(n: int, seed: int, low: float = 0.0, high: float = 1.0) -> np.nd
     return low + (high - low) * out
 
 
+def lcg_normal(n: int, seed: int) -> np.ndarray:
+    """n normal numbers by Box and Muller's rule from pairs of the 64-bit stream s -> 1664525 s + 1013904223, bits 8..31."""
+    u, s = np.empty(n + n % 2), seed & (1 << 64) - 1
+    for i in range(len(u)):
+        s = (s * 1664525 + 1013904223) & (1 << 64) - 1
+        u[i] = ((s >> 8) & 0xFFFFFF) / (1 << 24)
+    r, t = np.sqrt(-2 * np.log(np.maximum(u[::2], 1e-7))), 2 * np.pi * u[1::2]
+    return np.stack([r * np.cos(t), r * np.sin(t)], 1).ravel()[:n]
+
+
 def mse(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean squared error and its gradient."""
     return float(((x - y) ** 2).mean()), 2 * (x - y) / x.size

@@ -101,6 +101,17 @@ def _(spark, d):
     return train.withColumn("test", F.lit(False)).union(test.withColumn("test", F.lit(True)))
 
 
+@register("train_test_split_shuffled", "SELECT p_partkey, row_number() OVER (ORDER BY md5('7:' || p_partkey)) > (SELECT count(*) - ceil(count(*) * 0.25) FROM part) AS test FROM part")
+def _(spark, d):
+    train, test = L.split(T(spark, d, "part").select("p_partkey"), "p_partkey", 0.25, seed=7)
+    return train.withColumn("test", F.lit(False)).union(test.withColumn("test", F.lit(True)))
+
+
+@register("shuffle_rows", "SELECT event_id, row_number() OVER (ORDER BY md5('3:' || event_id)) - 1 AS at FROM events")
+def _(spark, d):
+    return L.shuffle_rows(T(spark, d, "events").select("event_id"), "event_id", 3)
+
+
 @register("standard_scaler", "SELECT p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 6) + 0.0 AS p_size, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6) + 0.0 AS p_retailprice FROM part")
 def _(spark, d):
     p = T(spark, d, "part")
@@ -389,6 +400,23 @@ def _(spark, d):
     return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Lstm(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
 
 
+class _Gru:
+    def forward(self, x):
+        w = N.lcg_uniform(3 * 4 * (8 + 4), 6, -0.5, 0.5)
+        return N.gru(x, w[:96].reshape(12, 8), w[96:].reshape(12, 4), np.zeros(12), np.zeros(12))[1]
+
+
+_RESET = N.lcg_uniform(3 * 4 * (8 + 4), 6, -0.5, 0.5)
+GRU = "SELECT vec_id, embedding::double[] AS r, [0, 0, 0, 0]::double[] AS h FROM embeddings"
+for _t in range(8):
+    GRU = f"SELECT vec_id, r, list_transform(range(1, 5), lambda i: (1 - 1 / (1 + exp(-(x[4 + i] + u[4 + i])))) * tanh(x[8 + i] + u[8 + i] / (1 + exp(-(x[i] + u[i])))) + h[i] / (1 + exp(-(x[4 + i] + u[4 + i])))) AS h FROM (SELECT vec_id, r, h, list_transform({_literal(_RESET[:96].reshape(12, 8))}, lambda w: list_inner_product(w, r[{8 * _t + 1}:{8 * _t + 8}])) AS x, list_transform({_literal(_RESET[96:].reshape(12, 4))}, lambda w: list_inner_product(w, h)) AS u FROM ({GRU}))"
+
+
+@register("gru", f"SELECT vec_id, list_transform(h, lambda x: round(x, 6) + 0.0) AS y FROM ({GRU})")
+def _(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Gru(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
+
+
 @register("batch_norm", "WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::double AS v FROM embeddings) SELECT vec_id, (j - 1)::int AS j, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 5) + 0.0 AS z FROM c WINDOW w AS (PARTITION BY j)")
 def _(spark, d):
     c = T(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))

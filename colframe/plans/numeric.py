@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from colframe.functions import shapes as H
 from colframe.functions import special as sp
 from colframe.functions import vectors as V
+from colframe.operators import autograd as A
+from colframe.operators import batched as B
 from colframe.operators import matrices as M
+from colframe.operators import neural as N
 from colframe.operators import statistics as S
 from colframe.plans.catalog import register
 from colframe.plans.relational import T, rounded
@@ -345,13 +350,20 @@ def _(spark, d):
 
 @register("singular_values", None)
 def _(spark, d):
-    return spark.createDataFrame([(i, float(round(s, 6))) for i, s in enumerate(M.singular_values(coo(spark, d)))], "i long, s double")
+    return spark.createDataFrame([(i, float(round(s, 6))) for i, s in enumerate(M.singular_values(T(spark, d, "embeddings"), "embedding"))], "i long, s double")
 
 
 @register("tall_qr_reconstruction", f"SELECT i, j, round(v, 5) + 0.0 AS v FROM ({COO})")
 def _(spark, d):
-    q, r = M.tall_qr(coo(spark, d))
-    return M.matmul(q, M.cells(spark, r)).select("i", "j", (F.round("v", 5) + 0.0).alias("v"))
+    q, r = M.tall_qr(T(spark, d, "embeddings"), "vec_id", "embedding")
+    return M.matmul(M.from_vectors(q, "vec_id", "q"), M.cells(spark, r)).select("i", "j", (F.round("v", 5) + 0.0).alias("v"))
+
+
+@register("spsolve_product", "SELECT i, 1.0::double AS v FROM range(64) t(i)")
+def _(spark, d):
+    a = M.add(M.gram(coo(spark, d)), M.eye(spark, 64))
+    x = M.spsolve(a, spark.range(64).select(F.col("id").alias("i"), F.lit(1.0).alias("v")))
+    return rounded(M.matvec(a, x))
 
 
 @register("conjugate_gradient", None)
@@ -361,3 +373,114 @@ def _(spark, d):
     shared_dir(spark)
     a = M.add(M.gram(coo(spark, d)), M.eye(spark, 64))
     return rounded(M.conjugate_gradient(a, spark.range(64).select(F.col("id").alias("i"), F.lit(1.0).alias("v")), steps=15), 4)
+
+
+# --- shapes: embeddings as arrays of shape (4, 4, 4) or (8, 8)
+
+
+@register("shape_moves", f"SELECT vec_id, list_transform(range(0, 64), lambda i: v[(i % 4) * 16 + i // 4 + 1]) AS moved, list_transform(range(0, 64), lambda i: v[(i // 16) * 16 + (i % 4) * 4 + (i // 4 % 4) + 1]) AS swapped, list_transform(range(0, 16), lambda i: v[(i // 4) * 16 + 8 + i % 4 + 1]) AS part, list_transform(range(0, 8), lambda i: v[(1 + i // 4) * 16 + (i // 2 % 2) * 8 + (i % 2) * 3 + 1]) AS cut FROM ({E})")
+def _(spark, d):
+    v, shape = F.col("v"), (4, 4, 4)
+    out = {"moved": H.moveaxis(v, shape, 0, 2)[0], "swapped": H.swapaxes(v, shape, 1, 2)[0], "part": H.index_axis(v, shape, 1, 2)[0], "cut": H.slice_axes(v, shape, [slice(1, 3), slice(0, 4, 2), slice(0, 4, 3)])[0]}
+    return vectors(spark, d).select("vec_id", *[c.alias(n) for n, c in out.items()])
+
+
+@register("shape_joins", f"SELECT vec_id, list_transform(range(0, 8), lambda i: v[(i % 2) * 4 + i // 2 + 1]) AS stacked, list_transform(range(0, 12), lambda i: v[i // 4 + 1]) AS wide, [v[10], v[1], v[64]] AS points, list_transform(range(0, 8), lambda i: v[8 * i + (vec_id + i) % 8 + 1]) AS along FROM ({E})")
+def _(spark, d):
+    v = F.col("v")
+    index = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.col("vec_id") + i) % 8)
+    out = {
+        "stacked": H.stack([F.slice(v, 1, 4), F.slice(v, 5, 4)], (4,), 1)[0],
+        "wide": H.broadcast_to(F.slice(v, 1, 3), (3, 1), (3, 4))[0],
+        "points": H.fancy_index_2d(v, (8, 8), [1, 0, 7], [1, 0, 7]),
+        "along": H.take_along_axis(v, (8, 8), index, 1, 1)[0],
+    }
+    return vectors(spark, d).select("vec_id", *[c.alias(n) for n, c in out.items()])
+
+
+@register("batched_matmul", f"SELECT vec_id, list_transform(range(0, 8), lambda c: round(list_sum(list_transform(range(0, 3), lambda k: v[((c // 4) * 2 + c // 2 % 2) * 3 + k + 1] * v[20 + ((c // 4) * 3 + k) * 2 + c % 2 + 1])), 6) + 0.0) AS r FROM ({E})")
+def _(spark, d):
+    v = F.col("v")
+    return vectors(spark, d).select("vec_id", digits(H.bmm(F.slice(v, 1, 12), F.slice(v, 21, 12), 2, 2, 3, 2)).alias("r"))
+
+
+@register("casts", f"SELECT vec_id, list_transform(v, lambda x: trunc(x * 10)::bigint) AS l, list_transform(v, lambda x: x::float::double) AS f, list_transform(v, lambda x: x <> 0) AS b FROM ({E})")
+def _(spark, d):
+    v = F.col("v")
+    return vectors(spark, d).select("vec_id", H.astype(F.transform(v, lambda x: x * 10), "long").alias("l"), H.astype(H.astype(v, "float"), "double").alias("f"), H.astype(v, "boolean").alias("b"))
+
+
+@register("same_bits", "SELECT event_id, event_id % 4 <> 1 AS same FROM events")
+def _(spark, d):
+    k = F.col("event_id") % 4
+    a = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(0.0)).otherwise(F.col("value"))
+    b = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(-0.0)).otherwise(F.col("value"))
+    return T(spark, d, "events").select("event_id", H.same_bits(a, b).alias("same"))
+
+
+@register("randn", f"WITH RECURSIVE s(i, x) AS (SELECT 1, (42 * 1664525::hugeint + 1013904223) % 18446744073709551616::hugeint UNION ALL SELECT i + 1, (x * 1664525 + 1013904223) % 18446744073709551616::hugeint FROM s WHERE i < 100), u AS (SELECT i, (x // 256) % 16777216 / 16777216.0 AS u FROM s) SELECT (a.i - 1 + j)::int AS i, round(sqrt(-2 * ln(greatest(a.u, 1e-7))) * CASE WHEN j = 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END, 6) + 0.0 AS x FROM u a JOIN u b ON b.i = a.i + 1 AND a.i % 2 = 1, range(2) t(j)")
+def _(spark, d):
+    return spark.createDataFrame([(i, round(float(x), 6) + 0.0) for i, x in enumerate(N.lcg_normal(100, 42))], "i int, x double")
+
+
+# --- a small matrix a row: m general, s = m m^T + 1 positive definite, y a right side
+
+SMALL = "SELECT vec_id, v[1] AS a, v[2] AS b, v[3] AS c, v[4] AS d, v[5] AS y1, v[6] AS y2, v[1] * v[1] + v[2] * v[2] + 1 AS p, v[1] * v[3] + v[2] * v[4] AS q, v[3] * v[3] + v[4] * v[4] + 1 AS r FROM (SELECT vec_id, embedding::double[] AS v FROM embeddings)"
+
+
+def small(spark, d):
+    v = vectors(spark, d).select("vec_id", F.slice("v", 1, 4).alias("m"), F.slice("v", 5, 2).alias("y"))
+    a, b, c, e = (F.get("m", F.lit(i)) for i in range(4))
+    return v.withColumn("s", F.array(a * a + b * b + 1, a * c + b * e, a * c + b * e, c * c + e * e + 1))
+
+
+@register("dense_solve", f"SELECT vec_id, [round(p * r - q * q, 6)] AS det, list_transform([r / (p * r - q * q), -q / (p * r - q * q), -q / (p * r - q * q), p / (p * r - q * q)], lambda x: round(x, 6) + 0.0) AS inv, list_transform([(r * y1 - q * y2) / (p * r - q * q), (p * y2 - q * y1) / (p * r - q * q)], lambda x: round(x, 6) + 0.0) AS x, list_transform([y1 / p, (y2 - q * y1 / p) / r], lambda x: round(x, 6) + 0.0) AS low, list_transform([(y1 - q * y2 / r) / p, y2 / r], lambda x: round(x, 6) + 0.0) AS up FROM ({SMALL})")
+def _(spark, d):
+    s, y = F.col("s"), F.col("y")
+    out = {"det": B.apply("det", (2, 2), s), "inv": B.apply("inv", (2, 2), s), "x": B.apply("solve", (2, 2), s, y), "low": B.apply("solve_lower", (2, 2), s, y), "up": B.apply("solve_upper", (2, 2), s, y)}
+    return small(spark, d).select("vec_id", *[digits(c).alias(n) for n, c in out.items()])
+
+
+@register(
+    "dense_factors",
+    f"SELECT vec_id, list_transform([sqrt(p), 0, q / sqrt(p), sqrt(r - q * q / p)], lambda x: round(x, 6) + 0.0) AS chol, list_transform([m - h, m + h], lambda x: round(x, 6) + 0.0) AS eig, list_transform([sqrt(t + sqrt(t * t - z * z)), sqrt(greatest(t - sqrt(greatest(t * t - z * z, 0)), 0))], lambda x: round(x, 5) + 0.0) AS sv, list_transform(CASE WHEN h = 0 THEN [exp(m), 0, 0, exp(m)] ELSE list_transform([cosh(h) + sinh(h) / h * (p - m), sinh(h) / h * q, sinh(h) / h * q, cosh(h) + sinh(h) / h * (r - m)], lambda x: exp(m) * x) END, lambda x: round(x, 5) + 0.0) AS e, list_transform(CASE WHEN abs(c) > abs(a) THEN [c, d, 0, b - a / c * d] ELSE [a, b, 0, d - c / a * b] END, lambda x: round(x, 5) + 0.0) AS u FROM (SELECT *, (p + r) / 2 AS m, sqrt((p - r) * (p - r) / 4 + q * q) AS h, (a * a + b * b + c * c + d * d) / 2 AS t, a * d - b * c AS z FROM ({SMALL}))",
+)
+def _(spark, d):
+    s, m = F.col("s"), F.col("m")
+    return small(spark, d).select(
+        "vec_id",
+        digits(B.apply("cholesky", (2, 2), s)).alias("chol"),
+        digits(B.apply("eigvalsh", (2, 2), s)).alias("eig"),
+        digits(B.apply("svdvals", (2, 2), m), 5).alias("sv"),
+        digits(B.apply("expm", (2, 2), s), 5).alias("e"),
+        digits(B.apply("lu_u", (2, 2), m), 5).alias("u"),
+    )
+
+
+@register("dense_products", f"SELECT vec_id, list_transform([a, b, c, d], lambda x: round(x, 6) + 0.0) AS qr, list_transform([a, b, c, d], lambda x: round(x, 6) + 0.0) AS lu FROM ({SMALL})")
+def _(spark, d):
+    """q r and p l u give the matrix back."""
+    m = F.col("m")
+    part = lambda what: B.apply(what, (2, 2), m)
+    parts = small(spark, d).select("vec_id", *[part(x).alias(x) for x in ("qr_q", "qr_r", "lu_p", "lu_l", "lu_u")])
+    product = lambda a, b: H.bmm(a, b, 1, 2, 2, 2)
+    return parts.select("vec_id", digits(product(F.col("qr_q"), F.col("qr_r"))).alias("qr"), digits(product(product(F.col("lu_p"), F.col("lu_l")), F.col("lu_u"))).alias("lu"))
+
+
+@register("fft2", f"SELECT vec_id, list_transform(range(0, 64), lambda k: round(list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * cos(2 * pi() * ((i // 8) * (k // 8) + (i % 8) * (k % 8)) / 8))), 5) + 0.0) AS re, list_transform(range(0, 64), lambda k: round(-list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * sin(2 * pi() * ((i // 8) * (k // 8) + (i % 8) * (k % 8)) / 8))), 5) + 0.0) AS im FROM ({E})")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", *[digits(B.apply(f"fft2_{x}", (8, 8), F.col("v")), 5).alias(x) for x in ("re", "im")])
+
+
+def _squares(batch, w):
+    """Sum of (x w - y)^2 of a batch of rows."""
+    x, y = batch
+    e = A.Tensor(x) @ w - y
+    return (e * e).sum()
+
+
+@register("autograd_gradient", "SELECT j::int AS j, round(sum(2 * (embedding[1]::double * 0.5 - embedding[2]::double * 0.25 + embedding[3]::double - label) * embedding[j + 1]::double), 5) + 0.0 AS g FROM embeddings, range(3) t(j) GROUP BY 1")
+def _(spark, d):
+    e = T(spark, d, "embeddings").select(F.slice("embedding", 1, 3).cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+    _, (g,) = A.gradient(e, ["x", "y"], _squares, [np.array([0.5, -0.25, 1.0])])
+    return spark.createDataFrame([(j, round(float(v), 5) + 0.0) for j, v in enumerate(g)], "j int, g double")

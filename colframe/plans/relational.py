@@ -354,3 +354,20 @@ def flagship(spark, d):
     both = fr.merge(lines, T(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority"), "k")
     out = fr.group(both, "o_orderpriority", [("l_extendedprice", "sum"), ("l_extendedprice", "mean"), ("l_extendedprice", "count")])
     return rounded(out.withColumn("l_extendedprice_count", F.col("l_extendedprice_count").cast("bigint")), 4)
+
+
+@register("map_values", f"SELECT event_id, round(sin(value) * 2 + 1, 6) AS value FROM ({HOLES})")
+def _(spark, d):
+    import numpy as np
+
+    return rounded(fr.map_values(holes(spark, d).select("event_id", "value"), "value", lambda x: np.sin(x) * 2 + 1))
+
+
+@register("apply_values", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN 1 ELSE l_tax * l_tax END::double AS l_tax FROM lineitem")
+def _(spark, d):
+    return fr.apply_values(T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax"), "l_tax", lambda x: 1.0 if x > 0.04 else x * x)
+
+
+@register("set_index_resample", "WITH b AS (SELECT date_trunc('day', ts)::timestamp AS ts, avg(value) AS value FROM events GROUP BY 1) SELECT s.ts, round(b.value, 6) AS value FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM b) s LEFT JOIN b USING (ts)")
+def _(spark, d):
+    return rounded(fr.set_index(T(spark, d, "events").select("ts", "value"), "ts").resample("D", "mean"))

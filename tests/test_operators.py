@@ -65,7 +65,7 @@ def test_pivot_empty_cells_and_codes(spark):
 
 def test_blocks_agree_with_global_windows(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
-    got = {r.k: (r.s, r.n) for r in fr.running(df, "k", 8, s="sum:v", n="count").collect()}
+    got = {r.k: (r.s, r.n) for r in fr.running(df, "k", s="sum:v", n="count").collect()}
     assert all(got[k] == (sum(i % 7 for i in range(k + 1)), k + 1) for k in range(100))
     roll = {r.k: r.v_mean for r in ts.rolling_blocks(df, ["v"], 5, "mean", "k", 8).collect()}
     assert all((roll[k] is None) == (k < 4) for k in range(100)) and roll[50] == pytest.approx(np.mean([i % 7 for i in range(46, 51)]))
@@ -191,3 +191,77 @@ def test_streaming_matches_batch(spark, tmp_path):
     got = {r.ts: round(r["sum"], 4) for r in spark.table("resampled").collect()}
     want = {r.ts: round(r.value, 4) for r in ts.resample(e, "ts", "h", "sum").collect() if r.value}
     assert got == want
+
+
+def test_autograd_against_differences():
+    from colframe.operators import autograd as A
+
+    rng = np.random.default_rng(2)
+    x, w, b = rng.normal(size=(3, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    assert A.gradcheck(lambda x, w, b: ((x @ w + b).tanh() * 2.0 + (x @ w).relu()).sum(), x, w, b) < 1e-6
+    assert A.gradcheck(lambda x, w: ((x.exp() / (x.exp() + 1.0)).reshape(2, 6).transpose() @ (w.sigmoid().reshape(2, 4))).mean(), x, w) < 1e-6
+    assert A.gradcheck(lambda x: (x[1] * x[0] - x[2]).sum() + (x * x + 1.0).log().sqrt().sum(), x) < 1e-6
+    square = lambda t: A.apply_function(lambda saved, v: saved.append(v) or v * v, lambda saved, g: (2 * g * saved[0],), t)
+    t = A.Tensor(x, True)
+    square(t).sum().backward()
+    (square(t) * 1.0).sum().backward()
+    assert np.allclose(t.grad, 4 * x) and np.allclose(A.grad(square(t).sum(), [t])[0], 2 * x) and np.allclose(t.grad, 4 * x)
+    with A.no_grad():
+        assert not (t * 2.0).requires_grad and not A.is_grad_enabled()
+    assert (t * 2.0).requires_grad
+
+
+def test_shapes_against_numpy(spark):
+    from colframe.functions import shapes as H
+
+    x = np.arange(24.0)
+    a, v = x.reshape(2, 3, 4), F.col("v")
+    df = spark.createDataFrame([(x.tolist(), [2, 0, 1, 1, 0, 2, 1, 1])], "v array<double>, i array<int>")
+    cases = [
+        (H.moveaxis(v, (2, 3, 4), 2, 0), np.moveaxis(a, 2, 0)),
+        (H.permute(v, (2, 3, 4), (1, 2, 0)), a.transpose(1, 2, 0)),
+        (H.squeeze(*H.expand_dims(v, (2, 3, 4), 1), 1), a),
+        (H.index_axis(v, (2, 3, 4), 2, 3), a[:, :, 3]),
+        (H.slice_axes(v, (2, 3, 4), [slice(None, None, -1), slice(1, None)]), a[::-1, 1:]),
+        (H.broadcast_to(v, (2, 1, 12), (2, 2, 12)), np.broadcast_to(x.reshape(2, 1, 12), (2, 2, 12))),
+        (H.concatenate([v, v], [(2, 12), (2, 12)], 1), np.concatenate([x.reshape(2, 12)] * 2, 1)),
+        (H.stack([v, v], (2, 3, 4), 3), np.stack([a, a], 3)),
+        (H.take_along_axis(v, (2, 3, 4), F.col("i"), 1, 1), np.take_along_axis(a, np.array([2, 0, 1, 1, 0, 2, 1, 1]).reshape(2, 1, 4), 1)),
+        (H.reshape(v, (2, 3, 4), (6, -1)), x.reshape(6, 4)),
+    ]
+    row = df.select(*[c.alias(f"c{i}") for i, ((c, _), _) in enumerate(cases)]).first()
+    for got, ((_, shape), want) in zip(row, cases):
+        assert shape == want.shape and got == want.ravel().tolist()
+    with pytest.raises(ValueError):
+        H.resolve(24, (5, -1))
+
+
+def test_batched_algebra_against_numpy(spark):
+    from colframe.operators import batched as B
+
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(20, 4, 4))
+    p, l, u = B.lu(a)
+    assert np.allclose(p @ l @ u, a) and np.allclose(np.triu(l, 1), 0) and np.allclose(np.tril(u, -1), 0) and (np.abs(l) <= 1 + 1e-12).all()
+    for m, e in zip(a, B.expm(a)):
+        w, x = np.linalg.eig(m)
+        assert np.allclose(e, (x * np.exp(w) @ np.linalg.inv(x)).real)
+    df = spark.createDataFrame([(a[0].ravel().tolist(),), (None,)], "m array<double>")
+    got = [r[0] for r in df.select(B.apply("det", (4, 4), F.col("m"))).collect()]
+    assert got[0] == pytest.approx([np.linalg.det(a[0])]) and got[1] is None
+    w = np.array(df.select(B.apply("eigvals", (4, 4), F.col("m"))).first()[0]).reshape(-1, 2)
+    assert np.allclose(w[:, 0] + 1j * w[:, 1], np.sort_complex(np.linalg.eigvals(a[0]).astype(complex)))
+
+
+def test_order_statistics_with_odd_values(spark):
+    v = [5.0, None, NAN, 1.0, 1.0, 1e12, -3.0, 5.0, 5.0]
+    df = spark.createDataFrame(list(enumerate(v)), "i long, v double").repartition(7)
+    ranks = {r.i: r["rank"] for r in fr.rankdata(df, "v").collect()}
+    assert ranks == {0: 5.0, 1: None, 2: 8.0, 3: 2.5, 4: 2.5, 5: 7.0, 6: 1.0, 7: 5.0, 8: 5.0}
+    x = [r for r in v if r is not None and not math.isnan(r)]
+    d = {r.s: r.v for r in fr.describe(df, "s").collect()}
+    assert [d["25%"], d["50%"], d["75%"]] == pytest.approx(np.percentile(x, [25, 50, 75]).tolist()) and d["count"] == 7
+    run = {r.i: (r.t, r.n) for r in fr.running(df.where("v < 1e9"), "i", t="sum:v", n="count").collect()}
+    assert run == {0: (5.0, 1), 3: (6.0, 2), 4: (7.0, 3), 6: (4.0, 4), 7: (9.0, 5), 8: (14.0, 6)}
+    empty = df.where("false")
+    assert fr.rankdata(empty, "v").count() == 0 and fr.describe(empty, "s").count() == 8 and fr.running(empty, "i", n="count").count() == 0
