@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colframe.shipping import ship  # noqa: F401  (re-exported for the operators)
+from colframe.sources.scratch import Scratch  # noqa: F401
 
 #: ASCII upper case and its lower case; contracts lower-case only these letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,17 +24,6 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % parts
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found is None:
-        found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = tempfile.mkdtemp(prefix="colframe-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in pieces of about ``most`` bytes of a binary or string column (one row at least)."""
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
@@ -54,29 +41,6 @@ def elements(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind), counts
 
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.at}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *saved: DataFrame) -> None:
-        """Deletes saved tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
-        for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 _P = 0x9E3779B97F4A7C15 | 1
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)

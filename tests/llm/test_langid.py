@@ -40,3 +40,30 @@ def test_no_training_rows(spark):
     assert langid.train(spark, empty) is None
     assert langid.identify(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), None).first().lang_pred == "und"
     assert langid.identify(spark, empty, None).count() == 0
+
+
+def test_decisions_against_naive_counts(spark):
+    """Trigrams, filters and corrected counts by plain loops over characters."""
+    import math
+    import random
+
+    model = langid.train(spark, spark.createDataFrame(train_rows(), "doc_id long, text string, lang string"))
+    rng = random.Random(2)
+    words = (EN + " " + FR).split() + ["zzqx", "42", "É,"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["", "1 2", "é"]
+
+    def inside(gram, i):
+        a, b, c = (0 if x == " " else ord(x) for x in gram)
+        h = int(langid.mix(np.array([((a << 42) | (b << 21) | c) + 1], np.uint64))[0])
+        size = len(model.slots)
+        return all((int(model.slots[at % size, i // 64]) >> (i % 64)) & 1 for at in (h, h >> 32))
+
+    best, score, cover = model.decide(texts)
+    for t, got, s, k in zip(texts, best, score, cover):
+        low = "".join(x if x.isalpha() else " " for x in t.lower())
+        grams = [f" {w} "[j : j + 3] for w in low.split() for j in range(len(w))]
+        counts = [max(0.0, (sum(inside(g, i) for g in grams) - len(grams) * model.rates[i]) / (1 - model.rates[i])) for i in range(2)]
+        top = counts.index(max(counts)) if sum(counts) else model.fallback
+        assert got == (top if grams else -1)
+        if grams and sum(counts):
+            assert math.isclose(s, counts[top] / sum(counts), abs_tol=1e-9) and math.isclose(k, min(1.0, counts[top] / len(grams)), abs_tol=1e-9)

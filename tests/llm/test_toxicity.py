@@ -60,3 +60,66 @@ def test_without_labels(spark):
     assert toxicity.train(spark, docs, none) is None
     assert [r.score for r in toxicity.score(spark, docs, None).collect()] == [0.0, 0.0]
     assert toxicity.score(spark, docs.where("false"), None).count() == 0
+
+
+def test_fit_and_scores_against_naive_loops():
+    """The noisy-or's gradient and Adagrad, one number at a time, and a text's score from its sentences' words."""
+    import math
+
+    import numpy as np
+
+    docs, labels = corpus(60)
+    sentences, feature, of_sentence, docs_of = [], [], [], []
+    for i, text in docs:
+        for m in toxicity.SENTENCE.findall(text):
+            words = set(toxicity.WORD.findall(m.lower()))
+            if words:
+                own = [f for w in sorted(words) for f in toxicity.features(w)]
+                feature += own
+                of_sentence += [len(sentences)] * len(own)
+                docs_of.append(i)
+                sentences.append(own)
+    y = [v for _, v in labels]
+    epochs, rate, shrink = 5, 0.5, 0.02
+    got = toxicity.fit(np.array(y), np.array(of_sentence), np.array(feature), np.array(docs_of), epochs=epochs, rate=rate, shrink=shrink, at_least=4)
+    seen = {}
+    for own, d in zip(sentences, docs_of):
+        for f in own:
+            seen.setdefault(f, set()).add(d)
+    w, b = {f: 0.0 for f, ds in seen.items() if len(ds) >= 4}, -8.0
+    squares, square_b = dict.fromkeys(w, 1e-4), 1e-4
+    for _ in range(epochs):
+        z = [b + sum(w.get(f, 0.0) for f in own) for own in sentences]
+        none = {}  # log of the probability that no sentence of a document is toxic
+        for v, d in zip(z, docs_of):
+            none[d] = none.get(d, 0.0) - math.log1p(math.exp(v))
+        g, gb = dict.fromkeys(w, 0.0), 0.0
+        for v, d, own in zip(z, docs_of, sentences):
+            balance = 0.5 / y.count(y[d])
+            # d loss / d z: p for a clean document, -p (1 - P) / P for a toxic one
+            p, left = 1 / (1 + math.exp(-v)), math.exp(none[d])
+            slope = balance * (1.0 if not y[d] else 1 - 1 / max(1 - left, 1e-12))
+            slope = max(-1.0, min(1.0, slope)) * p
+            gb += slope
+            for f in own:
+                if f in g:
+                    g[f] += slope
+        for f in w:
+            squares[f] += g[f] ** 2
+            step = rate / math.sqrt(squares[f])
+            w[f] -= step * g[f]
+            w[f] = math.copysign(max(abs(w[f]) - step * shrink * 1e-2, 0.0), w[f])
+        square_b += gb**2
+        b -= 0.2 * gb / math.sqrt(square_b)
+    assert got.bias == pytest.approx(b, abs=1e-6)
+    for f, v in w.items():
+        assert got.weights[f] == pytest.approx(v, abs=1e-6)
+    cache = toxicity.WordScores(got.weights, most=10)
+    for _, text in docs[:20]:
+        _, z = got.sentences(text, cache)
+        clean = 1.0
+        for m in toxicity.SENTENCE.findall(text):
+            words = set(toxicity.WORD.findall(m.lower()))
+            if words:
+                clean *= 1 - 1 / (1 + math.exp(-(got.bias + sum(got.weights[f] for x in words for f in toxicity.features(x)))))
+        assert toxicity.noisy_or(z) == pytest.approx(1 - clean, abs=1e-9)
