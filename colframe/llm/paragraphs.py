@@ -240,7 +240,7 @@ def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, marked: Dat
     return scratch.save(found.union(more).drop("at").distinct())
 
 
-def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), line: int = 20, least: int = 40, recall: float = 0.9995) -> DataFrame:
+def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), line: int = 20, least: int = 48, recall: float = 0.9995) -> DataFrame:
     """Paragraphs and passages of docs(doc_id, text) that stand at another place too, in the same or another document.
 
     Returns doc_id, text_key (xxhash64 of the text), start and end (bytes of the text in UTF-8), n_words,

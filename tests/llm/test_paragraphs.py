@@ -128,7 +128,7 @@ def test_a_phrase_that_stood_alone_before_hides_no_passage(spark):
     texts = [make(rng, 30) + " " + " ".join(passage[i : i + 20]) + " " + make(rng, 30) for i in range(0, 25, 4)]
     texts += [make(rng, 9) + " " + " ".join(passage) + " " + make(rng, 9) for _ in range(3)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {(r.doc_id, r.removed, r.n_words) for r in paragraphs.duplicates(spark, df).collect()}
+    got = {(r.doc_id, r.removed, r.n_words) for r in paragraphs.duplicates(spark, df, least=40).collect()}
     n = len(texts)
     assert got == {(n - 3, False, 44), (n - 2, True, 44), (n - 1, True, 44)}
 
