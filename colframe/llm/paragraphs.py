@@ -217,7 +217,8 @@ def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, marked: Dat
     first = hits.groupBy("sig").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"))
     later = scratch.save(hits.join(scratch.save(first), "sig").where(F.struct("doc_id", "key", "at") != F.col("first")).select("sig", "doc_id", "key", "at"))
     alone = later.join(spans, ["doc_id", "key"], "left").where(F.col("spans").isNull() | ~F.exists("spans", lambda x: (x["at"] <= F.col("at")) & (F.col("at") + k <= x["end"])))
-    open_ = scratch.save(alone.select("sig").distinct())
+    several = later.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")  # else the first place is the only other one
+    open_ = scratch.save(alone.select("sig").distinct().join(several, "sig", "left_semi"))
     again = scratch.save(hits.join(open_, "sig").groupBy("doc_id", "key").agg(F.collect_set("at").alias("places")))
     texts = texts_of(scratch, docs, again.select("doc_id", "key")).join(again, ["doc_id", "key"])
 
