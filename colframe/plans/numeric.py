@@ -338,9 +338,15 @@ def _(spark, d):
     return rounded(out)
 
 
-@register("coo_axis_mean", f"SELECT j, round(avg(v), 6) AS v FROM ({COO}) GROUP BY 1")
-def _(spark, d):
-    return rounded(M.reduce_axis(coo(spark, d), 0, "mean"))
+def _axis(what, axis, f):
+    @register(f"coo_axis_{what}" + ("_rows" if axis else ""), f"SELECT {'i' if axis else 'j'}, round({f}(v), 6) AS v FROM ({COO}) GROUP BY 1")
+    def _(spark, d):
+        return rounded(M.reduce_axis(coo(spark, d), axis, what))
+
+
+for what, f in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max")):
+    _axis(what, 0, f)
+    _axis(what, 1, f)
 
 
 @register("coo_roundtrip", "SELECT vec_id AS i, list_transform(embedding, lambda x: x::double) AS v FROM embeddings")

@@ -226,14 +226,14 @@ def _(spark, d):
 
 
 def _pivot(agg):
-    f = {"sum": "coalesce(round(sum(CASE WHEN l_linestatus = '{0}' THEN l_tax END), 4), 0.0)", "mean": "round(avg(CASE WHEN l_linestatus = '{0}' THEN l_tax END), 6)", "count": "count(CASE WHEN l_linestatus = '{0}' THEN l_tax END)::double"}[agg]
+    f = {"sum": "coalesce(round(sum(CASE WHEN l_linestatus = '{0}' THEN l_tax END), 4), 0.0)", "mean": "round(avg(CASE WHEN l_linestatus = '{0}' THEN l_tax END), 6)", "count": "count(CASE WHEN l_linestatus = '{0}' THEN l_tax END)::double", "min": "min(CASE WHEN l_linestatus = '{0}' THEN l_tax END)", "max": "max(CASE WHEN l_linestatus = '{0}' THEN l_tax END)"}[agg]
 
     @register(f"pivot_{agg}", "SELECT l_returnflag, " + ", ".join(f"{f.format(x)} AS {x}" for x in "FO") + " FROM lineitem GROUP BY 1")
     def _(spark, d):
         return rounded(rs.pivot_table(T(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_tax", agg, ["F", "O"]), 6 if agg == "mean" else 4)
 
 
-for agg in ("sum", "mean", "count"):
+for agg in ("sum", "mean", "count", "min", "max"):
     _pivot(agg)
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 BOOL, INT, FLOAT = r"(?i)^(true|false)$", r"^[+-]?\d{1,18}(\.0*)?$", r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|nan|NaN|Infinity|-Infinity)$"
 
 
-def read(spark: SparkSession, path: str, booleans: bool = True, empty: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, booleans: bool = True, lines: bool = True) -> DataFrame:
     """Reads CSV with a header. Types come from one aggregate over all cells, not from a sample.
 
-    A column without any value becomes boolean (booleans) or double.
+    A column without any value becomes boolean (booleans) or double. lines: quoted cells may hold line ends, for which
+    a file has to be one task; without them large files are split.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="", mode="FAILFAST")
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=lines, quote='"', escape='"', nullValue="", emptyValue="", mode="FAILFAST")
     names = raw.columns
 
     def fits(c: str, pattern: str):
@@ -29,7 +30,7 @@ def read(spark: SparkSession, path: str, booleans: bool = True, empty: str | Non
         elif booleans and is_bool:
             kind = "boolean"
         elif is_int:
-            x, kind = x.cast("double"), "bigint"
+            x, kind = F.regexp_replace(x, r"\.0*$", ""), "bigint"
         else:
             kind = "double" if is_float else "string"
         out.append(x.cast(kind).alias(c))

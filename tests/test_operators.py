@@ -172,6 +172,10 @@ def test_csv_and_arrow(spark, tmp_path):
     back = csvio.read(spark, str(tmp_path / "c"))
     assert back.dtypes == [("i", "bigint"), ("s", "string"), ("b", "boolean"), ("f", "double"), ("e", "boolean")]
     assert sorted(rows(back.select("i", "s", "b", "f"))) == [(1, 'a "b", c\nd', True, 1.5), (2, None, False, None)]
+    (tmp_path / "n.csv").write_text("a,b,c\n123456789012345678,1.0,+5\n-3,2.,\n")
+    for lines in (True, False):
+        got = csvio.read(spark, str(tmp_path / "n.csv"), lines=lines)
+        assert got.dtypes == [("a", "bigint"), ("b", "bigint"), ("c", "bigint")] and sorted(rows(got), key=str) == [(-3, 2, None), (123456789012345678, 1, 5)]
     import pyarrow as pa
 
     t = pa.table({"x": pa.array([1, 2, None]), "d": pa.array(["u", "v", "u"]).dictionary_encode(), "l": pa.array([[1.0], [], None], pa.list_(pa.float64()))})
