@@ -400,6 +400,29 @@ def _(spark, d):
     return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Lstm(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
 
 
+def _layer(seed, width=8, hidden=16):
+    """Parameters of an attention layer with its feed-forward part."""
+    lcg = iter(N.lcg_uniform(4 * width * width + 4 * width + 2 * width * hidden + hidden + 5 * width, seed, -0.5, 0.5))
+    cut = lambda *shape: np.array([next(lcg) for _ in range(int(np.prod(shape)))]).reshape(shape)
+    p = {"in_w": cut(3 * width, width), "in_b": cut(3 * width), "out_w": cut(width, width), "out_b": cut(width), "w1": cut(hidden, width), "b1": cut(hidden), "w2": cut(width, hidden), "b2": cut(width)}
+    return p | {"n1w": 1 + cut(width), "n1b": cut(width), "n2w": 1 + cut(width), "n2b": cut(width)}
+
+
+class _Transformer:
+    """An encoder layer over all rows of the image, and a decoder layer with a causal mask that attends to it."""
+
+    def forward(self, x):
+        memory = N.encoder_layer(x, _layer(11), 2, "gelu")
+        p = _layer(12)
+        cross = {k: p[k] for k in ("in_w", "in_b", "out_w", "out_b")} | {"nw": p["n2w"], "nb": p["n2b"]}
+        return N.decoder_layer(x, memory, _layer(13), cross, 2, "relu", N.causal_mask(x.shape[1]))
+
+
+@register("transformer")
+def _(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.transform(N.predict(_Transformer(), F.col("embedding"), (8, 8)), lambda x: F.round(x, 6) + 0.0).alias("y"))
+
+
 class _Gru:
     def forward(self, x):
         w = N.lcg_uniform(3 * 4 * (8 + 4), 6, -0.5, 0.5)

@@ -80,3 +80,49 @@ def test_training_of_the_table(spark):
             m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
             p[k] = p[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
     assert [r.loss for r in got] == pytest.approx(losses, abs=1e-9) and losses[-1] < losses[0]
+
+
+def test_transformer_of_the_table(spark):
+    """Heads, masks and norms position by position."""
+    import math
+
+    from colframe.plans.learning import _layer
+
+    def norm(v, w, b):
+        m = sum(v) / len(v)
+        s = math.sqrt(sum((a - m) ** 2 for a in v) / len(v) + 1e-5)
+        return [(a - m) / s * c + e for a, c, e in zip(v, w, b)]
+
+    def line(v, w, b):
+        return [sum(a * c for a, c in zip(v, row)) + e for row, e in zip(w, b)]
+
+    def attend(x, memory, p, causal=False):
+        out = []
+        for i, v in enumerate(x):
+            q, joined = line(v, p["in_w"][:8], p["in_b"][:8]), []
+            for h in range(2):
+                part = slice(4 * h, 4 * h + 4)
+                keys = [line(m, p["in_w"][8:16], p["in_b"][8:16])[part] for m in memory]
+                values = [line(m, p["in_w"][16:], p["in_b"][16:])[part] for m in memory]
+                e = [math.exp(sum(a * c for a, c in zip(q[part], k)) / 2) if not causal or j <= i else 0.0 for j, k in enumerate(keys)]
+                joined += [sum(w * v[c] for w, v in zip(e, values)) / sum(e) for c in range(4)]
+            out.append(line(joined, p["out_w"], p["out_b"]))
+        return out
+
+    plus = lambda x, y: [[a + b for a, b in zip(u, v)] for u, v in zip(x, y)]
+    gelu = lambda a: 0.5 * a * (1 + math.tanh(math.sqrt(2 / math.pi) * (a + 0.044715 * a**3)))
+
+    def feed(x, p, f):
+        return [norm(r, p["n2w"], p["n2b"]) for r in plus(x, [line([f(a) for a in line(v, p["w1"], p["b1"])], p["w2"], p["b2"]) for v in x])]
+
+    got = {r.vec_id: r.y for r in run(spark, "transformer")}
+    vectors_, _ = vectors()
+    assert len(got) == len(vectors_)
+    a, b, c = _layer(11), _layer(12), _layer(13)
+    for i in range(0, len(vectors_), 25):
+        x = vectors_[i].reshape(8, 8).tolist()
+        memory = feed([norm(r, a["n1w"], a["n1b"]) for r in plus(x, attend(x, x, a))], a, gelu)
+        y = [norm(r, c["n1w"], c["n1b"]) for r in plus(x, attend(x, x, c, True))]
+        y = [norm(r, b["n2w"], b["n2b"]) for r in plus(y, attend(y, memory, b))]
+        want = feed(y, c, lambda v: max(v, 0.0))
+        assert got[i] == pytest.approx([v for r in want for v in r], abs=2e-6)

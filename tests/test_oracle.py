@@ -40,6 +40,7 @@ NUMERIC = {
     "conjugate_gradient": "test_conjugate_gradient_of_the_table",
     "filtfilt": "test_filtfilt_of_the_table",
     "mlp_training": "test_training_of_the_table",
+    "transformer": "test_transformer_of_the_table",
 }
 
 
