@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from colframe.llm import jaccard_join
+from colframe.llm import jaccard_join, linking
 
 
 def brute(rows, k, share):
@@ -91,3 +91,39 @@ def test_many_more_partitions_than_cores(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
     got = sorted((tuple(r) for r in jaccard_join.join(spark, df, 5, (4, 5)).collect()), key=repr)
     assert got == brute(rows, 5, (4, 5))
+
+
+def test_a_hot_group_of_near_copies_needs_few_pairs(spark, monkeypatch):
+    """Copies with edits, some of them too far from most others: brute force's components from pairs linear in members."""
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
+
+    def near():
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9999)}"
+        return " ".join(w)
+
+    rows = [(i, near()) for i in range(400)]
+    pairs, overlapping = [], linking.overlapping
+    monkeypatch.setattr(linking, "overlapping", lambda some, sets, share: pairs.append(some.count()) or overlapping(some, sets, share))
+    for chunk, parts in ((2048, 64), (16, 1)):  # small chunks: buckets are split
+        monkeypatch.setattr(linking, "CHUNK", chunk)
+        pairs.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((tuple(r) for r in jaccard_join.join(spark, df, 5, (4, 5)).collect()), key=repr)
+        assert got == brute(rows, 5, (4, 5))
+        assert sum(pairs) <= 12 * len(rows)
+
+
+def test_label_rounds_equal_the_single_task(spark):
+    from colframe.llm.common import Scratch
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    df = Scratch(spark, "edges").save(spark.createDataFrame(edges, "a long, b long").repartition(5))
+    few, many = (sorted(map(tuple, linking.connected(spark, Scratch(spark, "t"), df, x).collect())) for x in (True, False))
+    assert few == many and dict(few)[60] == 0
+    at = dict(few)
+    assert all(at[a] == at[b] for a, b in edges) and all(at[c] == c for c in set(at.values()))
