@@ -16,8 +16,7 @@ most frequent words; those of the others are joined.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
-from operator import add
+from itertools import compress, repeat
 from zlib import crc32
 
 import numpy as np
@@ -119,26 +118,47 @@ class Units:
     def find(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
-    def units(self, words: list[bytes]) -> np.ndarray:
+    def units(self, words: list[bytes], cache: UnitOf) -> np.ndarray:
         """Unit of each word: its own for a frequent one, its ending's for others; the end's comes last."""
         out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = self.find(words)
-        rare = np.flatnonzero(out[:-1] < 0)
-        out[rare] = [self.frequent + ending(words[i], self.groups) for i in rare]
+        out[:-1] = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
         out[-1] = self.frequent + self.groups
         return out
 
 
+class UnitOf(dict):
+    """word -> unit, each word worked out once; it holds ``most`` words at most."""
+
+    def __init__(self, units: Units, most: int = 300_000):
+        super().__init__(units.index)
+        self.of, self.most = units, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most + len(self.of.index):
+            self.clear()
+            self.update(self.of.index)
+        self[word] = unit = self.of.frequent + ending(word, self.of.groups)
+        return unit
+
+
+class Numbers(dict):
+    """word -> number, in the order in which words are first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def unit_pairs(spark: SparkSession, train: DataFrame, units: Units) -> np.ndarray:
     """Counts of adjacent units over all training texts; each task sends its own nonzero counts."""
     size, shared = units.frequent + units.groups + 1, spark.sparkContext.broadcast(units)
 
     def count(batches):
         m = shared.value
-        total = np.zeros(size * size, np.int64)
+        cache, total = UnitOf(m), np.zeros(size * size, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                u = m.units(tokens(text.as_py()))
+                u = m.units(tokens(text.as_py()), cache)
                 np.add.at(total, np.concatenate([[size - 1], u[:-1]]) * size + u, 1)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 100_000):
@@ -173,41 +193,52 @@ def best_classes(beside: np.ndarray, given: np.ndarray, p: np.ndarray) -> np.nda
 def assign(spark: SparkSession, train: DataFrame, units: Units, of: np.ndarray, given: np.ndarray, p: np.ndarray, most: int = 300_000) -> DataFrame:
     """(word, n, class) of all words of the training texts but the frequent ones; of: classes of the units.
 
-    Tasks count the classes beside each word and send a row a word, ``most`` counts at a time; rows of a word meet in
-    one task, which adds them up as they come and holds one word's counts.
+    Tasks count the classes beside each word and send a row a word, about ``most`` words at a time; rows of a word meet
+    in one task, which adds them up as they come and holds one word's counts.
     """
     k, shared = len(p), spark.sparkContext.broadcast((units, of, given, p))
-    code = [bytes([i]) for i in range(2 * k)]
 
     def count(batches):
         m, of, *_ = shared.value
-        seen: Counter = Counter()
+        cache, number, keys, fresh = UnitOf(m), Numbers(), [], 0
+
+        def add_up():
+            """Counted so far: word number * 2 k + class before (or k + class behind), with how often."""
+            key, n = np.concatenate([x for x, _ in keys]), np.concatenate([x for _, x in keys])
+            key, at = np.unique(key, return_inverse=True)
+            return [(key, np.bincount(at, n, len(key)).astype(np.int64))]
 
         def out():
-            rows, last = [], None
-            for key in sorted(seen):
-                if key[:-1] != last:
-                    last = key[:-1]
-                    rows.append((last, bytearray(), []))
-                rows[-1][1].append(key[-1])
-                rows[-1][2].append(seen[key])
-            seen.clear()
-            for a in range(0, len(rows), 20_000):
-                word, codes, n = zip(*rows[a : a + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(map(bytes, codes), pa.binary()), pa.array([np.array(x, np.uint32).tobytes() for x in n], pa.binary())], ["word", "codes", "n"])
+            (key, n), names = add_up()[0], list(number)
+            start = np.searchsorted(key, np.arange(len(names) + 1) * 2 * k)
+            codes, n = (key % (2 * k)).astype(np.uint8), n.astype(np.uint32)
+            for a in range(0, len(names), 20_000):
+                cut = start[a : a + 20_001]
+                some = slice(cut[0], cut[-1])
+                offsets = pa.array((cut - cut[0]).astype(np.int32))
+                columns = [pa.array(names[a : a + 20_000], pa.binary())]
+                for x, width in ((codes, 1), (n, 4)):
+                    ends = pa.array(((cut - cut[0]) * width).astype(np.int32))
+                    columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, ends.buffers()[1], pa.py_buffer(x[some].tobytes())]))
+                yield pa.RecordBatch.from_arrays(columns, ["word", "codes", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 words = tokens(text.as_py())
-                u = m.units(words)
-                c = of[u]
-                at = np.flatnonzero(u[:-1] >= m.frequent)
-                own = [words[i] for i in at]
-                seen.update(map(add, own, map(code.__getitem__, np.concatenate([c[-1:], c[:-1]])[at].tolist())))
-                seen.update(map(add, own, map(code.__getitem__, (k + c[at + 1]).tolist())))
-                if len(seen) > most:
+                c = of[u := m.units(words, cache)]
+                tail = u[:-1] >= m.frequent
+                at = np.flatnonzero(tail)
+                own = np.fromiter(map(number.__getitem__, compress(words, tail)), np.int64, len(at)) * 2 * k
+                keys.append((np.concatenate([own + np.concatenate([c[-1:], c[:-1]])[at], own + k + c[at + 1]]), np.ones(2 * len(at), np.int64)))
+                fresh += 2 * len(at)
+                if fresh > 10 * most:
+                    keys, fresh = add_up(), 0
+                if len(number) > most or not fresh and keys and len(keys[0][0]) > 8 * most:
                     yield from out()
-        yield from out()
+                    number.clear()
+                    keys, fresh = [], 0
+        if number:
+            yield from out()
 
     def settle(batches):
         _, _, given, p = shared.value
@@ -324,10 +355,10 @@ def score(spark: SparkSession, docs: DataFrame, head: int = 200_000, frequent: i
                     words = tokens(text.as_py())
                     found = m.find(words)
                     known = found >= 0
-                    own: dict[bytes, int] = {}
+                    own, rare = Numbers(), int((~known).sum())
                     codes = np.empty(len(words), np.uint32)
                     codes[known] = m.of[found[known]]
-                    codes[~known] = [own.setdefault(words[i], m.classes + len(own)) for i in np.flatnonzero(~known)]
+                    codes[~known] = m.classes + np.fromiter(map(own.__getitem__, compress(words, ~known)), np.uint32, rare)
                     codes = codes.astype(np.uint16) if m.classes + len(own) < 1 << 16 else codes
                     rows.append((row, len(words) + 1, int(known.sum()), float(m.log[found[known]].sum()) + m.end_log, codes.tobytes(), list(own), [int(m.endings[ending(w, m.groups)]) for w in own]))
                     row += 1
