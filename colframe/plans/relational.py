@@ -90,10 +90,11 @@ for how, sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("out
     _merge(how, sql)
 
 
-@register("merge_null_keys", f"SELECT a.user_id, a.event_id AS event_id_x, b.event_id AS event_id_y FROM ({HOLES}) a JOIN ({HOLES}) b ON a.user_id IS NOT DISTINCT FROM b.user_id")
+@register("merge_null_keys", f"SELECT a.user_id, a.event_id, b.first, b.n FROM ({HOLES}) a JOIN (SELECT user_id, min(event_id) AS first, count(*) AS n FROM ({HOLES}) GROUP BY 1) b ON a.user_id IS NOT DISTINCT FROM b.user_id")
 def _(spark, d):
-    x = holes(spark, d).select("user_id", "event_id")
-    return fr.merge(x, x, "user_id", "inner")
+    x = holes(spark, d)
+    users = x.groupBy("user_id").agg(F.min("event_id").alias("first"), F.count("*").alias("n"))
+    return fr.merge(x.select("user_id", "event_id"), users, "user_id", "inner")
 
 
 @register(
