@@ -181,10 +181,10 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for text in batch.column("text"):
+                for doc, text in zip(batch.column("doc_id"), batch.column("text")):
                     h = shingles(text.as_py(), k)
                     f = prints(h)
-                    if f in seen:  # equal sets are one class, which needs its signatures once; what is forgotten is sent again
+                    if not doc.is_valid or f in seen:  # equal sets are one class, which needs its signatures once; what is forgotten is sent again
                         rows.append((node, len(h), *f, None, None))
                     else:
                         rows.append((node, len(h), *f, sketch(h), signatures(h, plan, share, common).tobytes()))

@@ -383,19 +383,29 @@ def once(scratch: Scratch, members: DataFrame) -> DataFrame:
     return out
 
 
+def signers(scratch: Scratch, signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """signed(node, f1, f2, ...) without the rows of nodes that are not their content's reps(f1, f2, rep).
+
+    Copies that several tasks have signed would share all their buckets. They are told by their nodes alone, so
+    signatures are not shuffled unless the copies are many.
+    """
+    spare = scratch.save(signed.select("node", "f1", "f2").join(reps, ["f1", "f2"]).where("node != rep").select("node"))
+    few = spare.count() <= BOUND
+    return signed.join(F.broadcast(spare) if few else spare, "node", "left_anti")
+
+
 def linked(spark: SparkSession, scratch: Scratch, signed: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: tuple[int, int], spent: DataFrame, given: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows(node, f1, f2, ...) with copies (rows of the same set) and comp (the node that names the component).
 
-    signed(node, n, f1, f2, sketch, sigs) has a signed row for each content (f1, f2) at least; sigs is null elsewhere.
+    signed(node, n, f1, f2, sketch, sigs) has a signed row for the first node of each content (f1, f2); sigs of other
+    rows may be null.
     sets_of gets some of rows and returns (f1, f2, set array<long>) of at least their contents. given, if any, gets
     rows with ``rep``, the node that stands for all rows of its content, and returns links (a, b) of such nodes.
     spent, the saved table behind signed, is dropped as soon as it has been read.
     """
     reps = scratch.save(rows.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
     classes = scratch.save(rows.join(reps, ["f1", "f2"]))
-    members = once(scratch, scratch.save(buckets(spark, signed.where("sigs is not null"))))
-    members = scratch.save(members.join(classes.select("node", "rep"), "node").select("sig", F.col("rep").alias("node")).distinct())
-    members = once(scratch, members)
+    members = once(scratch, scratch.save(buckets(spark, signers(scratch, signed.where("sigs is not null"), reps))))
     known = classes.where("node = rep").join(members.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").select("f1", "f2", "rep")
     sketches = signed.where("sketch is not null").join(known, ["f1", "f2"]).groupBy(F.col("rep").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = scratch.save(sketches)

@@ -127,3 +127,20 @@ def test_label_rounds_equal_the_single_task(spark):
     assert few == many and dict(few)[60] == 0
     at = dict(few)
     assert all(at[a] == at[b] for a, b in edges) and all(at[c] == c for c in set(at.values()))
+
+
+def test_copies_in_other_tasks_bring_no_buckets(spark, monkeypatch):
+    """Only a content's first node has its signatures bucketed; a copy without a doc_id takes none from the others."""
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randint(0, 999)}" for _ in range(120))
+    alone = " ".join(f"z{rng.randint(0, 999)}" for _ in range(120))
+    near = alone.rsplit(" ", 1)[0] + " other"
+    rows = [(None, alone), (90, alone), (91, near)] + [(i, text) for i in range(40)]
+    counts, once = [], linking.once
+    monkeypatch.setattr(linking, "once", lambda scratch, members: counts.append(members.select("node").distinct().count()) or once(scratch, members))
+    one, many = (spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(rows, "doc_id long, text string").repartition(20))
+    for df in (one, many):
+        counts.clear()
+        got = {r.doc_id: r.component_id for r in jaccard_join.join(spark, df, 4, (85, 100)).collect()}
+        assert got == {None: None, 90: 90, 91: 90} | {i: 0 for i in range(40)}
+        assert counts == [2]
