@@ -23,7 +23,7 @@ from colframe.llm.common import SOLID, Scratch, mix, ship, shingle_hashes, slice
 from colframe.llm.linking import BOUND, buckets, linked
 
 #: Contents that a task remembers so as not to sign them again; bytes of text that are worked on at once.
-SEEN, TEXTS = 100_000, 1 << 20
+SEEN, TEXTS = 100_000, 1 << 19
 
 
 def tune(similarity: float, recall: float, rows: int = 4) -> int:

@@ -10,13 +10,27 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch between executors and Python workers; both sides hold whole batches, in memory outside the heap.
+BATCH = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes of an Arrow batch to BATCH; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    digits, unit = (now or "").strip("bB"), 1
+    if digits[-1:].lower() in ("k", "m", "g"):
+        digits, unit = digits[:-1], 1 << 10 * (1 + "kmg".index(digits[-1].lower()))
+    if not digits.isdigit() or int(digits) * unit > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once per application.
+    """Adds the package to the session's Python files, once per application, and bounds its batches.
 
     Functions are pickled by reference, so workers need the modules; on a cluster they may have no copy.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -62,3 +62,25 @@ def test_repeated_and_null_rows(spark, corpus):
 def test_run(spark, corpus):
     d, *_ = corpus
     assert cp.run(spark, d).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Executors and workers hold whole batches, so their size is bounded whatever the length of rows; less stays."""
+    from colframe import shipping
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    try:
+        for given, want in (("64MB", shipping.BATCH), ("1m", 1 << 20), ("2048", 2048)):
+            spark.conf.set(name, given)
+            shipping.ship(spark)
+            long = spark.range(0, 1500, 1, 1).selectExpr("repeat('word ', 2000) as text")
+            got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+            assert max(got) <= want + 40_000 and sum(got) >= 1500 * 10_000
+    finally:
+        spark.conf.set(name, before)
