@@ -94,6 +94,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Gives up this process's encoders; encoder() makes them anew."""
+    _encoders.clear()
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where a public vocabulary file is installed."""
     import public_tokenizers

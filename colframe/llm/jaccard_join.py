@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import SOLID, Scratch, mix, ship, shingle_hashes, slices, word_hashes
+from colframe.llm.common import SOLID, Scratch, lean, mix, shingle_hashes, ship, slices, word_hashes
 from colframe.llm.linking import keyed_rows, linked, sketch
 
 GROWTH = 1.6
@@ -195,7 +195,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "n", "f1", "f2", "sketch", "sigs"])
 
-    signed = scratch.save(docs.mapInArrow(sign, "doc_id long, node long, n long, f1 long, f2 long, sketch binary, sigs binary"))
+    signed = scratch.save(docs.mapInArrow(lean(sign), "doc_id long, node long, n long, f1 long, f2 long, sketch binary, sigs binary"))
     rows = scratch.save(signed.select("doc_id", "node", "n", "f1", "f2"))
     real = "n > 0 and doc_id is not null"
 
@@ -208,7 +208,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[int, int
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64()), sets_], ["f1", "f2", "set"])
 
     def sets_of(some: DataFrame) -> DataFrame:
-        return keyed_rows(docs, some.select("doc_id").distinct(), "doc_id").mapInArrow(contents, "f1 long, f2 long, set array<long>")
+        return keyed_rows(docs, some.select("doc_id").distinct(), "doc_id").mapInArrow(lean(contents), "f1 long, f2 long, set array<long>")
 
     def given(classes: DataFrame) -> DataFrame:
         """Texts of one doc_id are linked."""

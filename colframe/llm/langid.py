@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colframe.llm.common import mix, ship
+from colframe.llm.common import lean, mix, ship
 
 #: Characters that are handled in one piece of NumPy work.
 CHUNK = 1 << 20
@@ -126,7 +126,7 @@ def train(spark: SparkSession, labelled: DataFrame, per_language: int = 2000, ra
                     h, n = np.unique(grams(own[a:b])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select("text", "lang").mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("all"))
     share = counted.join(F.broadcast(totals), "lang").withColumn("p", F.col("n") / F.col("all"))
     kept = share.withColumn("top", F.max("p").over(Window.partitionBy("gram"))).where((F.col("n") >= at_least) & (F.col("p") >= ratio * F.col("top")))
@@ -163,4 +163,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataF
             names = pa.array([m.languages[i] if i >= 0 else "und" for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score), pa.array(cover)], [*batch.schema.names, "lang_pred", "score", "coverage"])
 
-    return docs.select(*kept).mapInArrow(predict, schema)
+    return docs.select(*kept).mapInArrow(lean(predict), schema)

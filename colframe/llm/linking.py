@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import Scratch, elements, slices
+from colframe.llm.common import Scratch, elements, lean, slices
 
 #: Rows of 8-byte keys that may be broadcast.
 BOUND = 1_000_000
@@ -98,8 +98,8 @@ def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> Dat
         if blocks:
             yield from rows_of(*merge(state, blocks)[1])
 
-    blocks = signed.select("node", "sigs", *(["at"] if places else [])).mapInArrow(send, "part long, sigs binary, nodes binary, base long, at binary")
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, "sig long, node long" + (", at int" if places else ""))
+    blocks = signed.select("node", "sigs", *(["at"] if places else [])).mapInArrow(lean(send), "part long, sigs binary, nodes binary, base long, at binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lean(group), "sig long, node long" + (", at int" if places else ""))
 
 
 def folded(maps: list[bytes], size: int) -> np.ndarray:
@@ -265,7 +265,7 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
         if found:
             yield send(found)
 
-    return sorted_.mapInArrow(run, "a long, b long, sig long")
+    return sorted_.mapInArrow(lean(run), "a long, b long, sig long")
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +298,7 @@ def connected(spark: SparkSession, scratch: Scratch, edges: DataFrame, few: bool
                 columns = roots(*(np.concatenate(x) for x in zip(*ends)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "comp"])
 
-        return edges.coalesce(1).mapInArrow(solve, "node long, comp long")
+        return edges.coalesce(1).mapInArrow(lean(solve), "node long, comp long")
     both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
     labels = scratch.save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")))
     while True:
@@ -459,7 +459,7 @@ def plausible(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) ->
             columns = [batch.column("comp"), batch.column("node"), batch.column("hub"), pa.array(cost, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["comp", "node", "hub", "cost"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("comp", "node", "hub", "na", "nb", "sa", "sb").mapInArrow(check, "comp long, node long, hub long, cost double")
+    return both.select("comp", "node", "hub", "na", "nb", "sa", "sb").mapInArrow(lean(check), "comp long, node long, hub long, cost double")
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:

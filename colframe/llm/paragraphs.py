@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colframe.llm.common import SOLID, Scratch, mix, ship, shingle_hashes, slices, word_hashes
+from colframe.llm.common import SOLID, Scratch, lean, mix, shingle_hashes, ship, slices, word_hashes
 from colframe.llm.linking import BOUND, buckets, linked
 
 #: Contents that a task remembers so as not to sign them again; bytes of text that are worked on at once.
 SEEN, TEXTS = 100_000, 1 << 19
+#: Windows whose smallest hashes are looked for at once.
+WINDOWS = 1 << 12
 
 
 def tune(similarity: float, recall: float, rows: int = 4) -> int:
@@ -118,7 +120,10 @@ def anchors(h: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.n
     if len(h) < least:
         return h[:0], of[:0]
     g, wide = shingle_hashes(h, k), shingle_hashes(h, k + more)
-    at = np.arange(len(h) - least + 1) + np.lib.stride_tricks.sliding_window_view(g, width).argmin(1)
+    windows = np.lib.stride_tricks.sliding_window_view(g, width)
+    at = np.arange(len(windows))
+    for i in range(0, len(at), WINDOWS):  # argmin copies its windows
+        at[i : i + WINDOWS] += windows[i : i + WINDOWS].argmin(1)
     at = np.unique(at[of[: len(at)] == of[least - 1 :]])
     again = np.zeros(len(g), bool)
     for d in (1, 2):
@@ -188,7 +193,7 @@ def matched(spark: SparkSession, scratch: Scratch, docs: DataFrame, hits: DataFr
                 columns = list(zip(*out)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return scratch.save(both.select("doc_id", "key", "doc0", "key0", "text", "text0", "hits").mapInArrow(follow, ", ".join(f"{c} long" for c in names)))
+    return scratch.save(both.select("doc_id", "key", "doc0", "key0", "text", "text0", "hits").mapInArrow(lean(follow), ", ".join(f"{c} long" for c in names)))
 
 
 def texts_of(scratch: Scratch, docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -236,7 +241,7 @@ def passages(spark: SparkSession, scratch: Scratch, docs: DataFrame, marked: Dat
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.arange(node, node + len(batch))), pa.array(sigs, pa.binary()), pa.array(at, pa.binary())], ["doc_id", "key", "node", "sigs", "at"])
                 node += len(batch)
 
-    wide = scratch.save(texts.mapInArrow(widen, "doc_id long, key long, node long, sigs binary, at binary"))
+    wide = scratch.save(texts.mapInArrow(lean(widen), "doc_id long, key long, node long, sigs binary, at binary"))
     more = matched(spark, scratch, docs, places(wide), least)
     return scratch.save(found.union(more).drop("at").distinct())
 
@@ -297,7 +302,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
                 binary = [sketches + [place[x:y].tobytes() for x, y in parts], sigs + [value[x:y].tobytes() for x, y in parts]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), *(pa.array(c, pa.binary()) for c in binary)], names)
 
-    signed = scratch.save(docs.mapInArrow(sign, schema))
+    signed = scratch.save(docs.mapInArrow(lean(sign), schema))
     marked = signed.where("start < 0").select("doc_id", "key", "node", "sigs", F.col("sketch").alias("at"))
     parts = passages(spark, scratch, docs, marked, least)
     lines = signed.where("start >= 0")
@@ -318,7 +323,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, share: tuple[in
     def sets_of(some: DataFrame) -> DataFrame:
         wanted = scratch.save(some.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
         few = wanted.agg(F.count("*") + F.sum(F.size("spans"))).first()[0] or 0
-        return docs.join(F.broadcast(wanted) if few <= BOUND else wanted, ["doc_id", "key"]).select("text", "spans").mapInArrow(contents, "f1 long, f2 long, set array<long>")
+        return docs.join(F.broadcast(wanted) if few <= BOUND else wanted, ["doc_id", "key"]).select("text", "spans").mapInArrow(lean(contents), "f1 long, f2 long, set array<long>")
 
     of = scratch.save(linked(spark, scratch, lines, rows, sets_of, share, signed).select("doc_id", "key", "start", "end", "n_words", "comp"))
     place = F.struct("doc_id", "key", "start")
@@ -376,4 +381,4 @@ def remove(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
 
     cuts = cuts.select(F.struct("doc_id", "text_key").alias("at"), "cuts")
     rows = docs.select(F.struct(*kept).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("at"))
-    return rows.join(cuts, "at", "left").select("row", "cuts").mapInArrow(cut, schema)
+    return rows.join(cuts, "at", "left").select("row", "cuts").mapInArrow(lean(cut), schema)

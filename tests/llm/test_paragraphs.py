@@ -188,3 +188,19 @@ def test_lines_against_brute_force_with_any_number_of_files(spark):
         kept = {min(g) for g in groups.values()}
         assert {(place(r.doc_id, r.text_key, r.start), r.removed) for r in got} == {(p, p not in kept) for g in groups.values() for p in g}
         assert len(got) == len(want)
+
+
+def test_anchors_of_many_words_take_little_memory():
+    """The windows of an anchor are looked through in parts, not copied all at once; the anchors are those of one look."""
+    import tracemalloc
+
+    h = np.random.default_rng(4).integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    of = np.arange(len(h)) // 70_000
+    tracemalloc.start()
+    value, place = paragraphs.anchors(h, of, 48)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    g = paragraphs.shingle_hashes(h, 16)
+    want = sorted({i + int(g[i : i + 33].argmin()) for i in range(len(h) - 47) if of[i] == of[i + 47]})
+    assert np.unique(place).tolist() == want and len(value) == len(place)
+    assert peak < 30 << 20

@@ -84,3 +84,14 @@ def test_batches_are_bounded_in_bytes(spark):
             assert max(got) <= want + 40_000 and sum(got) >= 1500 * 10_000
     finally:
         spark.conf.set(name, before)
+
+
+def test_workers_give_up_what_other_work_left():
+    """A stage's worker may have packed an earlier run; its tokenizer would count as memory of every later stage."""
+    from colframe.llm import bpe
+    from colframe.llm.common import lean
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["n"])
+    bpe._encoders["left"] = object()
+    got = list(lean(lambda batches: ((len(bpe._encoders), b.num_rows) for b in batches))(iter([batch, batch])))
+    assert got == [(0, 2), (0, 2)]
