@@ -24,8 +24,8 @@ BOUND = 1_000_000
 CHUNK, RANGE, MERGE = 2048, 4 << 20, 8 << 20
 #: Star rounds at most, pairs that a component verifies in the first round across and how that number grows.
 STARS, FIRST, MORE = 4, 4, 8
-#: Rows of a group up to which pairs are compared one by one.
-FEW = 24
+#: Rows of a group up to which pairs are compared one by one; rows of small buckets that share a sketch of each node.
+FEW, LOAD = 24, 4 * CHUNK
 
 
 def buckets(spark: SparkSession, signed: DataFrame, places: bool = False) -> DataFrame:
@@ -202,7 +202,7 @@ def closest(side: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
     return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more
 
 
-def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFrame, share: tuple[int, int], most: int) -> DataFrame:
+def across(scratch: Scratch, rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFrame, share: tuple[int, int], most: int) -> DataFrame:
     """Pairs (a, b, sig) of a bucket's rows(sig, node, comp) in different components that sizes and sketches allow.
 
     Buckets that have more such pairs have a row of their own, with a sig and no pair; pairs may repeat.
@@ -210,8 +210,14 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
     Buckets of more than two chunks of members are split: a component that fills a chunk has chunks of its own, which
     need no comparison with each other, smaller ones share chunks, and every pair of chunks is a group of its own. So
     a group has two chunks of rows, and what a task compares and emits is bounded.
+
+    Buckets with the same first node (by hash) have most of their nodes in common. They go to one task under one key,
+    at most about LOAD rows of them, and each node's sketch is sent once a key, not once a bucket.
     """
-    small = rows.join(open_.where(F.col("m") <= 2 * CHUNK).select("sig"), "sig").select("sig", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "node", "comp")
+    own = open_.where(F.col("m") <= 2 * CHUNK).select("sig", "low", "m")
+    loads = own.groupBy("low").agg(F.ceil(F.sum("m") / LOAD).alias("of"))
+    own = own.join(loads, "low").select("sig", F.xxhash64("low", F.pmod(F.xxhash64("sig"), "of")).alias("key"))
+    small = rows.join(own, "sig").select("key", "sig", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "node", "comp")
     parts = small
     if open_.where(F.col("m") > 2 * CHUNK).limit(1).count():
         large = open_.where(F.col("m") > 2 * CHUNK).select("sig")
@@ -223,11 +229,16 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
         plan = x.join(y, "sig").where((F.col("x") <= F.col("y")) & ((F.col("x.c") != F.col("y.c")) | (F.col("x.c") == -1)))
         plan = plan.select("sig", "x", "y", F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
         dealt = rows.join(of, ["sig", "comp"]).select("sig", "node", "comp", F.struct("c", F.when(F.col("c") == -1, F.pmod(F.xxhash64("comp"), "k")).otherwise(F.pmod(F.xxhash64("node"), "k")).cast("int").alias("j")).alias("z"))
-        left = dealt.join(plan.withColumnRenamed("x", "z"), ["sig", "z"]).select("sig", "a", "b", F.lit(0).alias("side"), "node", "comp")
-        right = dealt.join(plan.where("x != y").withColumnRenamed("y", "z"), ["sig", "z"]).select("sig", "a", "b", F.lit(1).alias("side"), "node", "comp")
+        key = F.xxhash64("sig", "a", "b").alias("key")
+        left = dealt.join(plan.withColumnRenamed("x", "z"), ["sig", "z"]).select(key, "sig", "a", "b", F.lit(0).alias("side"), "node", "comp")
+        right = dealt.join(plan.where("x != y").withColumnRenamed("y", "z"), ["sig", "z"]).select(key, "sig", "a", "b", F.lit(1).alias("side"), "node", "comp")
         parts = small.union(left).union(right)
-    names = ["sig", "a", "b", "side", "node", "comp", "n", "sketch"]
-    sorted_ = parts.join(sketches, "node").select(*names).repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b")
+    names = ["key", "sig", "a", "b", "side", "node", "comp", "n", "sketch"]
+    parts = scratch.save(parts)
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("sig", "long"), ("a", "long"), ("b", "long"), ("side", "int"), ("comp", "long"), ("n", "long"), ("sketch", "binary"))}
+    maps = parts.select("key", "node").distinct().join(sketches, "node").select("key", *(none[c] for c in ("sig", "a", "b", "side")), "node", none["comp"], "n", "sketch")
+    both = parts.select(*names[:-2], none["n"], none["sketch"]).union(maps)
+    sorted_ = both.repartition("key").sortWithinPartitions("key", "sig", "a", "b")  # a null sig, which has a sketch, comes first
 
     def send(found):
         """Each pair once, and a row for each bucket that has more."""
@@ -243,7 +254,7 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
         return closest(*(np.array(x, np.int64) for x in (side, node, comp, n)), maps, share, most)
 
     def run(batches):
-        at, group, found, size = None, [], [], 0
+        at, group, found, size, now, known = None, [], [], 0, None, {}
 
         def close():
             nonlocal size
@@ -253,14 +264,20 @@ def across(rows: DataFrame, sizes: DataFrame, open_: DataFrame, sketches: DataFr
                 size += len(got[0])
 
         for batch in batches:
-            for sig, a, b, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+            for key, sig, a, b, side, node, comp, n, bits in zip(*(batch.column(c).to_pylist() for c in names)):
+                if sig is None:
+                    if key != now:
+                        close()
+                        at, group, now, known = None, [], key, {}
+                    known[node] = (n, bits)
+                    continue
                 if (sig, a, b) != at:
                     close()
                     at, group = (sig, a, b), []
                     if size > 300_000:
                         yield send(found)
                         found, size = [], 0
-                group.append(row)
+                group.append((side, node, comp, *known[node]))
         close()
         if found:
             yield send(found)
@@ -343,8 +360,8 @@ def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Call
         rows = members.join(labels, "node").select("sig", "node", "comp")
         sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(stars), "node").alias("h"), "node")).alias("low"))
         sizes = scratch.save(sizes.select("sig", "comp", "n", "low.h", "low.node"))
-        open_ = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min(F.struct(-F.col("n"), "h", "node", "comp")).alias("hub"))
-        open_ = scratch.save(open_.where("comps > 1").select("sig", "m", (F.col("m").cast("double") * F.col("m") - F.col("squares")).alias("cross"), "hub.node", "hub.comp"))
+        open_ = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min(F.struct(-F.col("n"), "h", "node", "comp")).alias("hub"), F.min("h").alias("low"))
+        open_ = scratch.save(open_.where("comps > 1").select("sig", "m", "low", (F.col("m").cast("double") * F.col("m") - F.col("squares")).alias("cross"), "hub.node", "hub.comp"))
         cross, n_rows = open_.agg(F.sum("cross"), F.sum("m")).first()
         if not cross:
             return labels
@@ -359,7 +376,7 @@ def link(spark: SparkSession, scratch: Scratch, members: DataFrame, verify: Call
             pairs = pairs.select(F.least("x.node", "x.hub").alias("a"), F.greatest("x.node", "x.hub").alias("b"))
         else:
             stars = STARS
-            got = scratch.save(across(members.join(labels, "node").select("sig", "node", "comp"), sizes, open_, sketches, share, most))
+            got = scratch.save(across(scratch, members.join(labels, "node").select("sig", "node", "comp"), sizes, open_, sketches, share, most))
             most *= MORE
             members = scratch.save(members.join(got.select("sig").where("sig is not null").distinct(), "sig", "left_semi"))
             pairs = got.select("a", "b").where("a is not null")

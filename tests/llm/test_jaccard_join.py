@@ -144,3 +144,26 @@ def test_copies_in_other_tasks_bring_no_buckets(spark, monkeypatch):
         got = {r.doc_id: r.component_id for r in jaccard_join.join(spark, df, 4, (85, 100)).collect()}
         assert got == {None: None, 90: 90, 91: 90} | {i: 0 for i in range(40)}
         assert counts == [2]
+
+
+def test_a_sketch_is_sent_once_for_buckets_with_the_same_nodes(spark, monkeypatch):
+    """Forty buckets of the same twelve nodes and one more each: their rows share the twelve sketches."""
+    from colframe.llm.common import Scratch
+
+    rng, scratch = np.random.default_rng(8), Scratch(spark, "t")
+    rows = [(s, v) for s in range(40) for v in [*range(12), 100 + s]]
+    nodes = sorted({v for _, v in rows})
+    members = scratch.save(spark.createDataFrame(rows, "sig long, node long"))
+    sketches = scratch.save(spark.createDataFrame([(v, 100, rng.bytes(64)) for v in nodes], "node long, n long, sketch binary"))
+    frame, sent = type(members), []
+    deal = frame.repartition
+
+    def counted(self, *columns):
+        if "sketch" in self.columns:
+            sent.append(self.where("sketch is not null").count())
+        return deal(self, *columns)
+
+    monkeypatch.setattr(frame, "repartition", counted)
+    labels = linking.link(spark, scratch, members, lambda pairs: pairs, None, sketches, (4, 5)).collect()
+    assert sorted(map(tuple, labels)) == [(v, v) for v in nodes]
+    assert sent and max(sent) < len(rows) // 2
