@@ -294,10 +294,11 @@ def _(spark, d):
 
 @register("quadrature", "SELECT p_partkey, round((p_size % 5 + 1) * (1 - cos(2.0)), 6) AS area FROM part")
 def _(spark, d):
-    def area(r):
-        return {"p_partkey": [r.p_partkey], "area": [round(O.quad(lambda x: (r.p_size % 5 + 1) * np.sin(x), 0, 2), 6)]}
+    def area(g):
+        height = (g.p_size % 5 + 1).to_numpy(float)
+        return {"p_partkey": g.p_partkey, "area": O.quad_many(lambda x, at: height[at] * np.sin(x), np.zeros(len(g)), np.full(len(g), 2.0))}
 
-    return O.over_parameters(T(spark, d, "part").select("p_partkey", "p_size"), area, "p_partkey long, area double")
+    return rounded(O.over_batches(T(spark, d, "part").select("p_partkey", "p_size"), area, "p_partkey long, area double"))
 
 
 @register("decay_equation", "SELECT s_suppkey, t::double AS t, round(exp(-(s_nationkey % 4 + 1) * t / 10.0), 4) AS y FROM supplier, range(1, 4) r(t)")

@@ -94,6 +94,20 @@ def test_signal_kernels():
     assert w["f"][np.argmax(w["p"])] == 0.125
 
 
+def test_many_integrals_at_once(spark, monkeypatch):
+    """The intervals of quad for each integral, in blocks of any size; parameters in one file are dealt over the cores."""
+    c = np.array([0.3, 1.0, 7.0, 40.0, NAN])
+    want = [O.quad(lambda x, k=k: k * math.exp(-k * x), 0.0, 2.0 + i) for i, k in enumerate(c)]
+    for panels in (1, 3, 1 << 15):
+        monkeypatch.setattr(O, "PANELS", panels)
+        got = O.quad_many(lambda x, at: c[at] * np.exp(-c[at] * x), np.zeros(5), 2.0 + np.arange(5))
+        assert got == pytest.approx(want, rel=1e-12, nan_ok=True)
+    p = spark.range(0, 400, 1, 1)
+    for out in (O.over_batches(p, lambda g: {"id": g.id, "y": g.id * 2.0}, "id long, y double"), O.over_parameters(p, lambda r: {"id": [r.id], "y": [r.id * 2.0]}, "id long, y double")):
+        assert sorted(rows(out)) == [(i, 2.0 * i) for i in range(400)]
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_optimisers():
     assert O.quad(math.exp, 0, 1) == pytest.approx(math.e - 1) and O.dblquad(lambda y, x: x * y, 0, 1, lambda x: 0.0, lambda x: x) == pytest.approx(1 / 8)
     for method in ("rk45", "rk23"):
