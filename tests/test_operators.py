@@ -94,6 +94,45 @@ def test_signal_kernels():
     assert w["f"][np.argmax(w["p"])] == 0.125
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "missing", "infinite"])
+def test_tiled_product_is_the_join(spark, monkeypatch, kind):
+    """Tiles give the cells of the join: absent and null cells, doubles of a cell, infinite values, far and null indices."""
+    r = np.random.default_rng(3)
+    a = [(int(i) * 10**12 - 7, f"k{k}", float(r.normal())) for i in range(13) for k in range(11) if kind in ("dense", "missing") or r.random() < 0.2]
+    b = [(f"k{k}", j, float(r.normal())) for k in range(2, 12) for j in range(9) if kind == "dense" or r.random() < 0.5]
+    if kind == "missing":
+        a = [(i, k, None if r.random() < 0.5 else v) for i, k, v in a] + [(None, "k3", 2.0), (1, None, 5.0), (1, "k4", 1.0), (1, "k4", 2.0), (3, "k5", None)]
+    if kind == "infinite":
+        a += [(5, "k3", float("inf")), (5, "k4", float("-inf")), (6, "k5", float("inf")), (6, "k6", NAN)]
+    a, b = spark.createDataFrame(a, "i long, j string, v double"), spark.createDataFrame(b, "i string, j int, v double")
+    want = {(x.i, x.j): x.v for x in M.matmul(a, b).collect()}
+    monkeypatch.setattr(M, "PAIRS", 7)
+    for side in (4, 1 << 10):
+        monkeypatch.setattr(M, "SIDE", side)
+        left, right = a.toDF("i", "k", "x").where("k IS NOT NULL"), b.toDF("k", "j", "y")
+        parts = M._tiled(left, right, 13 // side + 1, 9 // side + 1, 12 // side + 1)
+        got = {(x.i, x.j): x.v for x in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
+        assert got.keys() == want.keys()
+        assert all((got[c] is None) == (v is None) and (v is None or got[c] == pytest.approx(v, nan_ok=True)) for c, v in want.items())
+
+
+def test_products_of_many_pairs_are_tiled(spark, monkeypatch):
+    """No pair of cells becomes a row of a join, and a sparse product stays one."""
+    monkeypatch.setattr(M, "FEW", 100)
+    monkeypatch.setattr(M, "SIDE", 64)
+    d = spark.range(3000).select((F.col("id") / 20).cast("long").alias("i"), (F.col("id") % 20).alias("j"), (F.col("id") % 7 + 0.5).alias("v"))
+    m = np.array([r.v for r in d.orderBy("i", "j").collect()]).reshape(150, 20)
+    for out, want in ((M.matmul(d, M.transpose(d)), m @ m.T), (M.gram(d), m.T @ m)):
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        got = np.full(want.shape, NAN)
+        for r in out.collect():
+            got[r.i, r.j] = r.v
+        assert got == pytest.approx(want)
+    e = M.eye(spark, 500)
+    out = M.matmul(e, e)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 500
+
+
 def test_many_integrals_at_once(spark, monkeypatch):
     """The intervals of quad for each integral, in blocks of any size; parameters in one file are dealt over the cores."""
     c = np.array([0.3, 1.0, 7.0, 40.0, NAN])
