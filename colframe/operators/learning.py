@@ -197,6 +197,22 @@ def knn_regress(train: DataFrame, queries: DataFrame, id_: str, features: str, o
     return k_nearest(train, queries, id_, features, order, k, target).groupBy("query").agg(F.avg("value").alias("prediction"))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each column of x, as KMeans.predict: squares added in order, NaN farthest, ties to the lowest."""
+    own, best = np.zeros(x.shape[1], np.int64), None
+    for c, centre in enumerate(centres):
+        far = np.zeros(x.shape[1])
+        with np.errstate(invalid="ignore", over="ignore"):
+            for v, at in zip(x, centre):
+                far += (v - at) * (v - at)
+        if best is None:
+            best = far
+            continue
+        closer = (far < best) | (np.isnan(best) & ~np.isnan(far))
+        own[closer], best[closer] = c, far[closer]
+    return own
+
+
 class KMeans:
     """Lloyd's algorithm from the first k rows by order; ties to the lowest centre, empty clusters keep theirs."""
 
@@ -204,18 +220,48 @@ class KMeans:
         self.k, self.iterations = k, iterations
 
     def fit(self, df: DataFrame, features: str, order: str) -> KMeans:
-        data = df.select(F.col(features).cast("array<double>").alias("x")).persist()
-        self.centres = [list(r[0]) for r in df.orderBy(order).limit(self.k).select(F.col(features).cast("array<double>")).collect()]
+        """Each step is one pass in which tasks assign their rows and sum them by centre, over features cached as Arrow
+        blocks. Vectors without a cluster, for predict gives null where one is null or holds null, take no part."""
+        spark = df.sparkSession
+        ship(spark)
+        x = F.col(features).cast("array<double>")
+        self.centres = [list(r[0]) for r in df.orderBy(order).limit(self.k).select(x).collect()]
+        if not self.centres:
+            return self
+        width = len(self.centres[0])
+
+        def pack(batches):
+            for b in batches:
+                if b.num_rows:
+                    x = np.array(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, width)
+                    yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x.T).tobytes()], pa.binary())], ["x"])
+
+        whole = (F.size(features) == width) & ~F.exists(features, lambda v: v.isNull())
+        blocks = df.where(whole).select(x).mapInArrow(pack, "x binary").persist()
         for _ in range(self.iterations):
-            sums = data.select(self.predict(F.col("x")).alias("c"), F.posexplode("x").alias("j", "v")).groupBy("c", "j").agg(F.avg("v").alias("m")).collect()
-            new = [list(c) for c in self.centres]
-            for r in sums:  # k centres
-                new[r.c][r.j] = r.m
-            moved = max((abs(a - b) for x, y in zip(new, self.centres) for a, b in zip(x, y)), default=0.0)
-            self.centres = new
-            if moved == 0:
+            centres = np.array(self.centres, float)
+
+            def sums(batches, centres=centres):
+                total = np.zeros((len(centres), 1 + width))
+                for b in batches:
+                    for x in b.column(0).to_pylist():
+                        x = np.frombuffer(x).reshape(width, -1)
+                        own = _nearest(x, centres)
+                        for c in range(len(centres)):
+                            rows = x[:, own == c]
+                            total[c] += [rows.shape[1], *rows.sum(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["c", "s"])
+
+            parts = blocks.mapInArrow(sums, "c int, s array<double>").select("c", F.posexplode("s").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v")).collect()
+            total = np.zeros((len(centres), 1 + width))
+            for r in parts:  # k centres
+                total[r.c, r.at] = r.v
+            filled = total[:, :1] > 0
+            new = np.where(filled, total[:, 1:] / np.where(filled, total[:, :1], 1), centres)
+            self.centres = new.tolist()
+            if np.array_equal(new, centres, equal_nan=True):
                 break
-        data.unpersist()
+        blocks.unpersist()
         return self
 
     def predict(self, features: Column) -> Column:

@@ -133,6 +133,29 @@ def test_products_of_many_pairs_are_tiled(spark, monkeypatch):
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 500
 
 
+def test_kmeans_sums_in_tasks(spark, monkeypatch):
+    """Steps leave tasks as sums, not a row a component, and give Lloyd's centres; vectors with nulls take no part."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(300, 6)), r.normal(size=(200, 6)) + 2, np.repeat(r.normal(size=(1, 6)), 20, 0)])
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1002, [1.0])]
+    want = x[:3].copy()
+    for _ in range(4):
+        own = ((x[:, None] - want) ** 2).sum(2).argmin(1)
+        want = np.array([x[own == c].mean(0) for c in range(3)])
+    seen, posexplode = [], F.posexplode
+    monkeypatch.setattr(F, "posexplode", lambda c: seen.append(c) or posexplode(c))
+    df = spark.createDataFrame(data, "id long, x array<double>")
+    m = L.KMeans(3, 4).fit(df, "x", "id")
+    assert np.array(m.centres) == pytest.approx(want) and seen and "x" not in seen
+    own = ((x[:, None] - want) ** 2).sum(2).argmin(1)
+    got = dict(rows(df.select("id", m.predict(F.col("x")))))
+    assert [got[i] for i in range(len(x))] == own.tolist() and [got[i] for i in (1000, 1001, 1002)] == [None] * 3
+    empty = L.KMeans(2, 1).fit(spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [4.0])], "id long, x array<double>"), "x", "id")
+    assert empty.centres == [[4 / 3], [0.0]]  # ties to the lowest centre, an empty one stays
+    far = L._nearest(np.array([[NAN, np.inf, 1.0]]), np.array([[NAN], [np.inf], [0.0]]))
+    assert far.tolist() == [0, 2, 2]
+
+
 def test_many_integrals_at_once(spark, monkeypatch):
     """The intervals of quad for each integral, in blocks of any size; parameters in one file are dealt over the cores."""
     c = np.array([0.3, 1.0, 7.0, 40.0, NAN])
